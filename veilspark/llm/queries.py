@@ -4,23 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, sketch
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def remainder(id_col: str, by: int) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % by, F.lit(0))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), remainder("doc_id", 7) == 2)
+
+
+def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fm_quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    scored = fm_quality.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sketch.edited(table(spark, sf_dir, "documents"))
+    return df.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.as_text(F.col("sketch")).alias("fingerprint"), sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    docs = bpe_replay.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    docs = docs.select("doc_id", "token_ids", bpe_replay.decode(F.col("token_ids"), ranks, spark).alias("decoded"))
+    return docs.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no address: their source is the host."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_mixing)}
+    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
