@@ -22,7 +22,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GROWTH = 1.02
 REACH = 6.0
 #: Measure -> least spread above the median.
-SPREAD = {"m_length": 1.5, "m_symbols": 0.1, "m_lines": 0.25, "m_repeats": 0.2, "m_shout": 0.15}
+SPREAD = {"m_length": 1.5, "m_symbols": 0.1, "m_lines": 0.35, "m_repeats": 0.35, "m_shout": 0.15}
 
 
 def without(text: Column, characters: str) -> Column:
