@@ -11,10 +11,10 @@ rows each count and are taken alike; ids may be null; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, hot_values, salted_join
 
 STEP, LEVELS = 12, 4
 
@@ -67,24 +67,42 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
     return open_
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken (words the mix takes: 0, 1 or 2 copies of the size)."""
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-            F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("key"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit("mix"), F.col(id_col)).alias("h"),
-        ),
-        "mixsizes",
-    )
-    aims = targets(sized, weights, budget, most)
+def _sized(docs: DataFrame, text_col: str, source_col: str, id_col: str) -> dict:
+    """Columns that the mix is made from: the source's key, the size and the hash of a document."""
+    return {
+        "key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+        "h": F.xxhash64(F.lit("mix"), F.col(id_col)),
+    }
+
+
+def plan(sized: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """sized (key, size, h) -> a row for each source: key, source_size, target, whole, limit, n (its documents)."""
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
+    aims = targets(sized, weights, budget, most).join(sized.groupBy("key").agg(F.count("*").alias("n")), "key")
     aims = cut(aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mixaims")
-    limits = thresholds(sized, aims)
-    joined = sized.join(aims.join(limits, "key"), "key")
-    copies = F.col("whole") + (F.shiftrightunsigned("h", 64 - STEP * LEVELS) < F.col("limit")).cast("long")
-    return joined.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        (F.least(copies, F.lit(int(most))) * F.col("size")).cast("long").alias("taken"),
-    )
+    return cut(aims.join(thresholds(sized, aims), "key"), "mixplan")
+
+
+def copies(most: float = 2.0) -> Column:
+    """How often the mix has a document, from its hash and its source's plan."""
+    extra = (F.shiftrightunsigned("h", 64 - STEP * LEVELS) < F.col("limit")).cast("long")
+    return F.least(F.col("whole") + extra, F.lit(int(most)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, taken (words the mix takes: 0, 1 or 2 copies of the size)."""
+    of = _sized(docs, text_col, source_col, id_col)
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in of.items()]), "mixsizes")
+    found = plan(sized, weights, budget, most)
+    joined = salted_join(sized, found, "key", hot_values(found, "key", "n"), F.col("h"), how="inner")
+    return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (copies(most) * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: rows of docs, each as often as the mix has it. Texts are not shuffled while the sources' plan is small enough to broadcast."""
+    own, of = docs.columns, _sized(docs, text_col, source_col, id_col)
+    keyed = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), *[c.alias(k) for k, c in of.items()])
+    found = plan(cut(keyed.select("key", "size", "h"), "mixsizes"), weights, budget, most)
+    joined = salted_join(keyed.drop("size"), found, "key", hot_values(found, "key", "n"), F.col("h"), how="inner")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies(most).cast("int")))).select("row.*")

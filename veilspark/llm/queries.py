@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, sketch
+from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, range_coder, sketch
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -50,6 +50,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = range_coder.write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return range_coder.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -75,7 +82,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text)
+    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op6_range_coder, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text)
     return {f.__name__: f for f in named}
 
 
