@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-KEEP = 200_000
+KEEP, TOGETHER, DOCS = 200_000, 100_000, 4000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,47 +41,75 @@ def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+class Merges:
+    """The vocabulary as arrays: ids of bytes, and the sorted pair keys (a << 20 | b) with what they merge to."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        pairs = pair_table(ranks)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.to = np.r_[keys[order], -1], np.r_[np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1]
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Ranks of which two merges can want the same symbol: tokens that begin as they end.
+        self.doubles = {r for t, r in ranks.items() if any(t[:n] == t[-n:] for n in range(1, len(t)))}
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 for none; a negative id stands for a word's end."""
+        key = left << 20 | right
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.to[at], -1)
+
+
+def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """All ids of pieces one after another, and the number of ids of each."""
-    byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.r_[0, np.cumsum(size + 1)]
-    flat = byte_id[raw]
-    flat[ends] = -1
-    of_bytes = np.full((256, 256), -1, np.int64)
-    for a in range(256):
-        for b in range(256):
-            of_bytes[a, b] = pairs.get(int(byte_id[a]) << 20 | int(byte_id[b]), -1)
-    first = np.where((flat[:-1] >= 0) & (flat[1:] >= 0), of_bytes[raw[:-1], raw[1:]], -1)
-    at = np.flatnonzero(first >= 0)
-    at = at[np.argsort(first[at], kind="stable")]
-    values, start = np.unique(first[at], return_index=True)
-    index = {int(v): p.tolist() for v, p in zip(values, np.split(at, start[1:]), strict=True)} if len(at) else {}
-    sym, after, before = flat.tolist(), list(range(1, len(flat) + 1)), list(range(-1, len(flat) - 1))
-    queue, get = list(index), pairs.get
-    heapq.heapify(queue)
+    ends = np.r_[0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)]
+    sym = merges.byte_id[raw]
+    sym[ends] = -1
+    after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+    pair = np.r_[merges.rank(sym[:-1], sym[1:]), -1]  # of each position with the one after it
+    index: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def enter(at: np.ndarray) -> None:
+        """Positions into the index, by the rank of their pair."""
+        rank = pair[at]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        if not len(at):
+            return
+        start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]).tolist()
+        for a, b in zip(start, [*start[1:], len(at)], strict=True):
+            r = int(rank[a])
+            if r in index:
+                index[r].append(at[a:b])
+            elif r >= 0:
+                index[r] = [at[a:b]]
+                heapq.heappush(queue, r)
+
+    enter(np.flatnonzero(pair >= 0))
     while queue:
         rank = heapq.heappop(queue)
-        for i in sorted(index.pop(rank)):
-            a, j = sym[i], after[i]
-            if a < 0 or sym[j] < 0 or get(a << 20 | sym[j]) != rank:
-                continue  # an earlier merge took one of the two
-            sym[i], sym[j] = rank, -2
-            k = after[i] = after[j]
-            before[k] = i
-            h = before[i]
-            for pos, left, right in ((h, sym[h], rank), (i, rank, sym[k])):
-                if left >= 0 and right >= 0 and (new := get(left << 20 | right)) is not None:
-                    if new in index:
-                        index[new].append(pos)
-                    else:
-                        index[new] = [pos]
-                        heapq.heappush(queue, new)
-    done = np.array(sym, np.int64)
-    alive = done >= 0
+        found = index.pop(rank)
+        i = np.unique(np.concatenate(found))
+        i = i[pair[i] == rank]  # the others were touched by an earlier merge
+        if not len(i):
+            continue
+        if rank in merges.doubles and (chained := after[i[:-1]] == i[1:]).any():  # in a row of the same pair, as in aaaa, every second one merges
+            first = np.maximum.accumulate(np.where(np.r_[True, ~chained], np.arange(len(i)), 0))
+            i = i[(np.arange(len(i)) - first) % 2 == 0]
+        j = after[i]
+        k = after[j]
+        sym[i], sym[j], pair[j] = rank, -2, -1
+        after[i], before[k] = k, i
+        h = before[i]
+        h = h[sym[h] >= 0]
+        near = np.concatenate((h, i))
+        pair[near] = merges.rank(sym[near], sym[after[near]])
+        enter(near[pair[near] >= 0])
+    alive = sym >= 0
     upto = np.r_[0, np.cumsum(alive)]
-    return done[alive].astype(np.int32), upto[ends[1:]] - upto[ends[:-1]]
+    return sym[alive].astype(np.int32), upto[ends[1:]] - upto[ends[:-1]]
 
 
 class Pretokens(dict):
@@ -96,7 +124,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP) -> None:
         import regex
 
-        self.ranks, self.pairs, self.find, self.keep = ranks, pair_table(ranks), regex.compile(pattern).findall, keep
+        self.ranks, self.merges, self.find, self.keep = ranks, Merges(ranks), regex.compile(pattern).findall, keep
         self.reset()
 
     def reset(self) -> None:
@@ -107,11 +135,14 @@ class Encoder:
         if not new:
             return
         whole = np.array([self.ranks.get(w, -1) for w in new])
-        ids, size = replay([w for w, r in zip(new, whole, strict=True) if r < 0], self.ranks, self.pairs)
+        rest = [w for w, r in zip(new, whole, strict=True) if r < 0]
+        done = [replay(rest[at : at + TOGETHER], self.merges) for at in range(0, len(rest), TOGETHER)]
         sizes = np.ones(len(new), np.int64)
-        sizes[whole < 0] = size
+        if done:
+            sizes[whole < 0] = np.concatenate([d[1] for d in done])
         out = np.repeat(whole.astype(np.int32), sizes)
-        out[np.repeat(whole < 0, sizes)] = ids
+        if done:
+            out[np.repeat(whole < 0, sizes)] = np.concatenate([d[0] for d in done])
         self.ids, self.size = np.r_[self.ids, out], np.r_[self.size, sizes]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -136,8 +167,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shared.value, pattern, keep)
         for s in batches:
-            for at in range(0, max(1, len(s)), 2000):
-                part = s.iloc[at : at + 2000]
+            for at in range(0, max(1, len(s)), DOCS):
+                part = s.iloc[at : at + DOCS]
                 yield pd.Series(encoder.encode(list(part)), dtype=object)
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
