@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms; DataFrame functions only.
 
-Each document has a fixed 64-bit hash. A source's target is its size times a rate: the whole part is taken of every
+Each document has a fixed 48-bit hash. A source's target is its size times a rate: the whole part is taken of every
 document, the rest by one more copy of the documents whose hash lies under a threshold. The threshold comes from a histogram of words by
 source and hash bucket: running sums find the bucket in which the budget ends, and only that bucket's documents are summed again in finer
 buckets, `LEVELS` times. Nothing is sorted by document. Thresholds nest: a larger target takes a superset.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, hot_values, salted_join
 
 STEP, LEVELS = 12, 4
+HASH_BITS = STEP * LEVELS
 
 
 def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -41,15 +42,15 @@ def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, m
 
 
 def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
-    """sized (key, size, h), aims (key, rest) -> key, limit: hashes whose top STEP * LEVELS bits lie under it hold about rest words."""
+    """sized (key, size, h), aims (key, rest) -> key, limit: hashes under it hold about rest words."""
     open_ = aims.select("key", "rest", F.lit(0).cast("long").alias("prefix"))
     width = 1 << STEP
     for level in range(1, LEVELS + 1):
         bits = STEP * level
-        b = F.shiftrightunsigned("h", 64 - bits)
+        b = F.shiftright("h", HASH_BITS - bits)
         inside = sized.select("key", "size", b.alias("b")).join(open_, "key")
         if level > 1:
-            inside = inside.where(F.shiftrightunsigned("b", STEP) == F.col("prefix"))
+            inside = inside.where(F.shiftright("b", STEP) == F.col("prefix"))
         sums = inside.groupBy("key", "b").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
         upto = F.sum("n").over(Window.partitionBy("key").orderBy("b"))
         ends = sums.withColumn("upto", upto).withColumn("under", F.col("upto") - F.col("n"))
@@ -72,7 +73,7 @@ def _sized(docs: DataFrame, text_col: str, source_col: str, id_col: str) -> dict
     return {
         "key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")),
         "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-        "h": F.xxhash64(F.lit("mix"), F.col(id_col)),
+        "h": F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long"),
     }
 
 
@@ -86,7 +87,7 @@ def plan(sized: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most
 
 def copies(most: float = 2.0) -> Column:
     """How often the mix has a document, from its hash and its source's plan."""
-    extra = (F.shiftrightunsigned("h", 64 - STEP * LEVELS) < F.col("limit")).cast("long")
+    extra = (F.col("h") < F.col("limit")).cast("long")
     return F.least(F.col("whole") + extra, F.lit(int(most)))
 
 

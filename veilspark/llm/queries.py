@@ -86,5 +86,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP4 = f"""
+WITH s AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || left(md5('mix' || coalesce(doc_id::VARCHAR, '')), 12))::BIGINT AS h FROM documents),
+w AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM s GROUP BY source),
+f AS (SELECT *, 2.0 * source_size AS top, 1.5 * sum(source_size) OVER () AS total, coalesce(sum(2.0 * source_size) OVER before, 0) AS full_before, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_left FROM w
+      WINDOW before AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, top * w_left <= (total - full_before) * w AS is_full FROM f),
+l AS (SELECT *, (total - coalesce(sum(top) FILTER (is_full) OVER (), 0)) / greatest(coalesce(sum(w) FILTER (NOT is_full) OVER (), 0), 1e-300) AS level FROM g),
+a AS (SELECT source, source_size, CASE WHEN is_full THEN top ELSE least(top, w * level) END AS target FROM l),
+p AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS whole, target - floor(target / greatest(source_size, 1)) * source_size AS rest FROM a),
+h AS (SELECT source, h, sum(size) AS n FROM s GROUP BY source, h),
+u AS (SELECT h.source, h.h, p.rest, sum(n) OVER (PARTITION BY h.source ORDER BY h.h) AS upto, n FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT source, min(h) AS h, arg_min(upto - rest < rest - (upto - n), h) AS take FROM u WHERE upto > rest GROUP BY source),
+k AS (SELECT p.*, CASE WHEN e.h IS NULL THEN 1::BIGINT << 60 ELSE e.h + e.take::BIGINT END AS border FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source)
+SELECT s.doc_id, s.source, s.size::BIGINT AS size, k.source_size, k.target, (least(k.whole + (s.h < k.border)::BIGINT, 2) * s.size)::BIGINT AS taken FROM s JOIN k ON s.source IS NOT DISTINCT FROM k.source"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+pages AS (SELECT DISTINCT source, text, ls FROM d WHERE text IS NOT NULL),
+total AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
+f AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct(ls)) AS line FROM pages) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
+b AS (SELECT f.source, list(line) AS marks FROM f JOIN total ON f.source IS NOT DISTINCT FROM total.source WHERE c >= 5 AND c > 0.02 * n GROUP BY f.source),
+k AS (SELECT d.*, list_filter(ls, lambda x: NOT list_contains(coalesce(b.marks, []), x)) AS kept FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+j AS (SELECT *, array_to_string(kept, chr(10)) AS new FROM k),
+o AS (SELECT *, length(new) < 0.5 * length(text) AS whole FROM j)
+SELECT doc_id, len(ls) AS n_lines, CASE WHEN whole THEN 0 ELSE len(ls) - len(kept) END AS n_dropped, length(CASE WHEN whole THEN text ELSE new END) AS n_chars, sha256(CASE WHEN whole THEN text ELSE new END) AS text_sha256 FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4, "op9_line_dedup": OP9}
