@@ -34,11 +34,11 @@ HEAD, HEAD_SIZE = "<4sII", 12
 TOTAL, LEAST = 4096, 8
 SLOTS = 512
 RATES = (5, 4, 4)
-# Weights of orders 0, 1, 2 by which order leads and which follows.
-WEIGHTS = np.array([[a if o == lead else b if o == nxt else c for o in range(3)] for lead in range(3) for nxt in range(3) for a, b, c in ((5, 2, 1),)], np.int16)
-WEIGHTS[[0, 4, 8]] = (2, 3, 3)
+# Weights of orders 0, 1 and 2 (eighths) by the order that has predicted best.
+WEIGHTS = np.array([(5, 2, 1), (2, 4, 2), (1, 3, 4)], np.int16)
 AIM = np.array([[j * LEAST if j <= s else TOTAL - (16 - j) * LEAST for j in range(16)] for s in range(16)], np.int16)
 U = np.uint64
+ONES = U(0x0101010101010101)
 
 
 class Mixer:
@@ -50,10 +50,10 @@ class Mixer:
         self.base = np.arange(n, dtype=np.int64) * SLOTS
         self.rows = [np.empty((n, 16), np.int16) for _ in range(3)]
         self.at = [np.empty(n, np.int64) for _ in range(3)]
-        self.mix = np.full((n, 17), 8 * TOTAL, np.int32)
+        self.mix = np.empty((n, 16), np.int16)
         self.gain = np.zeros((3, n), np.int32)
-        self.weight = np.tile(WEIGHTS[0], (n, 1)).T.copy()
-        self.lane = np.arange(n)
+        self.weight = np.tile(WEIGHTS[0], (n, 1))
+        self.lane16 = np.arange(n) * 16
         self.one = self.two = np.zeros(n, np.int64)
         self.aims, self.part = np.empty((n, 16), np.int16), np.empty((n, 16), np.int16)
 
@@ -63,11 +63,10 @@ class Mixer:
         self.h2 = self.h1 + two * 0x85EBCA77 + 0x165667B1
 
     def predict(self, digit: int, before: np.ndarray) -> np.ndarray:
-        """Lower bounds of the 16 values of the digit, and the total, for each block."""
-        low = before if digit < 3 else 17 + 256 + ((before * 40503 >> 5) % (SLOTS - 273))
-        start = (0, 1, 17, 0)[digit]
+        """Lower bounds of the 16 values of the digit for each block; the total is 8 * TOTAL."""
+        low = before + (0, 1, 17)[digit] if digit < 3 else 273 + (before * 40503 >> 5) % (SLOTS - 273)
         salt = (before + (digit << 12)) * 0xC2B2AE35
-        np.add(self.base, low + start, out=self.at[0])
+        np.add(self.base, low, out=self.at[0])
         for o, h in ((1, self.h1), (2, self.h2)):
             x = h + salt
             x ^= x >> 15
@@ -77,23 +76,28 @@ class Mixer:
             np.add(self.base, x, out=self.at[o])
         for o in range(3):
             np.take(self.tables[o], self.at[o], axis=0, out=self.rows[o], mode="clip")
-        np.multiply(self.rows[0], self.weight[0][:, None], out=self.part)
-        self.part += self.rows[1] * self.weight[1][:, None]
-        self.part += self.rows[2] * self.weight[2][:, None]
-        self.mix[:, :16] = self.part
+        np.multiply(self.rows[0], self.weight[:, 0:1], out=self.mix)
+        for o in (1, 2):
+            np.multiply(self.rows[o], self.weight[:, o : o + 1], out=self.part)
+            self.mix += self.part
         return self.mix
 
+    def bounds(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bound and width of a value."""
+        flat, at = self.mix.reshape(-1), self.lane16 + value
+        start = flat.take(at).astype(np.int64)
+        end = np.where(value == 15, 8 * TOTAL, flat.take(at + 1, mode="clip").astype(np.int64))
+        return start.astype(U), (end - start).astype(U)
+
     def learn(self, digit: int, value: np.ndarray) -> None:
         if digit == 1:
-            upper = np.minimum(value + 1, 15)
+            at = self.lane16 + value
+            last = value == 15
             for o in range(3):
-                r = self.rows[o]
-                f = np.where(value == 15, TOTAL, r[self.lane, upper]) - r[self.lane, value]
-                self.gain[o] += (np.log2(f) * 256).astype(np.int32) - (self.gain[o] >> 4)
-            lead = self.gain.argmax(axis=0)
-            rest = self.gain.copy()
-            rest[lead, self.lane] = -(1 << 30)
-            self.weight = WEIGHTS[lead * 3 + rest.argmax(axis=0)].T.copy()
+                flat = self.rows[o].reshape(-1)
+                share = np.where(last, TOTAL, flat.take(at + 1, mode="clip")) - flat.take(at)
+                self.gain[o] += share - (self.gain[o] >> 4)
+            np.take(WEIGHTS, self.gain.argmax(axis=0), axis=0, out=self.weight, mode="clip")
         np.take(AIM, value, axis=0, out=self.aims, mode="clip")
         for o in range(3):
             np.subtract(self.aims, self.rows[o], out=self.part)
@@ -124,11 +128,11 @@ def encode_lanes(ids: np.ndarray) -> list[bytes]:
         model.token(one, two)
         for digit in range(4):
             before, value = x >> (16 - 4 * digit), (x >> (12 - 4 * digit)) & 15
-            bound = model.predict(digit, before)
-            start, end = bound[lane, value], bound[lane, value + 1]
+            model.predict(digit, before)
+            start, width = model.bounds(value)
             step = span >> U(15)
-            low += step * start.astype(U)
-            span = step * (end - start).astype(U)
+            low += step * start
+            span = step * width
             model.learn(digit, value)
             due = _settle(low, span)
             if len(due):
@@ -149,7 +153,7 @@ def encode_lanes(ids: np.ndarray) -> list[bytes]:
 def decode_lanes(payloads: list[bytes], length: int) -> np.ndarray:
     n = len(payloads)
     model = Mixer(n)
-    lane, most = np.arange(n), max(map(len, payloads)) // 4 + 1
+    most = max(map(len, payloads)) // 4 + 1
     words = np.zeros((n, most), U)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, np.uint32)
@@ -164,13 +168,14 @@ def decode_lanes(payloads: list[bytes], length: int) -> np.ndarray:
         for digit in range(4):
             bound = model.predict(digit, x)
             step = span >> U(15)
-            at = np.minimum(above // step, U(8 * TOTAL - 1)).astype(np.int32)
-            value = (bound[:, 1:16] <= at[:, None]).sum(axis=1)
-            start, end = bound[lane, value].astype(U), bound[lane, value + 1].astype(U)
+            at = np.minimum(above // step, U(8 * TOTAL - 1)).astype(np.int16)
+            value = (bound <= at[:, None]).view(np.uint64).sum(axis=1)  # eight flags are the bytes of a word
+            value = ((value * ONES) >> U(56)).astype(np.int64) - 1
+            start, width = model.bounds(value)
             start *= step
             low += start
             above -= start
-            span = step * end - start
+            span = step * width
             model.learn(digit, value)
             due = _settle(low, span)
             if len(due):
