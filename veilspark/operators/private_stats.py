@@ -149,7 +149,8 @@ def number(value: Column) -> Column:
 
 
 def clamped(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """Null stays null; greatest() and least() alone would pass over it."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def true_count(df: DataFrame, condition: Column, group: Column | None = None) -> DataFrame:
