@@ -28,4 +28,6 @@ def test_columns(docs, empty, spark):
     rows = out.select("*", bpe_replay.decode(F.col("token_ids"), PATH, spark).alias("raw")).collect()
     assert len(rows) == docs.count()
     assert all(r.token_ids == REAL.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode() for r in rows)
+    both = bpe_replay.encode(docs, PATH, P.PATTERN, decoded_col="raw").collect()
+    assert all(bytes(r.raw) == (r.text or "").encode() for r in both) and set(docs.columns) < set(both[0].asDict())
     assert bpe_replay.encode(empty, PATH, P.PATTERN).count() == 0

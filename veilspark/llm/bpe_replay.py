@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-KEEP, TOGETHER, DOCS = 200_000, 100_000, 4000
+KEEP, TOGETHER, DOCS = 120_000, 60_000, 2500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -159,19 +159,30 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: int = KEEP) -> DataFrame:
-    """docs with the ids of each whole text. The rank file is a fixed vocabulary, read on the driver and broadcast."""
+def _pieces(ranks: dict[bytes, int]):
+    return {i: b for b, i in ranks.items()}.__getitem__
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: int = KEEP, decoded_col: str | None = None) -> DataFrame:
+    """docs with the ids of each whole text, and, where decoded_col names a column, the bytes that these ids decode to.
+
+    The rank file is a fixed vocabulary, read on the driver and broadcast. Decoding in the same worker saves sending the ids back and forth.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    kind = StructType([StructField("ids", ArrayType(IntegerType())), *([StructField("raw", BinaryType())] if decoded_col else [])])
 
-    @pandas_udf(ArrayType(IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value, pattern, keep)
+    @pandas_udf(kind)
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, piece = Encoder(shared.value, pattern, keep), _pieces(shared.value)
         for s in batches:
             for at in range(0, max(1, len(s)), DOCS):
-                part = s.iloc[at : at + DOCS]
-                yield pd.Series(encoder.encode(list(part)), dtype=object)
+                out = {"ids": encoder.encode(list(s.iloc[at : at + DOCS]))}
+                if decoded_col:
+                    out["raw"] = [b"".join(map(piece, x.tolist())) for x in out["ids"]]
+                yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
 
-    return docs.withColumn(out_col, ids(F.col(text_col)))
+    out = docs.select(*[c for c in docs.columns if c not in (out_col, decoded_col)], coded(F.col(text_col)).alias("__coded"))
+    return out.select("*", F.col("__coded.ids").alias(out_col), *([F.col("__coded.raw").alias(decoded_col)] if decoded_col else [])).drop("__coded")
 
 
 def decode(ids: Column, ranks_path: str, spark) -> Column:
@@ -180,7 +191,7 @@ def decode(ids: Column, ranks_path: str, spark) -> Column:
 
     @pandas_udf(BinaryType())
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = {i: b for b, i in shared.value.items()}.__getitem__
+        piece = _pieces(shared.value)
         for s in batches:
             yield pd.Series([None if x is None else b"".join(map(piece, x.tolist())) for x in s], dtype=object)
 
