@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-KEEP, TOGETHER, DOCS = 120_000, 60_000, 2500
+KEEP, TOGETHER, DOCS = 200_000, 100_000, 2500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
