@@ -102,6 +102,30 @@ e AS (SELECT source, min(h) AS h, arg_min(upto - rest < rest - (upto - n), h) AS
 k AS (SELECT p.*, CASE WHEN e.h IS NULL THEN 1::BIGINT << 60 ELSE e.h + e.take::BIGINT END AS border FROM p LEFT JOIN e ON p.source IS NOT DISTINCT FROM e.source)
 SELECT s.doc_id, s.source, s.size::BIGINT AS size, k.source_size, k.target, (least(k.whole + (s.h < k.border)::BIGINT, 2) * s.size)::BIGINT AS taken FROM s JOIN k ON s.source IS NOT DISTINCT FROM k.source"""
 
+_FENCES = ", ".join(f"('{m}', {v})" for m, v in quality_rules.SPREAD.items())
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT k, i, w[i:i + 2] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g),
+r AS (SELECT k, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) v(o) WHERE c > 1 GROUP BY k),
+b AS (SELECT d.k, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z!]', '', 'g')) AS n_shout FROM d LEFT JOIN r USING (k)),
+m AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, word_chars / greatest(n_words, 1) AS m_length, n_symbols / greatest(n_words, 1) AS m_symbols, (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1) AS m_lines,
+      n_repeat_words / greatest(n_words, 1) AS m_repeats, n_shout / greatest(word_chars, 1) AS m_shout FROM b),
+v AS (SELECT k, lang, source, measure, value FROM m UNPIVOT (value FOR measure IN (m_length, m_symbols, m_lines, m_repeats, m_shout))),
+s AS (SELECT lang, source, measure, CASE WHEN value <= 1e-9 THEN -10000 ELSE ceil(ln(value) / ln({quality_rules.GROWTH}))::INTEGER END AS b, count(*) AS n FROM v GROUP BY ALL),
+levels AS (SELECT 0 AS lv, lang, source, measure, b, n FROM s UNION ALL SELECT 1, lang, NULL, measure, b, sum(n) FROM s GROUP BY lang, measure, b UNION ALL SELECT 2, NULL, NULL, measure, b, sum(n) FROM s GROUP BY measure, b),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS total FROM levels),
+q AS (SELECT lv, lang, source, measure, any_value(total) AS total, min(b) FILTER (upto >= 0.25 * total) AS b1, min(b) FILTER (upto >= 0.5 * total) AS b2 FROM u GROUP BY lv, lang, source, measure),
+f AS (SELECT q.*, CASE WHEN b1 = -10000 THEN 0 ELSE {quality_rules.GROWTH} ** (b1 - 0.5) END AS q1, CASE WHEN b2 = -10000 THEN 0 ELSE {quality_rules.GROWTH} ** (b2 - 0.5) END AS q2, spread FROM q JOIN (VALUES {_FENCES}) t(measure, spread) USING (measure)),
+fence AS (SELECT *, q2 + {quality_rules.REACH} * (q2 - q1) + spread AS fence FROM f WHERE lv = 2 OR total >= 200),
+x AS (SELECT v.k, max((v.value > coalesce(f0.fence, f1.fence, f2.fence))::INTEGER) AS over_ FROM v
+      LEFT JOIN fence f0 ON f0.lv = 0 AND f0.measure = v.measure AND f0.lang IS NOT DISTINCT FROM v.lang AND f0.source IS NOT DISTINCT FROM v.source
+      LEFT JOIN fence f1 ON f1.lv = 1 AND f1.measure = v.measure AND f1.lang IS NOT DISTINCT FROM v.lang LEFT JOIN fence f2 ON f2.lv = 2 AND f2.measure = v.measure GROUP BY v.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over_ = 0 AS kept FROM m JOIN x USING (k)"""
+
 OP9 = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 pages AS (SELECT DISTINCT source, text, ls FROM d WHERE text IS NOT NULL),
@@ -115,4 +139,4 @@ SELECT doc_id, len(ls) AS n_lines, CASE WHEN whole THEN 0 ELSE len(ls) - len(kep
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op9_line_dedup": OP9}
+    return {"op4_mixing": OP4, "op7_quality_rules": OP7, "op9_line_dedup": OP9}
