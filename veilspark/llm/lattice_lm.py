@@ -1,23 +1,27 @@
-"""Unigram language model whose unseen-word part is a subword lattice.
+"""Unigram language model whose words rest on a subword lattice, and whose documents on a hidden class.
 
-A token is a word or the end of a text. With c a token's training count, N all of them, V the number of distinct words and D a
-discount from the counts of counts,
-    P(word) = (max(c - D, 0) + D * V * P_lattice(word)) / N,   P(end) = c(end) / N,
-so the whole-word arc and the subword arcs together sum to one. P_lattice is the marginal over all segmentations of the word into
+A token is a word or the end of a text. A document belongs to one of a few classes (the commonest values of a column of the training
+rows, such as the language), which the score does not see: it is the marginal
+    P(text) = sum over classes z of P(z) * product of P_z(token).
+With counts c_z of N_z training tokens and V_z distinct words in class z, and a discount D_z from the counts of counts,
+    P_z(word) = (max(c_z - D_z, 0) + (D_z * V_z + 1) * P_all(word)) / (N_z + 1.5),   P_z(end) = (c_z(end) + 0.5) / (N_z + 1.5),
+P_all the same over all classes' words with the lattice below it,
+    P_all(word) = (max(c - D, 0) + (D * V + 1) * P_lattice(word)) / (words + 1).
+So the whole-word arcs and the subword arcs together sum to one. P_lattice is the marginal over all segmentations of the word into
 pieces of a public vocabulary, by a forward recursion in log space. Piece weights start from that vocabulary's own scores and take
 the counts of pieces in the distinct training words. Characters outside the vocabulary are spelt in its byte pieces.
 
 Counting, piece statistics and word scores are distributed by word. Scoring reads the text once: the HEAD commonest words are
 broadcast (a fixed number of words of at most 64 bytes); the others are joined by word, and by construction none of them is hot.
 
-Defined results: null and empty texts are one end token; rows with equal ids are scored each for itself; a null id trains; with no training rows N
-and V are 0, words have half the lattice's probability and the end the other half; extra columns are ignored.
+Defined results: null and empty texts are one end token; rows with equal ids are scored each for itself; a null id trains; a null class, and
+classes beyond the CLASSES commonest, count as one; without training rows words are the lattice's alone; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,32 +33,37 @@ from pyspark.sql import functions as F
 from .common import cut
 
 END = b"\n"
-HEAD, FLUSH, PRIOR = 250_000, 400_000, 1000.0
+HEAD, FLUSH, PRIOR, CLASSES = 250_000, 400_000, 1000.0, 8
 MARK = "▁"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(held_out, text) -> (word, c): training counts, and 0 for words met in held-out rows only."""
-    seen: Counter = Counter()
+    """(held_out, z, text) -> (word, z, c): training counts by class, and 0 for words met in held-out rows only."""
+    seen: dict[int, Counter] = defaultdict(Counter)
     held: set = set()
 
     def flush() -> pa.RecordBatch:
-        rest = [w for w in held if w not in seen]
-        out = pa.RecordBatch.from_arrays([pa.array([*seen, *rest], pa.binary()), pa.array([*seen.values(), *repeat(0, len(rest))], pa.int64())], ["word", "c"])
+        rest = [w for w in held if not any(w in c for c in seen.values())]
+        words, zs, cs = rest, [0] * len(rest), [0] * len(rest)
+        for z, c in seen.items():
+            words += c
+            zs += repeat(z, len(c))
+            cs += c.values()
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(zs, pa.int32()), pa.array(cs, pa.int64())], ["word", "z", "c"])
         seen.clear()
         held.clear()
         return out
 
     for b in batches:
-        for out, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for out, z, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             tokens = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split()
             if out:
                 held.update(tokens)
                 held.add(END)
             else:
-                seen.update(tokens)
-                seen[END] += 1
-            if len(seen) + len(held) > FLUSH:
+                seen[z].update(tokens)
+                seen[z][END] += 1
+            if sum(map(len, seen.values())) + len(held) > FLUSH:
                 yield flush()
     yield flush()
 
@@ -131,18 +140,34 @@ def build_lattice(model: bytes, counts: dict[int, int]) -> Lattice:
     return Lattice(first, {t: math.log(weight[i] / whole) for i, kind, t, _ in parts if kind == "I"}, raw, math.log(first_all / whole))
 
 
-def score(docs: DataFrame, model_path: str, held_out, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, model_path: str, held_out, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", head: int = HEAD) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). held_out: a condition on docs; such rows train nothing."""
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = cut(rows.select("held_out", "text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lmcounts")
+    kind = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
+    rows = docs.select(F.coalesce(held_out, F.lit(False)).alias("held_out"), kind.alias("kind"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = rows.where(~F.col("held_out")).groupBy("kind").count().orderBy(F.desc("count"), "kind")
+    named = [r["kind"] for r in sizes.limit(CLASSES - 1).collect()]
+    n_class = len(named) + 1  # the last one is for all others
+    z = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(named)], F.lit(n_class - 1))
+    by_class = [F.sum(F.when(F.col("z") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(n_class)]
+    found = rows.select("held_out", z.alias("z"), "text").mapInArrow(_counts, "word binary, z int, c long")
+    counts = cut(found.groupBy("word").agg(F.sum("c").alias("c"), *by_class), "lmcounts")
     is_word = F.col("word") != F.lit(END)
-    n, v, v_words, n1, n2 = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if((F.col("c") > 0) & is_word), F.count_if((F.col("c") == 1) & is_word), F.count_if((F.col("c") == 2) & is_word)
-    ).first()
-    discount = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
+    columns = ["c", *[f"c{i}" for i in range(n_class)]]
+    stats = counts.agg(
+        F.count_if(F.col("c") > 0).alias("v"),
+        *[a.alias(f"{k}_{x}") for k in columns for x, a in (
+            ("n", F.coalesce(F.sum(k), F.lit(0))), ("end", F.coalesce(F.sum(F.when(~is_word, F.col(k))), F.lit(0))), ("v", F.count_if((F.col(k) > 0) & is_word)),
+            ("n1", F.count_if((F.col(k) == 1) & is_word)), ("n2", F.count_if((F.col(k) == 2) & is_word)))],
+    ).first().asDict()
+    n, v = stats["c_n"], stats["v"]
+    d = {k: min(0.95, max(0.1, stats[f"{k}_n1"] / max(1, stats[f"{k}_n1"] + 2 * stats[f"{k}_n2"]))) for k in columns}
+    n_z, end_z, d_z = (np.array([f(k) for k in columns[1:]], float) for f in (lambda k: stats[f"{k}_n"], lambda k: stats[f"{k}_end"], d.get))
+    share_z = np.log((d_z * np.array([stats[f"{k}_v"] for k in columns[1:]]) + 1) / (n_z + 1.5))
+    share = math.log((d["c"] * stats["c_v"] + 1) / (n - stats["c_end"] + 1))
+    prior = np.log((end_z + 1e-9) / (end_z + 1e-9).sum())  # the end's count is the number of documents
 
     def piece_counts(batches):
         import sentencepiece
@@ -156,26 +181,26 @@ def score(docs: DataFrame, model_path: str, held_out, id_col: str = "doc_id", te
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
-    found = counts.where((F.col("c") > 0) & is_word).select("word").mapInArrow(piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    lattice = build_lattice(model.value, {r[0]: r[1] for r in found.collect()})  # at most a row for each piece
-    base_of = lambda c: math.log10((c + 1) / (n + v + 1))
+    pieces = counts.where((F.col("c") > 0) & is_word).select("word").mapInArrow(piece_counts, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    lattice = build_lattice(model.value, {r[0]: r[1] for r in pieces.collect()})  # at most a row for each piece
 
     def word_scores(batches):
         for b in batches:
-            out, base = [], []
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                base.append(base_of(c))
-                if w == END:
-                    out.append(math.log10(c / n if n else 0.5))
-                    continue
-                sub = lattice.log_prob(w.decode("utf-8", "replace"))
-                share = math.log(discount * v_words / n) if n and v_words else math.log(0.5)
-                whole = math.log((c - discount) / n) if c else -math.inf
-                top = max(whole, share + sub)
-                out.append((top + math.log(math.exp(whole - top) + math.exp(share + sub - top))) / math.log(10))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.float64()), pa.array(out, pa.float64())], ["word", "c", "base", "lp"])
-
-    scored = cut(counts.mapInArrow(word_scores, "word binary, c long, base double, lp double"), "lmwords")
+            words = b.column(0).to_pylist()
+            c = np.array([np.asarray(b.column(i)) for i in range(1, n_class + 2)], float)
+            with np.errstate(divide="ignore"):
+                known = np.log(np.maximum(c[0] - d["c"], 0) / (n - stats["c_end"] + 1))
+                sub = np.array([-1e9 if w == END else lattice.log_prob(w.decode("utf-8", "replace")) for w in words], float)
+                whole = np.logaddexp(known, share + sub)
+                out = np.logaddexp(np.log(np.maximum(c[1:].T - d_z, 0) / (n_z + 1.5)), share_z + whole[:, None])
+            ends = np.array([w == END for w in words], bool)
+            out[ends] = np.log((end_z + 0.5) / (n_z + 1.5))
+            base = np.log10((c[0] + 1) / (n + v + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base), *[pa.array(np.ascontiguousarray(x)) for x in out.T]], names_w)
+
+    lps = [f"p{i}" for i in range(n_class)]
+    names_w = ["word", "c", "base", *lps]
+    scored = cut(counts.select("word", *columns).mapInArrow(word_scores, f"word binary, c long, base double, {', '.join(f'{p} double' for p in lps)}"), "lmwords")
     # The head: words whose count is at least the least power of 2**(1/8) that no more than `head` words reach.
     short = scored.where((F.col("c") > 0) & (F.length("word") <= 64))
     level = F.floor(F.log2("c") * 8)
@@ -187,45 +212,51 @@ def score(docs: DataFrame, model_path: str, held_out, id_col: str = "doc_id", te
             break
         least = lv
     top = short.where((level >= least) & is_word).toArrow()
-    end = scored.where(~is_word).select("c", "base", "lp").first()
     names = top.column("word").to_pylist()
-    shared = spark.sparkContext.broadcast((names, *(np.r_[top.column(k).to_numpy(), 0] for k in ("c", "base", "lp")), tuple(end) if end else (0, 0.0, 0.0)))
+    table = np.array([np.r_[top.column(k).to_numpy(), 0] for k in ("base", *lps)]).T
+    known_of = np.r_[np.ones(len(names), np.int64), 0]
+    end = np.r_[math.log10((stats["c_end"] + 1) / (n + v + 1)), np.log((end_z + 0.5) / (n_z + 1.5))]
+    shared = spark.sparkContext.broadcast((names, table, known_of, end, int(stats["c_end"] > 0)))
+    fields = ["row", "id", "held_out", "n_tokens", "n_known", "base", *lps, "word", "tf"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (n_class + 1), pa.binary(), pa.int64()]
 
     def text_scores(batches):
         from pyspark import TaskContext
 
-        words, c, base, lp, (_, end_base, end_lp) = shared.value
+        words, table, known_of, end, end_known = shared.value
         find, last = {w: i for i, w in enumerate(words)}.get, len(words)
-        end_known = int(shared.value[4][0] > 0)
         row = TaskContext.get().partitionId() << 36
-        names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "lp", "word", "tf"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+        out: list[list] = [[] for _ in fields]
         for b in batches:
-            out: list[list] = [[] for _ in names]
             for held, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 tokens = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split()
                 at = np.fromiter(map(find, tokens, repeat(last)), np.int64, len(tokens))
                 row += 1
-                one = (row, key, held, len(tokens) + 1, int((c[at] > 0).sum()) + end_known, float(base[at].sum()) + end_base, float(lp[at].sum()) + end_lp, None, None)
+                total = table[at].sum(axis=0) + end
+                one = (row, key, held, len(tokens) + 1, int(known_of[at].sum()) + end_known, *total.tolist(), None, None)
                 for x, y in zip(out, one, strict=True):
                     x.append(y)
                 tail = Counter([tokens[i] for i in np.flatnonzero(at == last)])
                 out[0] += [row] * len(tail)
-                for x in out[1:7]:
+                for x in out[1:-2]:
                     x += [None] * len(tail)
-                out[7] += tail
-                out[8] += tail.values()
-                if len(out[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-
-    both = cut(rows.mapInArrow(text_scores, "row long, id long, held_out boolean, n_tokens long, n_known long, base double, lp double, word binary, tf long"), "lmtexts")
+                out[-2] += tail
+                out[-1] += tail.values()
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], fields)
+                    out = [[] for _ in fields]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], fields)
+
+    schema = f"row long, id long, held_out boolean, n_tokens long, n_known long, base double, {', '.join(f'{p} double' for p in lps)}, word binary, tf long"
+    both = cut(rows.select("held_out", "id", "text").mapInArrow(text_scores, schema), "lmtexts")
+    sums = ["n_known", "base", *lps]
     tail = both.where("word is not null").select("row", "word", "tf").join(scored, "word")
-    known = F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0))
-    tail = tail.select("row", known.alias("n_known"), (F.col("tf") * F.col("base")).alias("base"), (F.col("tf") * F.col("lp")).alias("lp"))
-    none = lambda name: F.lit(None).alias(name)
-    rest = tail.groupBy("row").agg(none("id"), none("held_out"), none("n_tokens"), *[F.sum(k).alias(k) for k in ("n_known", "base", "lp")])
-    all_ = both.where("word is null").select("row", "id", "held_out", "n_tokens", "n_known", "base", "lp").unionByName(rest)
-    out = all_.groupBy("row").agg(*[F.max(k).alias(k) for k in ("id", "held_out", "n_tokens")], *[F.sum(k).alias(k) for k in ("n_known", "base", "lp")])
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
+    tail = tail.select("row", F.when(F.col("c") > 0, F.col("tf")).otherwise(F.lit(0)).alias("n_known"), *[(F.col("tf") * F.col(k)).alias(k) for k in sums[1:]])
+    rest = tail.groupBy("row").agg(*[F.lit(None).alias(k) for k in ("id", "held_out", "n_tokens")], *[F.sum(k).alias(k) for k in sums])
+    every = both.where("word is null").select("row", "id", "held_out", "n_tokens", *sums).unionByName(rest)
+    out = every.groupBy("row").agg(*[F.max(k).alias(k) for k in ("id", "held_out", "n_tokens")], *[F.sum(k).alias(k) for k in sums])
+    # The marginal over classes, by log-sum-exp.
+    terms = [F.col(p) + F.lit(float(x)) for p, x in zip(lps, prior, strict=True)]
+    most = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    out = out.withColumn("most", most).withColumn("lp", F.col("most") + F.log(sum((F.exp(t - F.col("most")) for t in terms), F.lit(0.0))))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("lp") / math.log(10)).alias("score"))
