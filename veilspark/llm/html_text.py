@@ -45,7 +45,10 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     names = " ".join("".join(m) for m in NAMED.findall(attributes))
-    return bool((names and not FURNITURE.isdisjoint(PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))) or HIDDEN.search(attributes))
+    parts = set(PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower())) & FURNITURE if names else set()
+    if in_article:
+        parts -= {"header", "masthead"}  # an article's own header holds its heading
+    return bool(parts or HIDDEN.search(attributes))
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
