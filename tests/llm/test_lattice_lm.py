@@ -45,3 +45,30 @@ def test_no_training_rows_and_empty(docs, empty):
     r = lattice_lm.score(docs.limit(5), MODEL, F.lit(True)).collect()
     assert len(r) == 5 and all(x.train_tokens == 0 and x.n_known == 0 and math.isfinite(x.score) for x in r)
     assert lattice_lm.score(empty, MODEL, held()).count() == 0
+
+
+def test_score_is_the_documented_marginal(docs):
+    import sentencepiece
+
+    rows = [((r.text or "").encode().lower().split(), r.lang or "", r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in docs.collect()]
+    classes = sorted({k for _, k, out in rows if not out})
+    c_z = {k: Counter(w for t, x, out in rows if not out and x == k for w in t) for k in classes}
+    ends = {k: sum(not out and x == k for _, x, out in rows) for k in classes}
+    c = sum(c_z.values(), Counter())
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    lat = lattice_lm.build_lattice(open(MODEL, "rb").read(), Counter(i for w in c for i in sp.encode(w.decode())))
+    n1 = lambda x, k: sum(v == k for v in x.values())
+    d = lambda x: min(0.95, max(0.1, n1(x, 1) / max(1, n1(x, 1) + 2 * n1(x, 2))))
+
+    def p(z, w):
+        whole = (max(c[w] - d(c), 0) + (d(c) * len(c) + 1) * math.exp(lat.log_prob(w.decode()))) / (sum(c.values()) + 1)
+        return (max(c_z[z][w] - d(c_z[z]), 0) + (d(c_z[z]) * len(c_z[z]) + 1) * whole) / (sum(c_z[z].values()) + ends[z] + 1.5)
+
+    memo = {(z, w): math.log(p(z, w)) for w in {w for t, *_ in rows if len(t) < 300 for w in t} for z in classes}
+    want = []
+    for t, *_ in rows:
+        if len(t) < 300:
+            terms = [math.log(ends[z] / sum(ends.values())) + math.log((ends[z] + 0.5) / (sum(c_z[z].values()) + ends[z] + 1.5)) + sum(memo[z, w] for w in t) for z in classes]
+            want.append(round((max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))) / math.log(10), 5))
+    got = [round(r.score, 5) for r in lattice_lm.score(docs, MODEL, held()).collect() if r.n_tokens <= 300]
+    assert all(abs(a - b) < 1e-4 for a, b in zip(sorted(got), sorted(want), strict=True))
