@@ -96,9 +96,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     by_all = by_lang.groupBy("measure", "b").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
     groups = fences(by_group, ["lk", "key"], least_rows)
     langs = fences(by_lang, ["lk"], least_rows).drop("rows")
-    whole = fences(by_all, ["one"], 1).drop("rows", "one")  # one row
+    whole = fences(by_all, ["one"], 1).drop("rows")  # one row
     names = [f"f_{x}" for x in SPREAD]
-    limits = groups.join(langs.select("lk", *[F.col(x).alias(f"l{x}") for x in names]), "lk").join(F.broadcast(whole.select(*[F.col(x).alias(f"a{x}") for x in names])))
+    limits = groups.join(langs.select("lk", *[F.col(x).alias(f"l{x}") for x in names]), "lk").withColumn("one", F.lit(1)).join(F.broadcast(whole.select("one", *[F.col(x).alias(f"a{x}") for x in names])), "one")
     limits = cut(limits.select("key", "rows", *[F.coalesce(x, f"l{x}", f"a{x}").alias(x) for x in names]), "rulefences")
     out = salted_join(m, limits, "key", hot_values(limits, "key", "rows"), F.xxhash64("id"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
