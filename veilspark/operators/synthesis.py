@@ -58,7 +58,8 @@ def moments(df: DataFrame, numeric: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def marginal(df: DataFrame, column: str) -> DataFrame:
     """value, p: shares of the values that aren't null."""
     some = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return some.crossJoin(F.broadcast(some.agg(F.sum("n").alias("all")))).select("value", (F.col("n") / F.col("all")).alias("p"))  # the total is one row
+    total = df.agg(F.count(F.col(f"`{column}`"))).first()[0]
+    return some.select("value", (F.col("n") / F.lit(max(1, total))).alias("p"))
 
 
 def nearest_psd(matrix: np.ndarray) -> np.ndarray:
