@@ -76,7 +76,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, k: int = K, shingle:
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or min(1000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or min(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("__k", [i / n for i in range(1, n)], 20_000)).first()[0] if n > 1 else []
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
     bucket = F.size(F.filter(bounds, lambda b: b <= F.col("__k")))
