@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-KEEP, TOGETHER, DOCS = 200_000, 100_000, 2500
+NONE = np.int64(-1)
+KEEP, TOGETHER, DOCS = 120_000, 40_000, 1500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,16 +50,17 @@ class Merges:
         pairs = pair_table(ranks)
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
-        self.keys, self.to = np.r_[keys[order], -1], np.r_[np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1]
+        self.sorted = keys[order]
+        self.keys, self.to = np.r_[self.sorted, -2], np.r_[np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         #: Ranks of which two merges can want the same symbol: tokens that begin as they end.
         self.doubles = {r for t, r in ranks.items() if any(t[:n] == t[-n:] for n in range(1, len(t)))}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of each pair, -1 for none; a negative id stands for a word's end."""
+        """The rank of each pair, -1 for none; a negative id stands for a word's end, and makes a negative key, which no pair has."""
         key = left << 20 | right
-        at = np.searchsorted(self.keys[:-1], key)
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.to[at], -1)
+        at = self.sorted.searchsorted(key)
+        return np.where(self.keys[at] == key, self.to[at], NONE)
 
 
 def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
@@ -74,44 +77,61 @@ def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]
     def enter(at: np.ndarray) -> None:
         """Positions into the index, by the rank of their pair."""
         rank = pair[at]
-        order = np.argsort(rank, kind="stable")
-        at, rank = at[order], rank[order]
-        if not len(at):
-            return
-        start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]).tolist()
-        for a, b in zip(start, [*start[1:], len(at)], strict=True):
+        if len(at) > 1:
+            order = rank.argsort(kind="stable")
+            at, rank = at[order], rank[order]
+            bounds = [0, *((rank[1:] != rank[:-1]).nonzero()[0] + 1).tolist(), len(at)]
+        else:
+            bounds = [0, len(at)] if len(at) else [0]
+        for a, b in itertools.pairwise(bounds):
             r = int(rank[a])
             if r in index:
                 index[r].append(at[a:b])
-            elif r >= 0:
+            else:
                 index[r] = [at[a:b]]
                 heapq.heappush(queue, r)
 
-    enter(np.flatnonzero(pair >= 0))
+    enter((pair >= 0).nonzero()[0])
     while queue:
         rank = heapq.heappop(queue)
         found = index.pop(rank)
-        i = np.unique(np.concatenate(found))
-        i = i[pair[i] == rank]  # the others were touched by an earlier merge
+        i = np.concatenate(found) if len(found) > 1 else found[0]
+        i = i[pair[i] == rank]  # the others were touched by an earlier merge; one that is there twice is merged alike twice
         if not len(i):
             continue
-        if rank in merges.doubles and (chained := after[i[:-1]] == i[1:]).any():  # in a row of the same pair, as in aaaa, every second one merges
-            first = np.maximum.accumulate(np.where(np.r_[True, ~chained], np.arange(len(i)), 0))
-            i = i[(np.arange(len(i)) - first) % 2 == 0]
+        if rank in merges.doubles and len(i) > 1:
+            i = np.unique(i)
+            chained = after[i[:-1]] == i[1:]
+            if chained.any():  # in a row of the same pair, as in aaaa, every second one merges
+                first = np.maximum.accumulate(np.where(np.r_[True, ~chained], np.arange(len(i)), 0))
+                i = i[(np.arange(len(i)) - first) % 2 == 0]
         j = after[i]
         k = after[j]
         sym[i], sym[j], pair[j] = rank, -2, -1
         after[i], before[k] = k, i
         h = before[i]
-        h = h[sym[h] >= 0]
-        near = np.concatenate((h, i))
-        pair[near] = merges.rank(sym[near], sym[after[near]])
-        enter(near[pair[near] >= 0])
+        near = np.concatenate((h[sym[h] >= 0], i))
+        new = merges.rank(sym[near], sym[after[near]])
+        pair[near] = new
+        enter(near[new >= 0])
     alive = sym >= 0
     upto = np.r_[0, np.cumsum(alive)]
     return sym[alive].astype(np.int32), upto[ends[1:]] - upto[ends[:-1]]
 
 
+def give_back() -> None:
+    """Freed memory back to the system: Python workers outlive their task, and what they hold counts against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class Pretokens(dict):
     """Pretoken -> its number; new ones are numbered as they are met."""
 
@@ -180,6 +200,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 if decoded_col:
                     out["raw"] = [b"".join(map(piece, x.tolist())) for x in out["ids"]]
                 yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
+                del out
+                give_back()
 
     out = docs.select(*[c for c in docs.columns if c not in (out_col, decoded_col)], coded(F.col(text_col)).alias("__coded"))
     return out.select("*", F.col("__coded.ids").alias(out_col), *([F.col("__coded.raw").alias(decoded_col)] if decoded_col else [])).drop("__coded")
