@@ -59,3 +59,11 @@ def test_run_gives_the_last_stages_rows(stages, spark):
 
 def test_every_operator_has_its_query():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+
+
+def test_short_pages_lose_their_furniture(spark):
+    head, foot = "Menu of the site with all its many parts", "All rights reserved, write to the owner of the site"
+    rows = [(i, f"{head}\nown words {i}\n{foot}", "en", "s", 9) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.lines(spark, docs, DATA).collect()}
+    assert got == {i: (f"own words {i}", len(f"own words {i}")) for i in range(20)}
