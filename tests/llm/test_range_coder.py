@@ -41,3 +41,9 @@ def test_files_hold_the_librarys_ids(docs, empty):
         got = range_coder.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).collect()
         assert sorted((str(r.doc_id), r.start, r.n_tokens, r.c) for r in got) == sorted(want)
     assert range_coder.read_ids(range_coder.write_ids(empty, path, P.PATTERN)).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [-1, 65536])
+def test_ids_beyond_four_digits_are_refused(wrong):
+    with pytest.raises(ValueError):
+        range_coder.encode_blocks(np.array([1, wrong, 2], np.int64))

@@ -197,7 +197,9 @@ def decode_lanes(payloads: list[bytes], length: int) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length."""
+    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length. Four digits hold 0 to 65535."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 16):
+        raise ValueError("an id outside 0..65535")
     n = -(-len(ids) // block)
     if n == 0:
         return []
