@@ -27,6 +27,21 @@ def test_regions_surge_and_dive():
     assert regions([0, 5, 0, 0, 0, 7, 3, 0, 2], width=2) == [(1, 2), (5, 9)]
 
 
+LONG = "<p>" + "long body " * 40 + "</p>"
+
+
+def test_short_articles_beside_a_long_body():
+    page = f"<body><div>{LONG}<p>End.</p></div><article><h3>Card</h3><p>Teaser one</p></article><article><p>Teaser two</p></article></body>"
+    assert main_text(page) == ("long body " * 40).strip() + "\nEnd."
+
+
+def test_articles_in_closed_furniture():
+    page = f"<body><div id='comments'><article><p>{'A reader says. ' * 30}</p></article></div><aside><article><p>Card</p></article></aside><article>{LONG}</article></body>"
+    assert main_text(page) == ("long body " * 40).strip()
+    assert main_text("<div class='with-sidebar'><article><p>Text</p></article></div>") == "Text"
+    assert main_text("<div class='sidebar'><main><p>Text</p></main></div>") == "Text"
+
+
 def test_column(spark):
     df = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old")], "page_id int, html string, text string")
     assert {r.page_id: r.text for r in extract(df).collect()} == {1: main_text(PAGE), 2: ""}

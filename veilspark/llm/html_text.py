@@ -3,8 +3,12 @@
 Markup is stripped into lines, one a block; text in parts that are named as furniture (menus, footers, forms, adverts, comments and
 the like) and lines that are mostly links count as empty. Text lengths are summed over sliding windows of `width` lines. A region surges
 at the first line whose window is not empty and dives where the window is empty again. An article or main element is set off by empty lines on
-both sides, so it makes regions of its own; if the page has one with text, its regions are kept, else the regions with at least `share`
-of the text of the largest one. Nothing inside a kept region is dropped, however short it is.
+both sides, so it makes regions of its own, and an article's text weighs WEIGHT times. Regions with text directly in the same container (an article, else the
+innermost div, section or table cell) are one, so furniture between paragraphs parts nothing. Regions with at least `share` of the weight of the heaviest one
+are kept, on pages with and without an article. Nothing inside a kept region or its containers is dropped, however short it is; lists of links there stay.
+
+An article inside furniture that is properly closed (reader comments, related cards) is furniture; one inside furniture that is never closed ends it, as
+main always does. Only where a page would have no text at all, articles inside closed furniture count.
 
 Length alone can't tell a one-line paragraph from a one-line notice; therefore parts named as furniture are emptied first.
 
@@ -24,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-WIDTH, SHARE = 3, 0.25
+WIDTH, SHARE, WEIGHT = 3, 0.25, 2
 # HTML's element names by role, and words of class, id and role that name furniture.
 SKIPPED = frozenset("head nav footer aside form menu dialog template noscript iframe object svg canvas button select textarea audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul option caption".split())
+CONTAINERS = frozenset("div section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related respond rss share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search".split())
 TOKEN = re.compile(
@@ -51,18 +56,39 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(parts or HIDDEN.search(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters that count, inside an article) of each line in page order."""
-    out: list[tuple[str, int, bool]] = []
+def _closed(page: str) -> set[int]:
+    """Where the elements start that are closed, as are all elements of the same name around them."""
+    opened: dict[str, list[int]] = {}
+    outermost: dict[int, int] = {}
+    ended = set()
+    for m in TOKEN.finditer(page):
+        tag = (m[3] or "").lower()
+        if not tag or m[4].endswith("/"):
+            continue
+        held = opened.setdefault(tag, [])
+        if not m[2]:
+            held.append(m.start())
+            outermost[m.start()] = held[0]
+        elif held:
+            ended.add(held.pop())
+    return {at for at, first in outermost.items() if first in ended}
+
+
+def lines_of(page: str, nested: bool = False) -> list[tuple[str, int, int]]:
+    """(text, weight, container) of each line in page order; container 0 is the page. nested: articles inside closed furniture count too."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    links = skip = articles = in_link = 0
+    links = skip = articles = in_link = deep = made = article = skip_at = 0
     skip_tag, at = "", 0
+    inside: list[tuple[str, int]] = []
+    closed: set[int] | None = None
 
     def close() -> None:
         nonlocal links
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, 0 if 2 * links > len(text) and not articles else len(text), articles > 0))
+            weight = 0 if 2 * links > len(text) else len(text) * (WEIGHT if deep else 1)
+            out.append((text, weight, article if deep else inside[-1][1] if inside else 0))
         held.clear()
         links = 0
 
@@ -83,12 +109,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if skip:
             if tag == skip_tag and not m[4].endswith("/"):
                 skip += -1 if m[2] else 1
-            elif tag in ("article", "main") and not m[2]:
-                skip = 0  # the furniture was never closed
+            elif tag == "main" and not m[2]:
+                skip = 0
+            elif tag == "article" and not m[2]:
+                if closed is None:
+                    closed = set() if nested else _closed(page)
+                if skip_at not in closed:
+                    skip = 0  # the furniture was never closed
             if skip:
                 continue
             if tag == skip_tag:
-                out.append(("", 0, articles > 0))
+                out.append(("", 0, 0))
                 continue
         if tag == "a":
             in_link = 0 if m[2] else 1
@@ -98,16 +129,30 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close()
         if m[2]:
             if tag in ("article", "main"):
-                out += [("", 0, False)] * WIDTH
+                out += [("", 0, 0)] * WIDTH
                 articles = max(0, articles - 1)
+                deep = max(0, deep - (tag == "article"))
+            elif tag in CONTAINERS:
+                upto = next((i for i in range(len(inside) - 1, -1, -1) if inside[i][0] == tag), None)
+                if upto is not None:
+                    close()
+                    del inside[upto:]
             continue
         if tag not in VOID and _furniture(tag, m[4], articles > 0):
             if not m[4].endswith("/"):
                 close()
-                skip, skip_tag, in_link = 1, tag, 0
+                skip, skip_tag, skip_at, in_link = 1, tag, m.start(), 0
         elif tag in ("article", "main"):
-            out += [("", 0, False)] * WIDTH
+            out += [("", 0, 0)] * WIDTH
             articles += 1
+            if tag == "article":
+                made += not deep
+                article = article if deep else made
+                deep += 1
+        elif tag in CONTAINERS:
+            close()
+            made += 1
+            inside.append((tag, made))
     if at < len(page) and not skip:
         take(page[at:])
     close()
@@ -127,18 +172,37 @@ def regions(lengths: list[int], width: int = WIDTH) -> list[tuple[int, int]]:
     return out
 
 
+def _kept(lines: list[tuple[str, int, int]], width: int, share: float) -> list[str]:
+    lengths = [n for _, n, _ in lines]
+    spans = regions(lengths, width)
+    owns = [{c for _, n, c in lines[a:b] if n} for a, b in spans]
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for own in owns:
+        first = root(min(own))
+        for c in own:
+            up[root(c)] = first
+    weights: dict[int, int] = {}
+    for (a, b), own in zip(spans, owns, strict=True):
+        g = root(min(own))
+        weights[g] = weights.get(g, 0) + sum(lengths[a:b])
+    most = max(weights.values(), default=0)
+    chosen = {g for g, w in weights.items() if w >= share * most}
+    inside = {c for c in up if root(c) in chosen}
+    stay = {i for (a, b), own in zip(spans, owns, strict=True) if root(min(own)) in chosen for i in range(a, b) if lines[i][1] or lines[i][2] in inside}
+    stay.update(i for i, x in enumerate(lines) if x[2] and x[2] in inside)
+    return [lines[i][0] for i in sorted(stay) if lines[i][0]]
+
+
 def main_text(page: str | None, width: int = WIDTH, share: float = SHARE) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
-    lengths = [n for _, n, _ in lines]
-    found = [(a, b, sum(lengths[a:b]), any(x[2] and x[1] for x in lines[a:b])) for a, b in regions(lengths, width)]
-    if any(x[3] for x in found):
-        chosen = [x for x in found if x[3]]
-    else:
-        most = max((x[2] for x in found), default=0)
-        chosen = [x for x in found if x[2] >= share * most]
-    return "\n".join(lines[i][0] for a, b, *_ in chosen for i in range(a, b) if lines[i][1])
+    return "\n".join(_kept(lines_of(page), width, share) or _kept(lines_of(page, nested=True), width, share))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", width: int = WIDTH, share: float = SHARE) -> DataFrame:
