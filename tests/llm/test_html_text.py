@@ -42,6 +42,12 @@ def test_articles_in_closed_furniture():
     assert main_text("<div class='sidebar'><main><p>Text</p></main></div>") == "Text"
 
 
+def test_furniture_in_a_row_and_lists_of_links():
+    furniture = "<div class='ad'>a</div><div class='share'>b</div><div class='related'>c</div><div class='promo'>d</div>"
+    page = f"<body><div>{LONG}{furniture}<p>Closing.</p><ul><li><a>First link</a></li><li><a>Second link</a></li></ul></div><div><a>Elsewhere</a></div></body>"
+    assert main_text(page) == ("long body " * 40).strip() + "\nClosing.\nFirst link\nSecond link"
+
+
 def test_column(spark):
     df = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old")], "page_id int, html string, text string")
     assert {r.page_id: r.text for r in extract(df).collect()} == {1: main_text(PAGE), 2: ""}
