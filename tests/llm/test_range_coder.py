@@ -47,3 +47,14 @@ def test_files_hold_the_librarys_ids(docs, empty):
 def test_ids_beyond_four_digits_are_refused(wrong):
     with pytest.raises(ValueError):
         range_coder.encode_blocks(np.array([1, wrong, 2], np.int64))
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, None])
+def test_added_tokens_as_the_library_takes_them(pattern):
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        library = range_coder.Library(f.read(), pattern)
+    texts = ["an <|endoftext|> end", "<|endoftext|><|endoftext|>  x", "a  <|endoftext|>\n\nb <|endoftext|", "none", "", "<|endoftext|>"]
+    assert [x.tolist() for x in library.encode(texts, 0)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert 50256 in library.encode(texts[:1], 0)[0]

@@ -233,15 +233,26 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
 
 
 class Library:
-    """Ids by the tokenizers library. It splits a text into pretokens before merging, so each distinct pretoken is encoded once."""
+    """Ids by the tokenizers library in its default state. It splits a text at the added tokens, then into pretokens before merging, so each distinct one is encoded once."""
 
     def __init__(self, definition: str, pattern: str | None, keep: int = KEEP) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
-        self.find, self.keep = regex.compile(pattern).findall if pattern else lambda t: [t], keep
+        added = [t for t in self.library.get_added_tokens_decoder().values() if t.content]
+        if any(t.lstrip or t.rstrip or t.single_word for t in added) or (self.library.normalizer and any(t.normalized for t in added)):
+            pattern = None  # such tokens depend on what stands around them
+        words = regex.compile(pattern).findall if pattern else lambda t: [t]
+        names = sorted((t.content for t in added), key=len, reverse=True)
+        cut_at = regex.compile(f"({'|'.join(map(regex.escape, names))})").split if names and pattern else None
+
+        def find(t: str) -> list[str]:
+            if not cut_at or not any(n in t for n in names):
+                return words(t)
+            return [x for i, part in enumerate(cut_at(t)) if part for x in ([part] if i % 2 else words(part))]
+
+        self.find, self.keep = find, keep
         self.reset()
 
     def reset(self) -> None:
