@@ -1,60 +1,95 @@
 import array
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veilspark.llm import range_coder
 
+PATH = P.path("byte_bpe_50k.json")
 
-@pytest.mark.parametrize("n", [0, 1, 7, 300, 301, 1500])
-def test_round_trip(n):
+
+@pytest.fixture(scope="module")
+def library():
+    with open(PATH, encoding="utf-8") as f:
+        return range_coder.Library(f.read())
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 300, 301, 1500, 5000])
+@pytest.mark.parametrize("block", [300, 2048])
+def test_round_trip(n, block):
     rng = np.random.default_rng(n)
-    for ids in ((rng.zipf(1.3, n) % 50257), np.full(n, 50256), np.zeros(n), rng.integers(0, 65536, n)):
-        blocks = range_coder.encode_blocks(ids.astype(np.int64), block=300)
+    pattern = np.tile(rng.integers(0, 50000, 40), n // 40 + 1)[:n]
+    for ids in ((rng.zipf(1.3, n) % 50257), np.full(n, 50256), np.zeros(n), rng.integers(0, 65536, n), np.arange(n) % 65536, pattern):
+        blocks = range_coder.encode_blocks(ids.astype(np.int64), block=block)
         assert (range_coder.decode_blocks(blocks) == ids).all()
 
 
+def test_blocks_are_independent():
+    ids = np.random.default_rng(1).zipf(1.3, 3000) % 50257
+    blocks = range_coder.encode_blocks(ids, block=500)
+    assert (range_coder.decode_blocks([blocks[3]]) == ids[1500:2000]).all()
+
+
 def test_compresses_and_finds_damage():
-    ids = np.tile(np.arange(50) * 977 % 50257, 40)
-    blocks = range_coder.encode_blocks(ids, block=2000)
-    assert sum(map(len, blocks)) < len(ids)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 50000, 300)
+    ids = words[np.minimum(rng.zipf(1.2, 20000), 300) - 1]
+    blocks = range_coder.encode_blocks(ids)
+    plain = sum(len(zlib.compress(ids[at : at + 2048].astype("<u2").tobytes())) for at in range(0, len(ids), 2048))
+    assert sum(map(len, blocks)) < plain
+    repeats = range_coder.encode_blocks(np.tile(np.arange(50) * 977 % 50257, 40))
+    assert sum(map(len, repeats)) < 700  # contexts of one and two ids
     with pytest.raises(ValueError):
         range_coder.decode_blocks([blocks[0][:20] + bytes([blocks[0][20] ^ 1]) + blocks[0][21:]])
 
 
-def test_files_hold_the_librarys_ids(docs, empty):
-    path = P.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+def test_files_hold_the_librarys_ids(docs, empty, spark):
+    t = Tokenizer.from_file(PATH)
+    more = spark.createDataFrame([(7, "an <|endoftext|> end"), (7, "an"), (8, "<|endoftext|>" * 3), (None, "a"), (None, None)], "doc_id long, text string")
+    every = docs.unionByName(more, allowMissingColumns=True)
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in every.collect()))
     want, at = [], 0
-    for has, k, text in rows:
+    for has, k, _, text in rows:
         ids = t.encode(text, add_special_tokens=False).ids + [0]
         want.append((str(k if has else None), at, len(ids), zlib.crc32(array.array("I", ids).tobytes())))
         at += len(ids)
-    for pattern in (P.PATTERN, None):
-        files = range_coder.write_ids(docs, path, pattern)
+    for part_chars in (1 << 20, 3000):
+        files = range_coder.write_ids(every, PATH, part_chars=part_chars)
         got = range_coder.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).collect()
         assert sorted((str(r.doc_id), r.start, r.n_tokens, r.c) for r in got) == sorted(want)
-    assert range_coder.read_ids(range_coder.write_ids(empty, path, P.PATTERN)).count() == 0
+    assert range_coder.read_ids(range_coder.write_ids(empty, PATH)).count() == 0
 
 
 @pytest.mark.parametrize("wrong", [-1, 65536])
-def test_ids_beyond_four_digits_are_refused(wrong):
+def test_ids_that_blocks_cannot_hold_are_refused(wrong):
     with pytest.raises(ValueError):
         range_coder.encode_blocks(np.array([1, wrong, 2], np.int64))
 
 
-@pytest.mark.parametrize("pattern", [P.PATTERN, None])
-def test_added_tokens_as_the_library_takes_them(pattern):
-    path = P.path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
+def test_pieces_give_the_ids_of_whole_texts(library):
+    rng = random.Random(4)
+    bits = ["a", "word", "Über", " ", " ", "  ", "   ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", " ", " ", "​", "\x1c", "\x85", "'s", "'", "12", "!?", "漢字", "🙂", "<|endoftext|>", "<|endoftext", "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += ["an <|endoftext|> end", "<|endoftext|><|endoftext|>  x", "a  <|endoftext|>\n\nb <|endoftext|", "", " ", "\n", "x" * 5000, "y " * 5000]
+    t = Tokenizer.from_file(PATH)
+    assert library.apart
+    ids, sizes = library.encode(pa.array([*texts, None]))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]]
+    assert got == [*[t.encode(x, add_special_tokens=False).ids for x in texts], []]
+    assert 50256 in got[4000]
+
+
+def test_other_definitions_are_encoded_whole():
+    path = P.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        library = range_coder.Library(f.read(), pattern)
-    texts = ["an <|endoftext|> end", "<|endoftext|><|endoftext|>  x", "a  <|endoftext|>\n\nb <|endoftext|", "none", "", "<|endoftext|>"]
-    assert [x.tolist() for x in library.encode(texts, 0)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
-    assert 50256 in library.encode(texts[:1], 0)[0]
+        other = range_coder.Library(f.read())
+    t = Tokenizer.from_file(path)
+    texts = ["Two  words", "", "a\nb", None]
+    ids, sizes = other.encode(pa.array(texts))
+    assert not other.apart and [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]

@@ -51,9 +51,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    files = range_coder.write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    files = range_coder.write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return range_coder.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

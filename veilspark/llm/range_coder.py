@@ -1,205 +1,306 @@
 """Token ids as files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-An id is coded as four 4-bit digits. For each digit three adaptive distributions stand by, picked by the digits before it in the id (order 0), these and
-the id before (order 1), these and the two ids before (order 2); they are mixed with weights that follow which order has
-predicted best in the block, and the mix drives a carry-less range coder with a 64-bit low end and 32-bit output words. Each block of
-BLOCK ids starts from a fresh model and carries a CRC-32, so any block is read, or found damaged, by itself.
+Within a block an id is known by its number: the how-manieth distinct id of the block it is. Three orders predict it. Orders 2 and 1 each expect
+one number, the last one seen after the same two ids or the same id, and count how often in a row they were right; order 0 is an adaptive distribution over all numbers
+of the block. The mix of the three drives a carry-less range coder with a 64-bit low end and 32-bit output words. It is coded in two steps: the first
+symbol tells whose prediction holds (order 2's, order 1's, none since the id is new, or order 0's, by its bucket), under shares that are adapted for each state of trust in the orders;
+the second is the place in order 0's bucket, adapted for each bucket, or a new id's 16 bits. Each block of BLOCK ids starts from a fresh model
+and carries a CRC-32, so any block is read, or found damaged, by itself.
 
-One numpy step codes one digit of every block of a group at once, so blocks are lanes and Python's cost is shared.
+One numpy step codes one id of every block of a group at once, so blocks are lanes and Python's cost is shared.
 
 File format: Parquet rows of (part, first, doc_ids, lengths, blocks); a row is a group of whole documents in id order, `first` its first id's position in
-the part, parts are in order of ids. A block is b"CMR1", its number of ids, its payload's CRC-32 (little-endian unsigned 32 bits each) and the payload,
+the part, parts are in order of ids. A block is b"CMR2", its number of ids, its payload's CRC-32 (little-endian unsigned 32 bits each) and the payload,
 32-bit words.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows with equal ids follow each other by text;
-an empty table writes no row; extra columns are ignored; a damaged block raises ValueError when read.
+an empty table writes no row; extra columns are ignored; a damaged block raises ValueError when read; ids of 65536 or more raise ValueError when written.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_replay import KEEP, Pretokens
 from .common import cut
+from .pieces import ODD, Pieces, slices
 
-BLOCK, GROUP, LANES = 4096, 4 << 20, 2048
+BLOCK, GROUP, LANES = 2048, 4 << 20, 2048
+KEEP, TOGETHER = 400_000, 20_000
 HEAD, HEAD_SIZE = "<4sII", 12
-TOTAL, LEAST = 4096, 8
-SLOTS = 512
-RATES = (5, 4, 4)
-# Weights of orders 0, 1 and 2 (eighths) by the order that has predicted best.
-WEIGHTS = np.repeat(np.array([(5, 2, 1), (2, 4, 2), (1, 3, 4)], np.int16).T[:, :, None], 16, axis=2)
-AIM = np.array([[j * LEAST if j <= s else TOTAL - (16 - j) * LEAST for j in range(16)] for s in range(16)], np.int16)
+TOTAL, LEAST = 4096, 4
+FIRST, SECOND = 32, 16
+FIRST_RATE, SECOND_RATE = 5, 4
+NUMBERS, PAIRS = 2048, 1024
 U = np.uint64
-ONES = U(0x0101010101010101)
+BITS, LAST, WORD, LOWER = U(12), U(TOTAL - 1), U(32), U(0xFFFFFFFF)
+ONES, TOP = U(0x0101010101010101), U(56)
+#: First symbols: order 2 is right, order 1 is, the id is new; from SEEN on the buckets of order 0.
+ORDER2, ORDER1, NEW, SEEN = 0, 1, 2, 3
+#: Buckets of numbers: how many, and the power of two of their size.
+BUCKETS = ((16, 4), (7, 6), (4, 7), (2, 9))
+V64, V32 = np.dtype("V64"), np.dtype("V32")
 
 
-def _whole(rows: np.ndarray) -> np.ndarray:
-    """Rows of 16 numbers as single items, which numpy moves much faster than rows."""
-    return rows.view("V32").reshape(-1)
+def _buckets() -> tuple[np.ndarray, ...]:
+    """First number and spare bits (beyond 4) of each bucket; bucket, place and spare part of each number."""
+    size = np.repeat([p for _, p in BUCKETS], [n for n, _ in BUCKETS])
+    start = np.r_[0, np.cumsum(1 << size)]
+    number = np.arange(NUMBERS)
+    k = np.searchsorted(start, number, "right") - 1
+    inside, spare = number - start[k], size[k] - 4
+    return start[:-1], np.r_[0, 0, 4, size - 4], k, inside >> spare, inside & ((1 << spare) - 1)
 
 
-class Mixer:
-    """The models of n blocks, in step with each other."""
+START, SPARE, BUCKET, PLACE, REST = _buckets()
+#: The row of the second symbol's distributions by first symbol; the last row is for those that have none.
+ROW = np.r_[[FIRST - SEEN] * SEEN, np.arange(FIRST - SEEN)]
+
+
+def _aims(side: int) -> np.ndarray:
+    """Where a distribution's lower bounds move when a symbol was seen."""
+    j, s = np.arange(side), np.arange(side)[:, None]
+    return np.where(j <= s, j * LEAST, TOTAL - (side - j) * LEAST).astype(np.int16)
+
+
+AIM1, AIM2 = _aims(FIRST).view(V64).reshape(-1), _aims(SECOND).view(V32).reshape(-1)
+
+
+def _first_rows() -> np.ndarray:
+    """Shares that the mix begins with, by trust in order 2 (0 to 3) and order 1 (0, 1)."""
+    out = []
+    for two in (0.01, 0.15, 0.4, 0.7):
+        for one in (0.08, 0.3):
+            p = np.r_[two, (1 - two) * one, (1 - two) * (1 - one) * 0.2, 1 / np.arange(2.0, FIRST - 1)]
+            p[SEEN:] *= (1 - p[:SEEN].sum()) / p[SEEN:].sum()
+            out.append(np.r_[0, np.cumsum((p * (TOTAL - FIRST * 8)).astype(int) + 8)[:-1]])
+    return np.array(out).astype(np.int16)
+
+
+class Model:
+    """The models of n blocks, in step with each other. Rows of a distribution are moved as single items, which numpy does much faster."""
 
     def __init__(self, n: int) -> None:
+        lane = np.arange(n)
         self.n = n
-        start = np.arange(16, dtype=np.int16) * (TOTAL // 16)
-        self.tables = [_whole(np.tile(start, (n * SLOTS, 1))) for _ in range(3)]
-        self.base = np.arange(n, dtype=np.int64) * SLOTS
-        self.rows = [np.empty((n, 16), np.int16) for _ in range(3)]
-        self.at = [np.empty(n, np.int64) for _ in range(3)]
-        self.mix = np.empty((n, 16), np.int16)
-        self.gain = np.zeros((3, n), np.int32)
-        self.weight = [np.tile(w[0], (n, 1)) for w in WEIGHTS]
-        self.lane16 = np.arange(n) * 16
-        self.aims, self.part = np.empty((n, 16), np.int16), np.empty((n, 16), np.int16)
-
-    def token(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Start an id after the ids one and, before it, two."""
-        self.h1 = one * 0x9E3779B1
-        self.h2 = self.h1 + two * 0x85EBCA77 + 0x165667B1
-
-    def predict(self, digit: int, before: np.ndarray) -> np.ndarray:
-        """Lower bounds of the 16 values of the digit for each block; the total is 8 * TOTAL."""
-        low = before + (0, 1, 17)[digit] if digit < 3 else 273 + (before * 40503 >> 5) % (SLOTS - 273)
-        salt = (before + (digit << 12)) * 0xC2B2AE35
-        np.add(self.base, low, out=self.at[0])
-        for o, h in ((1, self.h1), (2, self.h2)):
-            x = h + salt
-            x ^= x >> 15
-            x *= 0x2C1B3C6D
-            x >>= 20
-            x &= SLOTS - 1
-            np.add(self.base, x, out=self.at[o])
-        for o in range(3):
-            np.take(self.tables[o], self.at[o], out=_whole(self.rows[o]), mode="clip")
-        np.multiply(self.rows[0], self.weight[0], out=self.mix)
-        for o in (1, 2):
-            np.multiply(self.rows[o], self.weight[o], out=self.part)
-            self.mix += self.part
-        return self.mix
-
-    def bounds(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower bound and width of a value."""
-        flat, at = self.mix.reshape(-1), self.lane16 + value
-        start = flat.take(at).astype(np.int64)
-        end = np.where(value == 15, 8 * TOTAL, flat.take(at + 1, mode="clip").astype(np.int64))
-        return start.astype(U), (end - start).astype(U)
-
-    def learn(self, digit: int, value: np.ndarray) -> None:
-        if digit == 1:
-            at = self.lane16 + value
-            last = value == 15
-            for o in range(3):
-                flat = self.rows[o].reshape(-1)
-                share = np.where(last, TOTAL, flat.take(at + 1, mode="clip")) - flat.take(at)
-                self.gain[o] += share - (self.gain[o] >> 4)
-            lead = self.gain.argmax(axis=0)
-            for o in range(3):
-                np.take(_whole(WEIGHTS[o]), lead, out=_whole(self.weight[o]), mode="clip")
-        np.take(_whole(AIM), value, out=_whole(self.aims), mode="clip")
-        for o in range(3):
-            np.subtract(self.aims, self.rows[o], out=self.part)
-            self.part >>= RATES[o]
-            self.part += self.rows[o]
-            self.tables[o][self.at[o]] = _whole(self.part)
-
-
-def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Blocks whose span is short of 32 bits; a span that straddles a word's end is cut off there."""
-    due = np.flatnonzero(span < U(1 << 32))
-    if len(due):
-        a, s = low[due], span[due]
-        straddles = (a ^ (a + (s - U(1)))) >> U(32) != 0
-        span[due] = np.where(straddles, (~a + U(1)) & U(0xFFFFFFFF), s)
-    return due
+        self.first = np.tile(_first_rows().view(V64).reshape(-1), n)
+        even = (np.arange(SECOND) * (TOTAL // SECOND)).astype(np.int16)
+        self.second = np.tile(even, (n * (FIRST - SEEN + 1), 1)).view(V32).reshape(-1)
+        self.guesses = np.zeros(n * (NUMBERS + PAIRS), np.int16)  # a number, and from bit 12 on how often it was right
+        self.of_one, self.of_two, self.of_first, self.of_second = lane * NUMBERS, lane * PAIRS + n * NUMBERS, lane * 8, lane * (FIRST - SEEN + 1)
+        self.at, self.fresh = np.empty(2 * n, np.int64), np.empty((2, n), np.int16)
+        self.lane1, self.lane2 = lane * FIRST, lane * SECOND
+
+    def guess(self, a: np.ndarray, b: np.ndarray) -> None:
+        """What is expected after the numbers b, a (a is the later)."""
+        n, at = self.n, self.at
+        np.add(self.of_one, a, out=at[:n])
+        x = a * 0x9E3779B1
+        x += b * 0x85EBCA77
+        x >>= 15
+        x &= PAIRS - 1
+        np.add(self.of_two, x, out=at[n:])
+        self.e = e = self.guesses.take(at)
+        self.expected = (e & 4095).reshape(2, n)  # by order 1, by order 2
+        trust = e[n:] >> 12
+        trust += trust
+        trust += e[:n] >> 13
+        self.at1 = self.of_first + trust
+        self.row1 = self.first.take(self.at1).view(np.int16).reshape(-1, FIRST)
+
+    def place(self, symbol: np.ndarray) -> None:
+        self.at2 = self.of_second + ROW.take(symbol)
+        self.row2 = self.second.take(self.at2).view(np.int16).reshape(-1, SECOND)
+
+    def learn(self, number: np.ndarray, symbol: np.ndarray, place: np.ndarray) -> None:
+        d = AIM1.take(symbol).view(np.int16).reshape(-1, FIRST)
+        d -= self.row1
+        d >>= FIRST_RATE
+        d += self.row1
+        self.first[self.at1] = d.view(V64).reshape(-1)
+        d = AIM2.take(place).view(np.int16).reshape(-1, SECOND)
+        d -= self.row2
+        d >>= SECOND_RATE
+        d += self.row2
+        self.second[self.at2] = d.view(V32).reshape(-1)
+        right = (self.expected == number).reshape(-1)
+        more = np.minimum(self.e + np.int16(4096), self.e | np.int16(12288))
+        self.fresh[:] = number | np.int16(4096)
+        self.guesses[self.at] = np.where(right, more, self.fresh.reshape(-1))
+
+
+def _bounds(rows: np.ndarray, lane: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bound and width of a value. Each row begins with 0, so the entry after a row's last one is its total, less TOTAL."""
+    flat, at = rows.reshape(-1), lane + value
+    start = flat.take(at).astype(U)
+    at += 1
+    width = flat.take(at, mode="wrap").astype(U)
+    width -= start
+    width &= LAST
+    return start, width
+
+
+def _symbol(flags: np.ndarray) -> np.ndarray:
+    """The number of true flags in each row, less one; eight flags are the bytes of a word."""
+    f = flags.view(U)
+    while f.shape[1] > 1:
+        f = f[:, : f.shape[1] // 2] + f[:, f.shape[1] // 2 :]
+    f = f[:, 0] * ONES
+    f >>= TOP
+    return f.view(np.int64) - 1
+
+
+def _settle(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks whose span is short of 32 bits move on by a word; a span that straddles a word's end is cut off there."""
+    due = (span < U(1 << 32)).nonzero()[0]
+    a = low.take(due)
+    span[due] = np.minimum(span.take(due), U(1 << 32) - (a & LOWER)) << WORD
+    low[due] = a << WORD
+    return due, a
+
+
+def _numbers(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each id in its block, and whether it is new there."""
+    n, length = ids.shape
+    order = ids.astype(np.uint16).argsort(axis=1, kind="stable")
+    ordered = np.take_along_axis(ids, order, 1)
+    head = np.ones(ids.shape, bool)
+    head[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    at = (order + np.arange(0, n * length, length)[:, None]).reshape(-1)
+    heads = head.reshape(-1).nonzero()[0]
+    new = np.zeros(n * length, bool)
+    new[at[heads]] = True
+    rank = np.cumsum(new.reshape(n, length), axis=1, dtype=np.int16).reshape(-1) - np.int16(1)
+    out = np.empty(n * length, np.int16)
+    out[at] = np.repeat(rank[at[heads]], np.diff(np.r_[heads, n * length]))
+    return out.reshape(n, length), new.reshape(n, length)
 
 
 def encode_lanes(ids: np.ndarray) -> list[bytes]:
     """ids (blocks, length) -> the payload of each block."""
     n, length = ids.shape
-    model, lane = Mixer(n), np.arange(n)
+    model, lane = Model(n), np.arange(n)
     low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    out, used = np.zeros((n, length * 2 + 4), np.uint32), np.zeros(n, np.int64)
-    one = two = np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
-    for x in columns:
-        model.token(one, two)
-        for digit in range(4):
-            before, value = x >> (16 - 4 * digit), (x >> (12 - 4 * digit)) & 15
-            model.predict(digit, before)
-            start, width = model.bounds(value)
-            step = span >> U(15)
-            low += step * start
-            span = step * width
-            model.learn(digit, value)
-            due = _settle(low, span)
-            if len(due):
-                if used[due].max() >= out.shape[1] - 2:
-                    out = np.pad(out, ((0, 0), (0, length)))
-                out[due, used[due]] = low[due] >> U(32)
-                used[due] += 1
-                low[due] <<= U(32)
-                span[due] <<= U(32)
-        one, two = x, one
-    if used.max(initial=0) >= out.shape[1] - 2:
-        out = np.pad(out, ((0, 0), (0, 4)))
-    out[lane, used] = low >> U(32)
-    out[lane, used + 1] = low & U(0xFFFFFFFF)
-    return [out[i, : used[i] + 2].tobytes() for i in range(n)]
+    out = np.zeros((n, length + 8), np.uint32)  # one word an id at most
+    flat, spot = out.reshape(-1), lane * out.shape[1]
+    a = b = np.zeros(n, np.int64)
+    numbers, new = (np.ascontiguousarray(x.T) for x in _numbers(ids))
+    symbols = np.where(new, NEW, BUCKET.take(numbers) + SEEN).astype(np.int8)
+    for x16, fresh, known, raw in zip(numbers, new, symbols, np.ascontiguousarray(ids.T), strict=True):
+        model.guess(a, b)
+        symbol, x = known.astype(np.int64), x16.astype(np.int64)
+        right1, right2 = (model.expected == x16) & ~fresh
+        symbol[right1] = ORDER1
+        symbol[right2] = ORDER2
+        start, width = _bounds(model.row1, model.lane1, symbol)
+        span >>= BITS
+        start *= span
+        low += start
+        span *= width
+        place, rest, spare = PLACE.take(x), REST.take(x), SPARE.take(symbol)
+        model.place(symbol)
+        start, width = _bounds(model.row2, model.lane2, place)
+        odd = (symbol < SEEN).nonzero()[0]  # a new id is 16 even bits; where order 1 or 2 is right nothing more is said
+        is_new = symbol.take(odd) == NEW
+        r = raw.take(odd)
+        start[odd] = np.where(is_new, r >> 4, 0)
+        width[odd] = np.where(is_new, 1, TOTAL)
+        rest[odd] = np.where(is_new, r & 15, 0)
+        span >>= (spare + 12).view(U)
+        start <<= spare.view(U)
+        start += rest.view(U) * width
+        start *= span
+        low += start
+        span *= width
+        model.learn(x16, symbol, place)
+        due, was = _settle(low, span)
+        s = spot.take(due)
+        flat[s] = was >> WORD
+        spot[due] = s + 1
+        a, b = x, a
+    flat[spot] = low >> WORD
+    flat[spot + 1] = low & LOWER
+    used = spot - lane * out.shape[1] + 2
+    return [out[i, : used[i]].tobytes() for i in range(n)]
 
 
 def decode_lanes(payloads: list[bytes], length: int) -> np.ndarray:
     n = len(payloads)
-    model = Mixer(n)
+    model = Model(n)
     most = max(map(len, payloads)) // 4 + 1
-    words = np.zeros((n, most), U)
+    words = np.zeros((n, most), np.uint32)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, np.uint32)
+    flat, spot = words.reshape(-1), np.arange(n) * most
     low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    above = words[:, 0] << U(32) | words[:, 1]  # the code less the low end
-    used = np.full(n, 2, np.int64)
-    out = np.empty((length, n), np.int64)
-    one = two = np.zeros(n, np.int64)
+    above = flat.take(spot).astype(U) << WORD | flat.take(spot + 1)  # the code less the low end
+    spot += 2
+    out, names, seen = np.empty((length, n), np.uint16), np.zeros(n * NUMBERS, np.uint16), np.zeros(n, np.int64)
+    a = b = np.zeros(n, np.int64)
     for t in range(length):
-        model.token(one, two)
-        x = np.zeros(n, np.int64)
-        for digit in range(4):
-            bound = model.predict(digit, x)
-            step = span >> U(15)
-            at = np.minimum(above // step, U(8 * TOTAL - 1)).astype(np.int16)
-            value = (bound <= at[:, None]).view(np.uint64).sum(axis=1)  # eight flags are the bytes of a word
-            value = ((value * ONES) >> U(56)).astype(np.int64) - 1
-            start, width = model.bounds(value)
-            start *= step
-            low += start
-            above -= start
-            span = step * width
-            model.learn(digit, value)
-            due = _settle(low, span)
-            if len(due):
-                low[due] <<= U(32)
-                span[due] <<= U(32)
-                above[due] = above[due] << U(32) | words[due, np.minimum(used[due], most - 1)]
-                used[due] += 1
-            x = x << 4 | value
-        out[t] = x
-        one, two = x, one
+        model.guess(a, b)
+        span >>= BITS
+        v = np.minimum(above // span, LAST).astype(np.int16)
+        symbol = _symbol(model.row1 <= v[:, None])
+        start, width = _bounds(model.row1, model.lane1, symbol)
+        start *= span
+        low += start
+        above -= start
+        span *= width
+        spare = SPARE.take(symbol)
+        model.place(symbol)
+        span >>= (spare + 12).view(U)
+        v = np.minimum(above // span, (U(1) << (spare + 12).view(U)) - U(1))
+        place = _symbol(model.row2 <= (v >> spare.view(U)).astype(np.int16)[:, None])
+        start, width = _bounds(model.row2, model.lane2, place)
+        start <<= spare.view(U)
+        rest = (v - start) // width
+        x = START.take(symbol - SEEN, mode="clip")
+        x += place << spare
+        x += rest.view(np.int64)
+        odd = (symbol < SEEN).nonzero()[0]
+        kind, r, k = symbol.take(odd), v.take(odd), np.minimum(seen.take(odd), NUMBERS - 1)
+        is_new = kind == NEW
+        start[odd] = np.where(is_new, r, U(0))
+        width[odd] = np.where(is_new, 1, TOTAL)
+        rest[odd] = 0
+        x[odd] = np.where(is_new, k, model.expected[1 - np.minimum(kind, 1), odd])
+        np.minimum(x, NUMBERS - 1, out=x)
+        place[odd] = PLACE.take(x.take(odd))
+        fresh = odd[is_new]
+        names[model.of_one.take(fresh) + k[is_new]] = r[is_new]
+        seen[fresh] += 1
+        rest *= width
+        start += rest
+        start *= span
+        low += start
+        above -= start
+        span *= width
+        model.learn(x.astype(np.int16), symbol, place)
+        due, _ = _settle(low, span)
+        s = spot.take(due)
+        above[due] = above.take(due) << WORD | flat.take(s, mode="clip")
+        spot[due] = s + 1
+        names.take(model.of_one + x, out=out[t])
+        a, b = x, a
     return out.T
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length. Four digits hold 0 to 65535."""
+    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length. A new id is coded in 16 bits."""
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 16):
         raise ValueError("an id outside 0..65535")
+    if not 0 < block <= NUMBERS:
+        raise ValueError(f"a block holds 1 to {NUMBERS} ids")
     n = -(-len(ids) // block)
     if n == 0:
         return []
@@ -209,7 +310,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     grid, out = grid.reshape(n, length), []
     for at in range(0, n, LANES):
         for i, p in enumerate(encode_lanes(grid[at : at + LANES]), at):
-            out.append(struct.pack(HEAD, b"CMR1", min(length, len(ids) - i * length), zlib.crc32(p)) + p)
+            out.append(struct.pack(HEAD, b"CMR2", min(length, len(ids) - i * length), zlib.crc32(p)) + p)
     return out
 
 
@@ -218,7 +319,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     for b in blocks:
         mark, n, crc = struct.unpack_from(HEAD, b)
         p = b[HEAD_SIZE:]
-        if mark != b"CMR1" or zlib.crc32(p) != crc:
+        if mark != b"CMR2" or zlib.crc32(p) != crc:
             raise ValueError("damaged block")
         sizes.append(n)
         payloads.append(p)
@@ -229,58 +330,61 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     for at in range(0, len(blocks), LANES):
         grid = decode_lanes(payloads[at : at + LANES], length)
         out += [row[:n] for row, n in zip(grid, sizes[at : at + LANES], strict=True)]
-    return np.concatenate(out)
+    return np.concatenate(out).astype(np.int64)
 
 
 class Library:
-    """Ids by the tokenizers library in its default state. It splits a text at the added tokens, then into pretokens before merging, so each distinct one is encoded once."""
+    """Ids by the tokenizers library in its default state. Of a byte-level BPE definition each distinct piece of the texts is encoded once; other definitions, and texts that hold added tokens, are encoded whole."""
 
-    def __init__(self, definition: str, pattern: str | None, keep: int = KEEP) -> None:
-        import regex
+    def __init__(self, definition: str, keep: int = KEEP) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        added = [t for t in self.library.get_added_tokens_decoder().values() if t.content]
-        if any(t.lstrip or t.rstrip or t.single_word for t in added) or (self.library.normalizer and any(t.normalized for t in added)):
-            pattern = None  # such tokens depend on what stands around them
-        words = regex.compile(pattern).findall if pattern else lambda t: [t]
-        names = sorted((t.content for t in added), key=len, reverse=True)
-        cut_at = regex.compile(f"({'|'.join(map(regex.escape, names))})").split if names and pattern else None
-
-        def find(t: str) -> list[str]:
-            if not cut_at or not any(n in t for n in names):
-                return words(t)
-            return [x for i, part in enumerate(cut_at(t)) if part for x in ([part] if i % 2 else words(part))]
-
-        self.find, self.keep = find, keep
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.ids, self.size = Pretokens(), np.empty(0, np.int32), np.empty(0, np.int64)
-
-    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        number, find = self.known.__getitem__, self.find
-        parts = [np.fromiter(map(number, find(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        new = list(self.known)[len(self.size) :]
-        got = [x.ids for x in self.library.encode_batch(new, add_special_tokens=False)] if new else []
-        self.size = np.r_[self.size, np.fromiter(map(len, got), np.int64, len(got))]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in got for i in x), np.int32)]
-        start, out = np.r_[0, np.cumsum(self.size)], []
-        for p in parts:
-            size = self.size[p]
-            upto = np.cumsum(size)
-            spot = np.arange(upto[-1] if len(p) else 0) + np.repeat(start[p] - upto + size, size)
-            out.append(np.r_[self.ids[spot], np.int32(end)])
-        if len(self.known) > self.keep:
-            self.reset()
-        return out
+        of = json.loads(definition)
+        split = of.get("pre_tokenizer") or {}
+        feed = self.text("\n")
+        self.apart = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not of.get("normalizer") and len(feed) == 1
+        self.feed = feed[0] if feed else -1
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.pieces = Pieces(self.of_pieces, self.text, added, keep)
+
+    def text(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def of_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces are encoded in one text, parted by line feeds, which are a token of their own there."""
+        lead = [p[:1] == "\n" for p in new]
+        core = [p[1:] if x else " " + p for p, x in zip(new, lead, strict=True)]
+        odd = np.asarray(pc.match_substring_regex(pa.array([p[1:] if x else p or " " for p, x in zip(new, lead, strict=True)], pa.string()), ODD), bool)
+        plain = (~odd & np.fromiter(map(bool, core), bool, len(core))).nonzero()[0].tolist()
+        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(new)
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            all_ids = np.array(self.text("\n".join([core[i] for i in some])), np.int32)
+            feeds = (all_ids == self.feed).nonzero()[0]
+            if len(feeds) != len(some) - 1:
+                raise ValueError("the tokenizer does not part pieces at line feeds")
+            for i, a, b in zip(some, [0, *(feeds + 1).tolist()], [*feeds.tolist(), len(all_ids)], strict=True):
+                ids[i] = all_ids[a:b]
+        for i in odd.nonzero()[0].tolist():
+            ids[i] = np.array(self.text(core[i]), np.int32)
+        one = np.array([self.feed], np.int32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + np.array(lead, np.int64)
+        return np.concatenate([x for i, y in zip(lead, ids, strict=True) for x in ((one, y) if i else (y,))] or [np.empty(0, np.int32)]), sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and the number of each."""
+        if self.apart:
+            return self.pieces.encode(texts)
+        got = [np.array(self.text(t) if t else [], np.int32) for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, np.int32), *got]), np.fromiter(map(len, got), np.int64, len(got))
 
 
 GROUPS = "part int, first long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str | None, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
-    """Encode whole texts, write groups of blocks in ascending order of ids; returns the written table. pattern: what the tokenizer splits texts by before merging; None: encode texts whole."""
+def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, part_chars: int = 12 << 20) -> DataFrame:
+    """Encode whole texts, each with the end id after it, write groups of blocks in ascending order of ids; returns the written table. The number of parts follows the size of the texts."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -290,7 +394,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str | None, id_col:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library, part, first = Library(shared.value, pattern), TaskContext.get().partitionId(), 0
+        library, part, first = Library(shared.value), TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[np.ndarray] = []
         have = 0
@@ -306,20 +410,28 @@ def write_ids(docs: DataFrame, tokenizer_path: str, pattern: str | None, id_col:
             return pa.RecordBatch.from_arrays(row, ["part", "first", "doc_ids", "lengths", "blocks"])
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(keys), 2000):
-                for key, x in zip(keys[at : at + 2000], library.encode(texts[at : at + 2000], end), strict=True):
-                    if have and have + len(x) > GROUP:
+            keys, at = b.column(0).to_pylist(), 0
+            for texts in slices(b.column(1)):
+                flat, sizes = library.encode(texts)
+                ends = np.cumsum(sizes)
+                flat = np.insert(flat, ends, end)
+                ends += np.arange(1, len(ends) + 1)
+                for key, x, y in zip(keys[at : at + len(texts)], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    if have and have + y - x > GROUP:
                         yield group()
                     ids.append(key)
-                    held.append(x)
-                    have += len(x)
+                    held.append(flat[x:y])
+                    have += y - x
+                at += len(texts)
         if held:
             yield group()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return cut(rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(code, GROUPS), "tokenids")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_chars))
+    # Rows of one id, or without one, are parted by how their texts begin, which is also how they are ordered.
+    dealt = rows.withColumn("head", F.substring("text", 1, 32)).repartitionByRange(parts, "id", "head").sortWithinPartitions("id", "text")
+    return cut(dealt.select("id", "text").mapInArrow(code, GROUPS), "tokenids")
 
 
 def read_ids(groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
