@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where none is set and everything runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -56,10 +58,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")
 
 
-def hot_values(counts: DataFrame, key: str, n: str, share: float = 0.002) -> list:
-    """Values of key with over `share` of all rows: 1 / share of them at most, whatever the input's size."""
+def hot_values(counts: DataFrame, key: str, n: str, share: float = 0.002, least: int = 1000) -> list:
+    """Values of key with over `share` of all rows, and over `least`: 1 / share of them at most, whatever the input's size."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where(F.col(n) > F.lit(max(1000, total * share))).select(key).collect()]
+    return [r[0] for r in counts.where(F.col(n) > F.lit(max(least, total * share))).select(key).collect()]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, salts: int = 32, how: str = "left") -> DataFrame:

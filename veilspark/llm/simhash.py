@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from .common import cut, hot_values, salted_join
-from .components import components
+from .components import components, named_components
 
 BITS = 64
 COARSE, FINE = 5, 10
@@ -164,10 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id that links reach)."""
     prints = cut(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash")
     reps = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simreps")
-    root = components(links(reps.select("fp"), distance))
-    placed = reps.join(root.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = named_components(reps, components(links(reps.select("fp"), distance)))
     hot = hot_values(reps, "fp", "n")
     out = salted_join(prints, named, "fp", hot, F.xxhash64("id"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
