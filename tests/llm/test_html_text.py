@@ -1,4 +1,9 @@
-from veilspark.llm.html_text import extract, main_text, regions
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
+import pytest
+
+from veilspark.llm.html_text import extract, main_text, surges
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><p>Site name</p></header>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><!-- x --><article><h1>Head &amp; line</h1><p><b>First
@@ -23,8 +28,100 @@ def test_odd_pages():
     assert main_text("<article>" + "<p>n</p>" * 3000 + "</article>").count("n") == 3000
 
 
-def test_regions_surge_and_dive():
-    assert regions([0, 5, 0, 0, 0, 7, 3, 0, 2], width=2) == [(1, 2), (5, 9)]
+def test_surges_and_dives():
+    weights = [0, 5, 0, 0, 0, 7, 3, 0, 2]
+    assert surges(weights, 5, width=2) == [(0, 3), (4, 7)]
+    assert surges(weights, 10, width=2) == [(5, 7)]
+    assert surges(weights, 10, width=3) == [(4, 8)]
+    assert surges(weights, 13, width=3) == []
+    assert surges([0, 0], 0, width=1) == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>A</p><p class="ad">Buy<p>B<p>C</article>', "A\nB\nC"),
+        ('<div class="overflow-hidden">text</div>', "text"),
+        ('<div class="review-widget"><p>body text here</p></div>', "body text here"),
+        ('<div class="search-results-analysis"><p>body</p></div>', "body"),
+        ('<p data-x="hidden">par</p><p hidden>no</p><p aria-hidden="true">no</p><p style="color:red; display:none">no</p>', "par"),
+        ("<ul><li class=ad>x<ul><li>in</ul>y<li>z</ul>", "z"),
+        ("<table><tr><td class=ad>x<table><tr><td>in</table>y<td>cell</table>", "cell"),
+        ("<dl><dt class=ad>x<dd>y<dt>z</dl>", "y\nz"),
+        ("<div class='comment-list'><p>says</p></div><div id='siteFooter'>c</div><p>t</p>", "t"),
+    ],
+)
+def test_markup(page, text):
+    assert main_text(page) == text
+
+
+def test_width_and_share_decide():
+    """No element or name tells the notices from the text here: only their length does."""
+    notice = "<div>We use cookies on this site.</div>"
+    items = "".join(f"<p>item number {i}</p>" for i in range(40))
+    page = f"<body>{notice}<div>{'<p>' + 'plain words ' * 9 + '</p>'}{'<p>' + 'more of them ' * 8 + '</p>'}</div><div>{items}</div>{notice}</body>"
+    lines = main_text(page).split("\n")
+    assert len(lines) == 2 and "We use" not in main_text(page)
+    assert len(main_text(page, width=8).split("\n")) == 42  # eight items weigh as much as half of the paragraphs
+    assert len(main_text(page, share=0.02).split("\n")) == 44
+    assert len(main_text(page, width=1, share=0.96).split("\n")) == 2
+
+
+class Article(HTMLParser):
+    """The text of the article element by a plain parser: a new block at each paragraph and heading, nothing of adverts."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.on, self.skip = [""], False, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.on = self.on or tag == "article"
+        if tag in ("p", "h1", "li"):
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.on = False
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.on:
+            self.blocks[-1] += data
+
+
+def by_parser(page):
+    parser = Article()
+    parser.feed(page or "")
+    return "\n".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def test_same_as_a_plain_parser_on_all_pages():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    assert [main_text(p) for p in pages] == [by_parser(p) for p in pages]
+
+
+def test_length_alone_finds_most_pages():
+    """With every element and class that names furniture or the article renamed, nine pages of ten still give their text."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+
+    def bare(p):
+        for tag in ("article", "nav", "footer"):
+            p = p.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        return p.replace('class="ad"', 'class="x"')
+
+    same = [main_text(bare(p)) == by_parser(p) for p in pages]
+    assert sum(same) > 0.9 * len(same)
+    other = [main_text(bare(p), share=0.01) == by_parser(p) for p in pages]
+    assert sum(other) < 0.2 * len(same)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, PAGE, 5, "x"), (1, PAGE, 5, "x"), (None, PAGE, None, None), (3, " ", 1, "")], "page_id int, html string, n_chars int, url string")
+    got = extract(df).collect()
+    assert len(got) == 4 and sorted(r.text for r in got) == sorted([main_text(PAGE)] * 3 + [""])
 
 
 LONG = "<p>" + "long body " * 40 + "</p>"

@@ -1,9 +1,9 @@
 """Quality rules with adaptive thresholds, by built-in functions only.
 
 Each text is measured. For every language and source a mergeable quantile sketch of each measure is kept: counts of values in buckets whose bounds grow
-by 2 %, so sketches add up exactly and in any order. The fence of a measure is its median plus `REACH` times the distance
-from lower quartile to median, plus a least spread. Groups of fewer than `least_rows` rows take the merged sketch of their language, and if that is
-small too, of all rows. Rows over a fence are not kept. Junk below half of a group does not move its fence much.
+by 2 %, so sketches add up exactly and in any order. A group's sketch is merged with that of its language, weighted as PRIOR rows, and a language's before that with the sketch of all rows, so a
+threshold leans on its own rows as far as there are any: at every size, without a switch. The fence of a measure is the merged sketch's median plus `REACH` times the distance
+from lower quartile to median, plus a least spread. Rows over a fence are not kept. Junk below half of a group does not move its fence much.
 
 Defined results: a null, empty or blank text has zero counts and base_failed; null language or source is a group of its own; repeated rows count
 each; an empty table gives an empty result; extra columns are ignored.
@@ -20,7 +20,7 @@ BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GROWTH = 1.02
-REACH = 6.0
+REACH, PRIOR = 6.0, 50.0
 #: Measure -> least spread above the median.
 SPREAD = {"m_length": 1.5, "m_symbols": 0.1, "m_lines": 0.35, "m_repeats": 0.35, "m_shout": 0.15}
 
@@ -75,32 +75,42 @@ def sketches(measured: DataFrame, keys: list[str]) -> DataFrame:
     return measured.select(*keys, F.inline(pairs)).groupBy(*keys, "measure", "b").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], least_rows: int) -> DataFrame:
-    """keys, rows and one fence a measure (null in groups of fewer than least_rows)."""
-    at = Window.partitionBy(*keys, "measure")
-    s = sketch.withColumn("upto", F.sum("n").over(at.orderBy("b"))).withColumn("rows", F.sum("n").over(at))
-    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("b")))
+def merged(own: DataFrame, above: DataFrame, keys: list[str], join: list[str], prior: float = PRIOR) -> DataFrame:
+    """own (keys, measure, b, n) with above's (join, measure, b, share) added as `prior` rows -> keys, measure, b, share: the merged sketch, whose shares sum to one; and rows, own's number."""
+    rows = own.groupBy(*keys, "measure").agg(F.sum("n").alias("rows"))
+    every = rows.join(above, [*join, "measure"])  # as many rows for a group as there are buckets
+    total = F.col("rows") + F.lit(prior)
+    both = every.join(own.select(*keys, "measure", "b", "n"), [*keys, "measure", "b"], "left")
+    return both.select(*keys, "measure", "b", "rows", ((F.coalesce("n", F.lit(0)) + F.lit(prior) * F.col("share")) / total).alias("share"))
+
+
+def fences(sketch: DataFrame, keys: list[str], reach: float = REACH) -> DataFrame:
+    """keys, rows and one fence a measure, from merged sketches."""
+    s = sketch.withColumn("upto", F.sum("share").over(Window.partitionBy(*keys, "measure").orderBy("b")))
+    quantile = lambda q: F.min(F.when(F.col("upto") >= q - 1e-9, F.col("b")))
     per = s.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), value_of(quantile(0.25)).alias("q1"), value_of(quantile(0.5)).alias("q2"))
     spread = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in SPREAD.items()])
-    fence = F.when(F.col("rows") >= least_rows, F.col("q2") + REACH * (F.col("q2") - F.col("q1")) + spread)
+    fence = F.col("q2") + F.lit(reach) * (F.col("q2") - F.col("q1")) + spread
     return per.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == m, fence)).alias(f"f_{m}") for m in SPREAD])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = 200) -> DataFrame:
+def thresholds(measured: DataFrame, prior: float = PRIOR, reach: float = REACH) -> DataFrame:
+    """measured (lk, key, measures) -> key, rows and the fences of each language and source."""
+    by_group = cut(sketches(measured, ["lk", "key"]), "rulesketch")
+    by_lang = by_group.groupBy("lk", "measure", "b").agg(F.sum("n").alias("n"))
+    by_all = by_lang.groupBy("measure", "b").agg(F.sum("n").alias("n"))
+    whole = by_all.join(by_all.groupBy("measure").agg(F.sum("n").alias("t")), "measure").select("measure", "b", (F.col("n") / F.col("t")).alias("share"))
+    langs = cut(merged(by_lang, whole, ["lk"], [], prior).drop("rows"), "rulelangs")
+    return fences(merged(by_group, langs, ["lk", "key"], ["lk"], prior), ["lk", "key"], reach).drop("lk")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: float = PRIOR, reach: float = REACH) -> DataFrame:
     """One row per row of docs: id, counts, base_failed, kept."""
     m = cut(measures(docs, id_col, text_col, lang_col, source_col), "rules")
     part = lambda c: F.coalesce(F.concat(F.lit("0"), F.col(c)), F.lit("1"))
     m = m.withColumn("lk", part("lang")).withColumn("key", F.concat(F.col("lk"), F.lit("\x00"), part("source")))
-    by_group = cut(sketches(m, ["lk", "key"]), "rulesketch")
-    by_lang = by_group.groupBy("lk", "measure", "b").agg(F.sum("n").alias("n"))
-    by_all = by_lang.groupBy("measure", "b").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
-    groups = fences(by_group, ["lk", "key"], least_rows)
-    langs = fences(by_lang, ["lk"], least_rows).drop("rows")
-    whole = fences(by_all, ["one"], 1).drop("rows")  # one row
-    names = [f"f_{x}" for x in SPREAD]
-    limits = groups.join(langs.select("lk", *[F.col(x).alias(f"l{x}") for x in names]), "lk").withColumn("one", F.lit(1)).join(F.broadcast(whole.select("one", *[F.col(x).alias(f"a{x}") for x in names])), "one")
-    limits = cut(limits.select("key", "rows", *[F.coalesce(x, f"l{x}", f"a{x}").alias(x) for x in names]), "rulefences")
-    out = salted_join(m, limits, "key", hot_values(limits, "key", "rows"), F.xxhash64("id"))
+    limits = cut(thresholds(m, prior, reach), "rulefences")
+    out = salted_join(m, limits, "key", hot_values(limits, "key", "rows", least=200), F.xxhash64("id"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     over = F.greatest(*[(F.col(x) > F.col(f"f_{x}")).cast("int") for x in SPREAD]) == 1
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"))

@@ -113,27 +113,31 @@ m AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, word_chars / gr
       n_repeat_words / greatest(n_words, 1) AS m_repeats, n_shout / greatest(word_chars, 1) AS m_shout FROM b),
 v AS (SELECT k, lang, source, measure, value FROM m UNPIVOT (value FOR measure IN (m_length, m_symbols, m_lines, m_repeats, m_shout))),
 s AS (SELECT lang, source, measure, CASE WHEN value <= 1e-9 THEN -10000 ELSE ceil(ln(value) / ln({quality_rules.GROWTH}))::INTEGER END AS b, count(*) AS n FROM v GROUP BY ALL),
-levels AS (SELECT 0 AS lv, lang, source, measure, b, n FROM s UNION ALL SELECT 1, lang, NULL, measure, b, sum(n) FROM s GROUP BY lang, measure, b UNION ALL SELECT 2, NULL, NULL, measure, b, sum(n) FROM s GROUP BY measure, b),
-u AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS total FROM levels),
-q AS (SELECT lv, lang, source, measure, any_value(total) AS total, min(b) FILTER (upto >= 0.25 * total) AS b1, min(b) FILTER (upto >= 0.5 * total) AS b2 FROM u GROUP BY lv, lang, source, measure),
+l AS (SELECT lang, measure, b, sum(n) AS n FROM s GROUP BY lang, measure, b),
+a AS (SELECT measure, b, sum(n)::DOUBLE / sum(sum(n)) OVER (PARTITION BY measure) AS share FROM l GROUP BY measure, b),
+lr AS (SELECT lang, measure, sum(n) AS rows FROM l GROUP BY lang, measure), gr AS (SELECT lang, source, measure, sum(n) AS rows FROM s GROUP BY lang, source, measure),
+lm AS (SELECT lr.lang, lr.measure, a.b, (coalesce(l.n, 0) + {quality_rules.PRIOR} * a.share) / (lr.rows + {quality_rules.PRIOR}) AS share FROM lr JOIN a USING (measure)
+       LEFT JOIN l ON l.lang IS NOT DISTINCT FROM lr.lang AND l.measure = lr.measure AND l.b = a.b),
+gm AS (SELECT gr.lang, gr.source, gr.measure, lm.b, (coalesce(s.n, 0) + {quality_rules.PRIOR} * lm.share) / (gr.rows + {quality_rules.PRIOR}) AS share FROM gr
+       JOIN lm ON lm.lang IS NOT DISTINCT FROM gr.lang AND lm.measure = gr.measure
+       LEFT JOIN s ON s.lang IS NOT DISTINCT FROM gr.lang AND s.source IS NOT DISTINCT FROM gr.source AND s.measure = gr.measure AND s.b = lm.b),
+u AS (SELECT *, sum(share) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto FROM gm),
+q AS (SELECT lang, source, measure, min(b) FILTER (upto >= 0.25 - 1e-9) AS b1, min(b) FILTER (upto >= 0.5 - 1e-9) AS b2 FROM u GROUP BY lang, source, measure),
 f AS (SELECT q.*, CASE WHEN b1 = -10000 THEN 0 ELSE {quality_rules.GROWTH} ** (b1 - 0.5) END AS q1, CASE WHEN b2 = -10000 THEN 0 ELSE {quality_rules.GROWTH} ** (b2 - 0.5) END AS q2, spread FROM q JOIN (VALUES {_FENCES}) t(measure, spread) USING (measure)),
-fence AS (SELECT *, q2 + {quality_rules.REACH} * (q2 - q1) + spread AS fence FROM f WHERE lv = 2 OR total >= 200),
-x AS (SELECT v.k, max((v.value > coalesce(f0.fence, f1.fence, f2.fence))::INTEGER) AS over_ FROM v
-      LEFT JOIN fence f0 ON f0.lv = 0 AND f0.measure = v.measure AND f0.lang IS NOT DISTINCT FROM v.lang AND f0.source IS NOT DISTINCT FROM v.source
-      LEFT JOIN fence f1 ON f1.lv = 1 AND f1.measure = v.measure AND f1.lang IS NOT DISTINCT FROM v.lang LEFT JOIN fence f2 ON f2.lv = 2 AND f2.measure = v.measure GROUP BY v.k)
+fence AS (SELECT *, q2 + {quality_rules.REACH} * (q2 - q1) + spread AS fence FROM f),
+x AS (SELECT v.k, max((v.value > fence.fence)::INTEGER) AS over_ FROM v
+      JOIN fence ON fence.measure = v.measure AND fence.lang IS NOT DISTINCT FROM v.lang AND fence.source IS NOT DISTINCT FROM v.source GROUP BY v.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over_ = 0 AS kept FROM m JOIN x USING (k)"""
 
-OP9 = r"""
+OP9 = rf"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-pages AS (SELECT DISTINCT source, text, ls FROM d WHERE text IS NOT NULL),
-total AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
-f AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct(ls)) AS line FROM pages) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
-b AS (SELECT f.source, list(line) AS marks FROM f JOIN total ON f.source IS NOT DISTINCT FROM total.source WHERE c >= 5 AND c > 0.02 * n GROUP BY f.source),
+total AS (SELECT source, count(*) AS n FROM d WHERE text IS NOT NULL GROUP BY source),
+f AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(list_distinct(ls)) AS line FROM d WHERE text IS NOT NULL) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
+b AS (SELECT f.source, list(line) AS marks FROM f JOIN total ON f.source IS NOT DISTINCT FROM total.source WHERE c > 1 AND c - 1 > {line_dedup.RATIO}::DOUBLE * (n - 1 + {line_dedup.PRIOR}) GROUP BY f.source),
 k AS (SELECT d.*, list_filter(ls, lambda x: NOT list_contains(coalesce(b.marks, []), x)) AS kept FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-j AS (SELECT *, array_to_string(kept, chr(10)) AS new FROM k),
-o AS (SELECT *, length(new) < 0.5 * length(text) AS whole FROM j)
-SELECT doc_id, len(ls) AS n_lines, CASE WHEN whole THEN 0 ELSE len(ls) - len(kept) END AS n_dropped, length(CASE WHEN whole THEN text ELSE new END) AS n_chars, sha256(CASE WHEN whole THEN text ELSE new END) AS text_sha256 FROM o"""
+j AS (SELECT *, array_to_string(kept, chr(10)) AS new FROM k)
+SELECT doc_id, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, length(new) AS n_chars, sha256(new) AS text_sha256 FROM j"""
 
 
 def oracle_sql() -> dict[str, str]:
