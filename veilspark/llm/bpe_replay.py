@@ -18,13 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from .pieces import Known, Pieces, slices
+
 NONE = np.int64(-1)
-KEEP, TOGETHER, DOCS = 120_000, 40_000, 1500
+KEEP, TOGETHER = 400_000, 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,30 +135,22 @@ def give_back() -> None:
         pass  # another C library
 
 
-class Pretokens(dict):
-    """Pretoken -> its number; new ones are numbered as they are met."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP) -> None:
-        import regex
+    """Ids of batches of texts by one replay over the distinct pretokens that are new in a batch. at_spaces: the pattern takes a space only before a word or in a run of
+    white space, so texts are first cut into pieces at spaces and line feeds, and only new pieces are matched with the pattern."""
 
-        self.ranks, self.merges, self.find, self.keep = ranks, Merges(ranks), regex.compile(pattern).findall, keep
-        self.reset()
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP, at_spaces: bool = False) -> None:
+        import regex
 
-    def reset(self) -> None:
-        self.known, self.ids, self.size = Pretokens(), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.ranks, self.merges, self.find = ranks, Merges(ranks), regex.compile(pattern).findall
+        feed = ranks.get(b"\n")
+        self.pieces = Pieces(self.of_pieces, self.of_text, [], keep) if at_spaces and feed is not None and self.find("\na\n b") == ["\n", "a", "\n", " b"] else None
 
-    def learn(self) -> None:
-        new = [w.encode() for w in list(self.known)[len(self.size) :]]
-        if not new:
-            return
-        whole = np.array([self.ranks.get(w, -1) for w in new])
-        rest = [w for w, r in zip(new, whole, strict=True) if r < 0]
+    def of_pretokens(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pretokens, and the number of ids of each."""
+        raw = [w.encode() for w in new]
+        whole = np.array([self.ranks.get(w, -1) for w in raw], np.int64)
+        rest = [w for w, r in zip(raw, whole, strict=True) if r < 0]
         done = [replay(rest[at : at + TOGETHER], self.merges) for at in range(0, len(rest), TOGETHER)]
         sizes = np.ones(len(new), np.int64)
         if done:
@@ -163,47 +158,73 @@ class Encoder:
         out = np.repeat(whole.astype(np.int32), sizes)
         if done:
             out[np.repeat(whole < 0, sizes)] = np.concatenate([d[0] for d in done])
-        self.ids, self.size = np.r_[self.ids, out], np.r_[self.size, sizes]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        number, find = self.known.__getitem__, self.find
-        parts = [np.fromiter(map(number, find(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        self.learn()
-        start, out = np.r_[0, np.cumsum(self.size)], []
-        for p in parts:
-            size = self.size[p]
-            upto = np.cumsum(size)
-            out.append(self.ids[np.arange(upto[-1] if len(p) else 0) + np.repeat(start[p] - upto + size, size)])
-        if len(self.known) > self.keep:
-            self.reset()
-        return out
-
-
-def _pieces(ranks: dict[bytes, int]):
-    return {i: b for b, i in ranks.items()}.__getitem__
+        return out, sizes
+
+    def of_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        number = Known()
+        found = [self.find(p if p[:1] == "\n" else " " + p) for p in new]
+        codes = np.fromiter((number[w] for ws in found for w in ws), np.int64)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat, size = self.of_pretokens(list(number))
+        each, start = size[codes], np.r_[0, np.cumsum(size)]
+        upto = np.cumsum(each)
+        ids = flat[np.arange(upto[-1] if len(codes) else 0) + np.repeat(start[codes] - upto + each, each)]
+        upto = np.r_[0, upto][np.cumsum(n)]
+        return ids, np.diff(np.r_[0, upto])
+
+    def of_text(self, text: str) -> np.ndarray:
+        return self.of_pretokens(self.find(text))[0]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, and the number of ids of each."""
+        if self.pieces:
+            return self.pieces.encode(texts)
+        number = Known()
+        codes = [np.fromiter(map(number.__getitem__, self.find(t)), np.int64) if t else np.empty(0, np.int64) for t in texts.to_pylist()]
+        flat, size = self.of_pretokens(list(number))
+        start, p = np.r_[0, np.cumsum(size)], np.concatenate([np.empty(0, np.int64), *codes])
+        each = size[p]
+        upto = np.cumsum(each)
+        ids = flat[np.arange(upto[-1] if len(p) else 0) + np.repeat(start[p] - upto + each, each)]
+        ends = np.r_[0, upto][np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))]
+        return ids, np.diff(np.r_[0, ends])
+
+
+def _table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Bytes by id."""
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        out[i] = b
+    return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: int = KEEP, decoded_col: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: int = KEEP, decoded_col: str | None = None, at_spaces: bool = False) -> DataFrame:
     """docs with the ids of each whole text, and, where decoded_col names a column, the bytes that these ids decode to.
 
-    The rank file is a fixed vocabulary, read on the driver and broadcast. Decoding in the same worker saves sending the ids back and forth.
+    The rank file is a fixed vocabulary, read on the driver and broadcast. Decoding in the same worker saves sending the ids back and forth. at_spaces: see Encoder.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     kind = StructType([StructField("ids", ArrayType(IntegerType())), *([StructField("raw", BinaryType())] if decoded_col else [])])
 
-    @pandas_udf(kind)
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder, piece = Encoder(shared.value, pattern, keep), _pieces(shared.value)
-        for s in batches:
-            for at in range(0, max(1, len(s)), DOCS):
-                out = {"ids": encoder.encode(list(s.iloc[at : at + DOCS]))}
+    @arrow_udf(kind)
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, piece = Encoder(shared.value, pattern, keep, at_spaces), np.array(_table(shared.value), object)
+        for batch in batches:
+            done = []
+            for texts in slices(batch.cast(pa.string())):
+                ids, sizes = encoder.encode(texts)
+                ends = np.r_[0, np.cumsum(sizes)]
+                columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded_col:
-                    out["raw"] = [b"".join(map(piece, x.tolist())) for x in out["ids"]]
-                yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
-                del out
-                give_back()
-
-    out = docs.select(*[c for c in docs.columns if c not in (out_col, decoded_col)], coded(F.col(text_col)).alias("__coded"))
+                    parts = piece[ids].tolist()
+                    columns.append(pa.array([b"".join(parts[a:b]) for a, b in itertools.pairwise(ends.tolist())], pa.binary()))
+                done.append(pa.StructArray.from_arrays(columns, names))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([pa.field(n, t) for n, t in zip(names, types, strict=False)]))
+            del done
+            give_back()
+
+    names, types = (["ids", "raw"], [pa.list_(pa.int32()), pa.binary()]) if decoded_col else (["ids"], [pa.list_(pa.int32())])
+    out = docs.select(*[c for c in docs.columns if c not in (out_col, decoded_col)], coded(F.col(text_col).cast("string")).alias("__coded"))
     return out.select("*", F.col("__coded.ids").alias(out_col), *([F.col("__coded.raw").alias(decoded_col)] if decoded_col else [])).drop("__coded")
 
 
@@ -213,7 +234,7 @@ def decode(ids: Column, ranks_path: str, spark) -> Column:
 
     @pandas_udf(BinaryType())
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = _pieces(shared.value)
+        piece = _table(shared.value).__getitem__
         for s in batches:
             yield pd.Series([None if x is None else b"".join(map(piece, x.tolist())) for x in s], dtype=object)
 
