@@ -1,4 +1,4 @@
-"""Command line: ingest, deidentify, synthesize, audit. Datasets are Parquet or JSON folders of records."""
+"""Command line: ingest, deidentify, synthesize, audit. Datasets are Parquet folders, folders of JSON lines, or one JSON file of records."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import UnsupportedFormatError, VeilError
 from .operators import audit, compliance, synthesis
 from .operators.deidentify import Config, deidentify, ensure_salt
-from .schema import RECORDS
+from .schema import RECORDS, read_json, write_json
 from .sources.documents import read_documents
 from .sources.fhir import FHIRSource
 from .sources.hl7 import read_hl7
@@ -29,11 +29,22 @@ def read_source(spark: SparkSession, path: str, kind: str = "auto") -> DataFrame
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORDS).json(path) if path.endswith(".json") else spark.read.parquet(path)
+    """.json: one file of records; .jsonl: a folder of JSON lines; else Parquet."""
+    if path.endswith(".json"):
+        return read_json(spark, path)
+    return spark.read.schema(RECORDS).json(path) if path.endswith(".jsonl") else spark.read.parquet(path)
 
 
 def save(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").json if path.endswith(".json") else df.write.mode("overwrite").parquet)(path)
+    if path.endswith(".json"):
+        write_json(df, path)
+    else:
+        (df.write.mode("overwrite").json if path.endswith(".jsonl") else df.write.mode("overwrite").parquet)(path)
+
+
+def summary_text(log: DataFrame) -> str:
+    s = audit.summary_dict(log)
+    return "\n".join(["Audit Log Summary", f"  Total entries: {s['total_entries']}", f"  PHI removed: {s['phi_removed']}", *[f"  By {k}: {s[f'by_{k}']}" for k in ("layer", "category", "action")]])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -55,6 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-n", type=int, default=100)
     a.add_argument("--method", default="gaussian_copula", choices=["gaussian_copula", "ctgan"])
     a.add_argument("--seed", type=int, default=0)
+    a.add_argument("--no-check", action="store_true", help="keep rows however close they are to real ones")
     a = sub.add_parser("audit", help="show an audit log")
     a.add_argument("log")
     a.add_argument("--format", default="summary", choices=["summary", "json", "markdown"])
@@ -64,15 +76,15 @@ def main(argv: list[str] | None = None) -> int:
         if o.command == "ingest":
             save(read_source(spark, o.source, o.format), o.out)
         elif o.command == "deidentify":
-            clean, log = deidentify(load(spark, o.data), ensure_salt(Config(date_shift=not o.no_date_shift, date_shift_salt=o.salt)))
+            clean, log = deidentify(load(spark, o.data), ensure_salt(Config(date_shift=not o.no_date_shift, date_shift_salt=o.salt)), once=bool(o.audit))
             save(clean, o.out)
             if o.audit:
-                log.write.mode("overwrite").parquet(o.audit)
+                (audit.save_json if o.audit.endswith(".json") else lambda x, p: x.write.mode("overwrite").parquet(p))(log, o.audit)
         elif o.command == "synthesize":
-            save(synthesis.synthesize(load(spark, o.data), o.n, o.method, o.seed), o.out)
+            save(synthesis.synthesize(load(spark, o.data), o.n, o.method, o.seed, check=not o.no_check), o.out)
         else:
-            log = audit.read(spark, o.log)
-            shows = {"summary": audit.summary_dict, "json": audit.to_json, "markdown": lambda x: compliance.to_markdown(compliance.report(x, x.select("record_id").distinct().count()))}
+            log = audit.from_json(spark, o.log) if o.log.endswith(".json") else audit.read(spark, o.log)
+            shows = {"summary": summary_text, "json": audit.to_json, "markdown": lambda x: compliance.to_markdown(compliance.report(x, x.select("record_id").distinct().count()))}
             print(shows[o.format](log))
     except VeilError as e:
         print(f"error: {e}", file=sys.stderr)

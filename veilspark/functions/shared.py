@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds of an iteration."""
+"""Cutting lineage between rounds of an iteration, and folders for what is written on the way."""
 
 from __future__ import annotations
 
@@ -6,16 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one only where that is unset, as in tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str = "") -> str:
+    """A new path in the folder of spark.checkpoint.dir (a temporary one only where that is unset and everything runs on this machine, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, f"veilspark-{uuid.uuid4().hex}")
+    return os.path.join(base, f"veilspark-{uuid.uuid4().hex}{name}")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENTRIES).parquet(path)
 
 
+def from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of an exported log: a JSON object whose `entries` are objects. Missing fields are "" (confidence 1); an `original` that is still there is hashed; `at` may be called timestamp."""
+    fields = "record_id string, seq int, action string, layer string, original string, original_hash string, replacement string, category string, confidence double, at string, timestamp string"
+    rows = spark.read.schema(f"entries array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+    e = rows.select(F.posexplode("entries").alias("n", "e")).select("n", "e.*")
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("record_id", "action", "layer", "original", "original_hash", "replacement", "category")]
+    at = F.coalesce(F.col("at"), F.col("timestamp")).try_cast("timestamp").alias("at")
+    return entries(e.select(*blank, F.coalesce("seq", "n").alias("seq"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), at))
+
+
+def save_json(audit: DataFrame, path: str, run_id: str | None = None) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(to_json(audit, run_id), encoding="utf-8")
+
+
 def to_json(audit: DataFrame, run_id: str | None = None) -> str:
     """Export of a log that fits the driver, with run id and summary; append() is for logs of any size."""
     rows = [r.asDict() | {"at": r["at"].isoformat() if r["at"] else None} for r in audit.toLocalIterator()]

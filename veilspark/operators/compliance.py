@@ -67,11 +67,11 @@ def report(audit: DataFrame, record_count: int = 0, method: str = "safe_harbor",
     n = sum(steps.values())
     clean, hits, left, failed = (steps.get(a, 0) for a in ("PHI_VERIFIED_CLEAN", "PHI_DETECTED_LLM", "PHI_VERIFICATION_SKIPPED", "PHI_VERIFICATION_ERROR"))
     if hits:
-        notes.append(f"LLM verification found residual PHI in {hits} of {n} entries.")
+        notes.append(f"LLM verification detected residual PHI in {hits} of {n} entries.")
     elif left or failed:
-        notes.append(f"LLM verification is incomplete: {clean} clean, {left} skipped, {failed} failed.")
+        notes.append(f"LLM verification did not complete: {clean} clean, {left} skipped, {failed} failed.")
     elif n:
-        notes.append(f"LLM verification found {clean} of {n} entries clean.")
+        notes.append(f"LLM verification completed: {clean} of {n} entries are clean.")
     else:
         notes.append("LLM verification was not enabled; it would give more assurance.")
     total = summary_dict(audit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def parents(nodes: DataFrame, node_id: str) -> DataFrame:
     return nodes.join(want, "node_id", "left_semi")
 
 
-def trace(nodes: DataFrame, node_id: str, most_depth: int = 1000) -> list[str]:
-    """Node ids from the sources to node_id, each once. A missing parent raises."""
+def trace(nodes: DataFrame, node_id: str) -> list[str]:
+    """Node ids from the sources to node_id, each once, at any depth. A missing parent raises."""
     seen, level, order = {node_id}, [node_id], [(0, node_id)]
-    for depth in range(most_depth):
+    for depth in itertools.count():
         rows = nodes.where(F.col("node_id").isin(level)).select("node_id", "parent_ids").collect()  # the ancestors of one node
         if missing := set(level) - {r[0] for r in rows}:
             raise LineageError(f"no lineage node {', '.join(sorted(missing))}")
@@ -83,3 +85,12 @@ def record_index(nodes: DataFrame) -> DataFrame:
     """record_id -> its node ids in order."""
     rows = nodes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("n"))
     return rows.select("record_id", F.col("n.node_id").alias("node_ids"))
+
+
+def to_dict(nodes: DataFrame) -> dict:
+    """The graph as plain data: nodes by id, and each record's node ids in order. Rows come to the driver a partition at a time; for graphs that fit it."""
+    rows = [r.asDict() for r in nodes.orderBy("record_id", "seq", "node_id").toLocalIterator()]
+    out: dict = {"nodes": {r["node_id"]: r for r in rows}, "records": {}}
+    for r in rows:
+        out["records"].setdefault(r["record_id"], []).append(r["node_id"])
+    return out

@@ -52,13 +52,11 @@ def run(spark: SparkSession, sources: Sequence, config: PipelineConfig | None =
     nodes = lineage.of_records(raw, "ingest", 0, metadata=told) if config.track_lineage else None
     clean = log = synthetic = None
     if config.deidentify:
-        clean, log = deidentify(raw, ensure_salt(config.deid))
+        clean, log = deidentify(raw, ensure_salt(config.deid), once=True)
         if config.track_lineage:
             before = clean.join(raw.select("id", F.col("checksum").alias("__before")), "id", "left")
             nodes = nodes.unionByName(lineage.of_records(before, "deidentify", 1, before=F.col("__before")))
             nodes = lineage.linked(nodes)
     if config.generate_synthetic:
-        synthetic = synthesis.synthesize(clean, config.synthetic_n, config.synthetic_method, config.seed)
-        if config.validate_synthetic:
-            synthesis.validate(synthesis.table_of(clean), synthesis.table_of(synthetic))
+        synthetic = synthesis.synthesize(clean, config.synthetic_n, config.synthetic_method, config.seed, check=config.validate_synthetic)
     return PipelineResult(raw, clean, log, nodes, synthetic)

@@ -5,6 +5,7 @@ Noise never enters a plan: a retried task or a second action would draw it anew,
 
 from __future__ import annotations
 
+import logging
 import math
 import random
 import threading
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExhaustedError
 from ..schema import path, present
 
-_SLACK = 1e-12
+_SLACK, LOW = 1e-12, 0.2
+log = logging.getLogger(__name__)
 
 
 class Laplace:
@@ -91,11 +93,13 @@ class Budget:
                 raise BudgetExhaustedError(self.epsilon_remaining)
             left = max(0.0, self.total_epsilon - self.epsilon_spent - epsilon)
             self.entries.append(Spend(label, epsilon, delta, left))
+            if left < LOW * self.total_epsilon:
+                log.warning("privacy budget is low: %.4f of %.4f left", left, self.total_epsilon)
             return left
 
     @property
     def low(self) -> bool:
-        return self.epsilon_remaining < 0.2 * self.total_epsilon
+        return self.epsilon_remaining < LOW * self.total_epsilon
 
     def reset(self) -> None:
         with self._lock:

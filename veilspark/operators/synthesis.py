@@ -102,10 +102,15 @@ def sample(df: DataFrame, n: int, seed: int = 0, preserve_correlations: bool = T
     return out.select(*cols)
 
 
-def synthesize(records: DataFrame, n: int = 100, method: str = "gaussian_copula", seed: int = 0, preserve_correlations: bool = True) -> DataFrame:
-    """n synthetic records with dotted keys. method "ctgan" has no library here and falls back to the copula."""
+def synthesize(records: DataFrame, n: int = 100, method: str = "gaussian_copula", seed: int = 0, preserve_correlations: bool = True, check: bool = True) -> DataFrame:
+    """n synthetic records with dotted keys. method "ctgan" has no library here and falls back to the copula.
+
+    check: raise ReidentificationRiskError where a synthetic row equals a real one or lies too close to it (see validate).
+    """
     table = table_of(records)
     drawn = sample(table, n, seed, preserve_correlations)
+    if check:
+        validate(table, drawn)
     keys = [c for c in drawn.columns if c != "resource_type"]
     kind = F.when(F.col("resource_type").isin(*RESOURCE_TYPES), F.col("resource_type")).otherwise("Patient")
     return as_records(drawn, kind, F.to_json(F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])) if keys else F.lit("{}"), "SYNTHETIC", F.lit(""), F.monotonically_increasing_id())
@@ -123,7 +128,8 @@ class Risk:
 
 def scaled(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables' columns from 0 to 1 over their union, as an array v; missing values count as 0."""
-    both = real.select(*columns).unionByName(synthetic.select(*columns))
+    own = [F.col(f"`{c}`") for c in columns]
+    both = real.select(*own).unionByName(synthetic.select(*own))
     row = both.agg(*[f(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     low = [row[f"lo{i}"] or 0.0 for i in range(len(columns))]
     span = [(row[f"hi{i}"] or 0.0) - low[i] or 1.0 for i in range(len(columns))]

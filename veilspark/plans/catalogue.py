@@ -5,15 +5,20 @@ Roles: customer is Patient, orders is Encounter, lineitem and events are Observa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import random
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, names, phi
 from ..operators import audit, compliance, kanonymity, lineage, private_stats, synthesis
 from ..operators.deidentify import Config, deidentify
+from .. import schema
 from ..schema import checksum, path
 from ..sources import documents as docs_source
 from ..sources import fhir, hl7, tables
@@ -88,11 +93,7 @@ def _customers(spark, d) -> DataFrame:
 
 def _union(spark, d) -> DataFrame:
     kinds = (("customer", "Patient", "c_custkey"), ("orders", "Encounter", "o_orderkey"), ("lineitem", "Observation", "l_orderkey"), ("documents", "DocumentReference", "doc_id"))
-    out = None
-    for name, kind, key in kinds:
-        part = t(spark, d, name).select(F.lit(kind).alias("resource_type"), F.col(key).alias("key"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return schema.merge([t(spark, d, name).select(F.lit(kind).alias("resource_type"), F.col(key).alias("key")) for name, kind, key in kinds], spark)
 
 
 _UNION = "(SELECT 'Patient' AS resource_type, c_custkey AS key FROM customer UNION ALL SELECT 'Encounter', o_orderkey FROM orders UNION ALL SELECT 'Observation', l_orderkey FROM lineitem UNION ALL SELECT 'DocumentReference', doc_id FROM documents)"
@@ -105,12 +106,12 @@ def records_union_counts(spark, d):
 
 @query(f"SELECT resource_type, key FROM {_UNION} WHERE resource_type = 'Encounter'")
 def filter_by_type(spark, d):
-    return _union(spark, d).where(F.col("resource_type") == "Encounter")
+    return schema.encounters(_union(spark, d))
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT c_nationkey AS key FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY key")
 def merge_bag_union(spark, d):
-    both = t(spark, d, "customer").select(F.col("c_nationkey").alias("key")).unionByName(t(spark, d, "supplier").select(F.col("s_nationkey").alias("key")))
+    both = schema.merge([t(spark, d, "customer").select(F.col("c_nationkey").alias("key")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("key"))], spark)
     return both.groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -165,28 +166,57 @@ def dp_true_histogram(spark, d):
     return private_stats.true_histogram(t(spark, d, "orders"), F.col("o_orderpriority"))
 
 
-@query("SELECT c_custkey, round(sum(0.01 * (1 + c_custkey % 5)) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 6) AS spent FROM customer")
+@query("SELECT n_nationkey::INTEGER AS seq, n_name AS label, round(0.01 * (1 + n_nationkey % 5), 6) AS epsilon, round(2 - sum(0.01 * (1 + n_nationkey % 5)) OVER (ORDER BY n_nationkey), 6) AS epsilon_left FROM nation")
 def budget_running(spark, d):
-    from pyspark.sql import Window
+    """A ledger charged once for each nation."""
+    budget = private_stats.Budget(2.0)
+    for r in t(spark, d, "nation").orderBy("n_nationkey").collect():
+        budget.spend(0.01 * (1 + r["n_nationkey"] % 5), label=r["n_name"])
+    return budget.to_df(spark).select("seq", "label", F.round("epsilon", 6).alias("epsilon"), F.round("epsilon_left", 6).alias("epsilon_left"))
 
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t(spark, d, "customer").select("c_custkey", F.round(F.sum(F.lit(0.01) * (1 + F.col("c_custkey") % 5)).over(w), 6).alias("spent"))
 
+def _laplace_sql(n: str, scale: str, u: float) -> str:
+    """The inverse distribution at a uniform draw from -0.5 to 0.5."""
+    return f"({n} - {scale} * ({math.copysign(math.log(1 - 2 * abs(u)), u)!r}))"
 
-@query()
+
+def _draws(seed: int, n: int) -> list[float]:
+    rng = random.Random(seed)
+    return [rng.random() - 0.5 for _ in range(n)]
+
+
+_U = _draws(5, 9)
+
+
+@query(f"""WITH e AS (SELECT event_type, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)
+SELECT 'count:k' AS query, greatest(0, round_even({_laplace_sql("count(k)", "4.0", _U[0])}, 0))::DOUBLE AS answer FROM e
+UNION ALL SELECT 'mean:k', round({_laplace_sql("avg(greatest(0, least(50, k)))", "(50.0 / 0.25 / count(k))", _U[1])}, 4) FROM e
+UNION ALL SELECT 'histogram:kind', greatest(0, round_even({_laplace_sql("count(*)", "4.0", _U[2])}, 0)) FROM e
+UNION ALL SELECT 'count:k|group_by:kind', greatest(0, round_even({_laplace_sql("count(k)", "4.0", _U[3])}, 0)) FROM e""")
 def dp_noised(spark, d):
-    """Noisy answers; their values are random."""
-    r = t(spark, d, "events").select(F.lit("Observation").alias("resource_type"), F.col("props").alias("data_json"))
-    got = private_stats.private_stats(r, 1.0, [private_stats.Count("k"), private_stats.Mean("k", 0, 100)], private_stats.Budget(2.0))
-    return spark.createDataFrame([(k, float(v)) for k, v in got.values.items()], "query string, answer double")
+    """Noisy answers by a generator with a fixed seed: counts, a clamped mean and a histogram of one value."""
+    j = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("double").alias("k"), F.lit("x").alias("kind")))
+    r = t(spark, d, "events").select(F.lit("Observation").alias("resource_type"), j.alias("data_json"))
+    asked = [private_stats.Count("k"), private_stats.Mean("k", 0, 50), private_stats.Histogram("kind"), private_stats.Count("k", group_by="kind")]
+    got = private_stats.private_stats(r, 1.0, asked, private_stats.Budget(2.0), rng=random.Random(5))
+    return spark.createDataFrame([(k, float(v["x"] if isinstance(v, dict) else v)) for k, v in got.values.items()], "query string, answer double")
 
 
-@query()
+_SIGMA = 3.0 * math.sqrt(2 * math.log(1.25 / 1e-5)) / 0.5
+
+
+@query(f"""SELECT 'laplace' AS mechanism, round({_laplace_sql("count(*)", "4.0", _draws(7, 1)[0])}, 6) AS value FROM customer
+UNION ALL SELECT 'gaussian', round(count(*) + {random.Random(8).gauss(0, _SIGMA)!r}, 6) FROM customer""")
 def mechanisms_release(spark, d):
-    """A Laplace and a Gaussian release of one true count; the values are random."""
+    """A Laplace and a Gaussian release of one true count by generators with fixed seeds."""
     n = t(spark, d, "customer").count()
-    rows = [("laplace", private_stats.Laplace(1.0).release(n)), ("gaussian", private_stats.Gaussian(1.0, 1e-5).release(n))]
-    return spark.createDataFrame(rows, "mechanism string, value double")
+    rows = [("laplace", private_stats.Laplace(0.5, 2.0, random.Random(7)).release(n)), ("gaussian", private_stats.Gaussian(0.5, 1e-5, 3.0, random.Random(8)).release(n))]
+    return spark.createDataFrame(rows, "mechanism string, value double").select("mechanism", F.round("value", 6).alias("value"))
+
+
+@query("SELECT round(avg(greatest(10, least(60, value))), 6) AS mean FROM events")
+def dp_true_mean(spark, d):
+    return private_stats.true_mean(t(spark, d, "events"), F.col("value"), 10, 60).select(F.round("mean", 6).alias("mean"))
 
 
 # k-anonymity and l-diversity
@@ -278,15 +308,19 @@ def phi_url(spark, d):
     return t(spark, d, "pages").select("page_id", phi.count(F.col("url"), "URL").cast("bigint").alias("n"), phi.replace(F.col("url"), "URL").alias("redacted"))
 
 
-def _literal(name: str, category: str, table: str, key: str, spark_text: Callable[[Column], Column], sql_match: str) -> None:
-    """A rule over texts made from a table's keys; sql_match gives the first match (or null) in SQL over k."""
+def _literal(name: str, category: str, table: str, key: str, spark_text: Callable[[Column], Column], sql_match: str, miss: str) -> None:
+    """A rule over texts made from a table's keys, with `miss`, which it must not take, before them; every third text holds the match twice, every fifth not at all.
+    sql_match gives the match in SQL over k."""
 
     def run(spark, d):
-        rows = t(spark, d, table).select(F.col(key).alias("k"))
-        return rows.select("k", F.get(phi.found(spark_text(F.col("k").cast("string")), category), 0).alias("match"))
+        rows, one = t(spark, d, table).select(F.col(key).alias("k")), spark_text(F.col("k").cast("string"))
+        text = F.concat(F.lit(miss + " "), F.when(F.col("k") % 5 == 0, "").when(F.col("k") % 3 == 0, F.concat(one, F.lit(" / "), one)).otherwise(one))
+        got = phi.found(text, category)
+        return rows.select("k", F.array_join(got, "|").alias("matches"), phi.count(text, category).cast("bigint").alias("n"))
 
     run.__name__ = name
-    query(f"SELECT k, {sql_match} AS match FROM (SELECT {key} AS k FROM {table})")(run)
+    n = "CASE WHEN k % 5 = 0 THEN 0 WHEN k % 3 = 0 THEN 2 ELSE 1 END"
+    query(f"SELECT k, CASE {n} WHEN 0 THEN '' WHEN 1 THEN {sql_match} ELSE {sql_match} || '|' || {sql_match} END AS matches, ({n})::BIGINT AS n FROM (SELECT {key} AS k FROM {table})")(run)
 
 
 def _join(*parts) -> Callable[[Column], Column]:
@@ -313,20 +347,30 @@ def phi_ssn_valid(spark, d):
     return t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.get(phi.found(text, "SSN"), 0).alias("match"))
 
 
-_literal("phi_mrn", "MRN", "customer", "c_custkey", _join("see MRN-", _pad(6), " today"), f"'MRN-' || {_sql_pad(6)}")
-_literal("phi_account", "ACCOUNT_NUMBER", "customer", "c_custkey", _join("Acct # ", _pad(8), "."), f"'Acct # ' || {_sql_pad(8)}")
-_literal("phi_health_plan", "HEALTH_PLAN", "customer", "c_custkey", _join("his Member ID: H", _pad(7), ", paid"), f"'Member ID: H' || {_sql_pad(7)}")
-_literal("phi_license", "LICENSE", "part", "p_partkey", _join("with DEA #A", _pad(8), ";"), f"'DEA #A' || {_sql_pad(8)}")
-_literal("phi_vehicle", "VEHICLE", "part", "p_partkey", _join("car VIN: 1HGCM826", _pad(9), " sold"), f"'VIN: 1HGCM826' || {_sql_pad(9)}")
-_literal("phi_device", "DEVICE", "part", "p_partkey", _join("a UDI (01)", _pad(10), " in use"), f"'UDI (01)' || {_sql_pad(10)}")
-_literal("phi_zip", "ZIP_CODE", "customer", "c_custkey", _join("Springfield ", _pad(5), "-", _pad(4), "."), f"{_sql_pad(5)} || '-' || {_sql_pad(4)}")
-_literal("phi_street", "STREET_ADDRESS", "customer", "c_custkey", _join("lives at ", _pad(4), " Old Oak Street now"), f"{_sql_pad(4)} || ' Old Oak Street'")
+_literal("phi_mrn", "MRN", "customer", "c_custkey", _join("see MRN-", _pad(6), " today"), f"'MRN-' || {_sql_pad(6)}", "MRN 123 MRNX-123456")
+_literal("phi_account", "ACCOUNT_NUMBER", "customer", "c_custkey", _join("Acct # ", _pad(8), "."), f"'Acct # ' || {_sql_pad(8)}", "Acct # 12345 Accounting 99")
+_literal("phi_health_plan", "HEALTH_PLAN", "customer", "c_custkey", _join("his Member ID: H", _pad(7), ", paid"), f"'Member ID: H' || {_sql_pad(7)}", "Member ID: H1 groups")
+_literal("phi_license", "LICENSE", "part", "p_partkey", _join("has DEA #A", _pad(8), ";"), f"'DEA #A' || {_sql_pad(8)}", "DEA #A1 deal")
+_literal("phi_vehicle", "VEHICLE", "part", "p_partkey", _join("car VIN: 1HGCM826", _pad(9), " sold"), f"'VIN: 1HGCM826' || {_sql_pad(9)}", "1HGCM826OOOOOOOOO VINE 1")
+_literal("phi_device", "DEVICE", "part", "p_partkey", _join("a UDI (01)", _pad(10), " in use"), f"'UDI (01)' || {_sql_pad(10)}", "UDI (01)1 Devices")
+_literal("phi_zip", "ZIP_CODE", "customer", "c_custkey", _join("Springfield ", _pad(5), "-", _pad(4), "."), f"{_sql_pad(5)} || '-' || {_sql_pad(4)}", "A1234 123456")
+_literal("phi_street", "STREET_ADDRESS", "customer", "c_custkey", _join("lives at ", _pad(4), " Old Oak Street now"), f"{_sql_pad(4)} || ' Old Oak Street'", "12Old Oak")
+
+
+_DATES = " + ".join(rf"len(list_filter(regexp_extract_all(text, '\b{p}\b'), lambda x: try_strptime(x, '{f}') IS NOT NULL))" for f, p in (("%Y-%m-%d", r"\d{4}-\d{2}-\d{2}"), ("%m/%d/%Y", r"\d{2}/\d{2}/\d{4}"), ("%m-%d-%Y", r"\d{2}-\d{2}-\d{4}"), ("%Y%m%d", r"\d{8}")))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) + len(regexp_extract_all(text, '\\b\\d{2}/\\d{2}/\\d{4}\\b')) AS n FROM documents".replace("\\\\", "\\"))
+@query(f"SELECT doc_id, ({_DATES})::BIGINT AS n FROM documents WHERE text IS NOT NULL")
 def phi_dates_in_text(spark, d):
-    n = sum((F.regexp_count("text", F.lit("(?U)" + p)) for f, p in dates.FORMATS[:2]), F.lit(0))
-    return t(spark, d, "documents").select("doc_id", n.cast("bigint").alias("n"))
+    """Dates that the shifter finds and can read in whole documents."""
+
+    @pandas_udf("long")
+    def moved(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shifter = dates.Shifter()
+        for s in batches:
+            yield s.map(lambda x: shifter.text(x, 0)[1])
+
+    return t(spark, d, "documents").where("text is not null").select("doc_id", moved("text").alias("n"))
 
 
 @query("SELECT c_custkey, 'Jo' || chr((97 + c_custkey % 26)::INTEGER) || ' Smith' AS name FROM customer")
@@ -363,12 +407,6 @@ def engine_audit(spark, d):
     return log.groupBy("layer", "category", "action").agg(F.count("*").alias("n"))
 
 
-@query()
-def llm_skipped(spark, d):
-    _, log = deidentify(_notes(spark, d), Config(date_shift=False, llm_verification=True))
-    return audit.filtered(log, layer="LLM_VERIFY").select("record_id", "action", "replacement")
-
-
 # Audit, compliance, lineage
 
 
@@ -548,7 +586,9 @@ def text_records(spark, d):
 @query("SELECT c_custkey, 'E11.9,I10,J45.' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS codes FROM customer")
 def text_icd_codes(spark, d):
     text = F.concat(F.lit("E11.9, I10, J45."), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"), F.lit(" and I10"))
-    return t(spark, d, "customer").select("c_custkey", F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(docs_source.ICD10), F.lit(1))), ",").alias("codes"))
+    r = docs_source.text_records(t(spark, d, "customer").select(text.alias("x"), F.col("c_custkey").cast("string").alias("u")), "x", "u").where("resource_type = 'Condition'")
+    codes = F.array_sort(F.collect_list(F.get_json_object("data_json", "$.code.code")))
+    return r.groupBy(F.col("source_uri").cast("bigint").alias("c_custkey")).agg(F.array_join(codes, ",").alias("codes"))
 
 
 from ..streaming import events as _streaming  # noqa: E402
@@ -558,3 +598,6 @@ from ..streaming import events as _streaming  # noqa: E402
 def streaming_date_shift(spark, d):
     """An extension: the events as a stream, shifted by the same stateless expression."""
     return _streaming.run_once(spark, d, SALT)
+
+
+from . import flows  # noqa: E402, F401

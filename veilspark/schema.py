@@ -64,6 +64,30 @@ def encounters(df: DataFrame) -> DataFrame:
     return of_type(df, "Encounter")
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON file {"records": [...]} with each record's data as an object. Rows come to the driver a partition at a time; larger sets go to Parquet."""
+    import json
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"records": [')
+        for i, r in enumerate(df.select(*COLUMNS).toLocalIterator()):
+            row = r.asDict() | {"ingested_at": r["ingested_at"].isoformat() if r["ingested_at"] else None}
+            data = row.pop("data_json") or "null"
+            f.write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False)[:-1] + f', "data": {data}}}')
+        f.write("\n]}\n")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Records of such files; a record without a checksum gets that of its content, one without an id that checksum's beginning."""
+    kind = "array<struct<id:string,resource_type:string,data:string,source_format:string,source_uri:string,ingested_at:string,checksum:string>>"
+    rows = spark.read.schema(f"records {kind}").option("multiLine", True).json(path).select(F.inline("records"))
+    total = checksum(F.col("resource_type"), F.col("data"), F.col("source_format"), F.col("source_uri"))
+    rows = rows.withColumn("checksum", F.coalesce(F.when(F.col("checksum") != "", F.col("checksum")), total))
+    return rows.select(F.coalesce("id", F.substring("checksum", 1, 32)).alias("id"), "resource_type", F.col("data").alias("data_json"), "source_format", "source_uri", F.col("ingested_at").try_cast("timestamp").alias("ingested_at"), "checksum")
+
+
 def to_dicts(df: DataFrame):
     """An iterator over the records' data; rows come to the driver a partition at a time."""
     import json

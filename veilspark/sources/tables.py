@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
@@ -89,12 +89,23 @@ def table_records(df: DataFrame, mapping: str | dict[str, str] = "auto", source_
     return records(out, F.col("t"), F.col("j"), "CSV", F.col("uri"), F.col("n"))
 
 
-def read_csv(spark: SparkSession, path: str, mapping: str | dict[str, str] = "auto", delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """All columns as text; short rows count as blank cells, surplus cells are dropped."""
+def read_csv(spark: SparkSession, path: str, mapping: str | dict[str, str] = "auto", delimiter: str = ",", encoding: str = "utf-8", multi_line: bool | None = None) -> DataFrame:
+    """All columns as text; short rows count as blank cells, surplus cells are dropped.
+
+    multi_line: whether cells hold line ends, so that files can't be split. None: they do if any line has an odd number of quotes, which a scan tells.
+    A record's ordinal tells equal rows apart, so ids follow from content however files are split.
+    """
     try:
-        df = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=True, inferSchema=False, quote='"', escape='"', mode="PERMISSIVE")
+        if multi_line is None:
+            odd = F.length("value") - F.length(F.translate("value", '"', ""))
+            multi_line = encoding.lower().replace("-", "") != "utf8" or not spark.read.text(path).where(odd % 2 == 1).isEmpty()
+        df = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, multiLine=multi_line, inferSchema=False, quote='"', escape='"', mode="PERMISSIVE")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise IngestError(f"no table at {path}") from e
         raise
-    return table_records(df, mapping, F.lit(path))
+    df = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(0)))
+    equal = df.groupBy("__h").count().where("count > 1").select("__h")  # only equal rows are told apart, and each is as good as the other
+    again = F.row_number().over(Window.partitionBy("__h").orderBy("__h")) - 1
+    once = df.join(equal, "__h", "left_anti").withColumn("__n", F.lit(0))
+    return table_records(once.unionByName(df.join(equal, "__h", "left_semi").withColumn("__n", again)), mapping, F.lit(path), F.col("__n"))
