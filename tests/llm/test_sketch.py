@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import queries, sketch
@@ -46,7 +47,37 @@ def test_one_row_and_empty(docs, empty):
     assert sketch.edited(empty).count() == 0
 
 
-def test_query_columns(tmp_path, docs, spark):
+def bottom(text):
+    return [int(text[i : i + 16], 16) for i in range(0, len(text), 16)]
+
+
+def likeness(a, b, k=256):
+    """By hand from two fingerprints, whose hashes are signed numbers in ascending order."""
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    union = sorted({sign(x) for x in bottom(a)} | {sign(x) for x in bottom(b)})[:k]
+    both = {sign(x) for x in bottom(a)} & {sign(x) for x in bottom(b)}
+    return sum(x in both for x in union) / len(union) if union else 1.0
+
+
+@pytest.mark.parametrize("range_chars", [1 << 25, 700])
+def test_query(tmp_path, docs, spark, monkeypatch, range_chars):
+    """The registered query against hashes and likeness by hand, in few and in many ranges of ids."""
+    monkeypatch.setattr(sketch, "RANGE_CHARS", range_chars)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    r = queries.op5_fingerprints(spark, str(tmp_path)).where("doc_id = 3").first()
-    assert re.fullmatch(r"[0-9a-f]{64}", r.edited_sha256) and len(r.fingerprint) % 16 == 0 and hashlib.sha256
+    got = queries.op5_fingerprints(spark, str(tmp_path)).collect()
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()), reverse=True)
+    want = []
+    for i, (has, k, t) in enumerate(rows):
+        h = len(t) // 2
+        e = t[: len(t) - h] + rows[(i + 1) % len(rows)][2][:h]
+        want.append((str(k if has else None), len(t), hashlib.sha256(e.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    assert all(len(r.fingerprint) % 16 == 0 and len(r.fingerprint) <= 16 * 256 for r in got) and max(len(r.fingerprint) for r in got) == 16 * 256
+    assert all(abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-9 for r in got)
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert all(len(f) == 1 for f in of.values())
+    ordered = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0), reverse=True)
+    alone = [i for i, r in enumerate(ordered) if [x.doc_id for x in ordered].count(ordered[(i + 1) % len(ordered)].doc_id) == 1 and [x.doc_id for x in ordered].count(r.doc_id) == 1]
+    assert all(abs(ordered[i].near_next - likeness(ordered[i].fingerprint, ordered[(i + 1) % len(ordered)].fingerprint)) < 1e-9 for i in alone)

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .pieces import Known, Pieces, slices
 
 NONE = np.int64(-1)
-KEEP, TOGETHER = 400_000, 40_000
+KEEP, TOGETHER = 150_000, 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

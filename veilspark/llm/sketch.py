@@ -9,12 +9,14 @@ empty sketch; two empty sketches are alike (1.0), an empty and a filled one are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import words
 
-K, SHINGLE = 256, 5
+K, SHINGLE, RANGE_CHARS = 256, 5, 32 << 20
 
 
 def hashes(word_array: Column, shingle: int = SHINGLE) -> Column:
@@ -76,10 +78,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, k: int = K, shingle:
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = buckets or min(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("__k", [i / n for i in range(1, n)], 20_000)).first()[0] if n > 1 else []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda b: b <= F.col("__k")))
+    n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / RANGE_CHARS))
+    cuts = rows.agg(F.percentile_approx("__k", [i / n for i in range(1, n)], max(20_000, 10 * n))).first()[0] if n > 1 else []
+    bounds = sorted(set(cuts or []))
+    step = max(1, math.isqrt(len(bounds)))  # looked up in two steps, so that a row's cost grows with the root of the number of ranges
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    heads, parts = bounds[step::step], [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    under = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("__k")))
+    rows = rows.withColumn("__c", under(longs(heads)))
+    bucket = F.col("__c") * step + under(F.get(F.array(*[longs(p) for p in parts]), F.col("__c")))
     tops = dict(rows.groupBy(bucket.alias("b")).agg(F.max("__k")).collect())  # one for each range
     order = sorted(tops)
     guests = F.array(*[F.struct(F.lit(tops[b]).alias("k"), F.lit(order[(i + 1) % len(order)]).alias("to")) for i, b in enumerate(order)]) if order else F.array().cast("array<struct<k:bigint,to:int>>")
