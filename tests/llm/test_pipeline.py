@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from veilspark.llm import queries
+from veilspark.llm import line_dedup, near_copies, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,7 +34,7 @@ def test_quality_rejects_by_score(stages, spark):
 
 def test_near_dedup_keeps_one_of_each_group(stages):
     before, after = stages[2]
-    groups = {r.doc_id: r.component_id for r in cp.near_duplicates(before).collect()}
+    groups = {r.doc_id: r.component_id for r in near_copies.near_duplicates(before).collect()}
     assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(i for i, c in groups.items() if i == c)
 
 
@@ -67,3 +67,60 @@ def test_short_pages_lose_their_furniture(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.lines(spark, docs, DATA).collect()}
     assert got == {i: (f"own words {i}", len(f"own words {i}")) for i in range(20)}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, n_lines int, n_dropped int, __score double, __key string, fp long, key string, size int, token_ids string, decoded string, h int"
+
+
+def odd_rows():
+    text = " ".join(f"w{i}" for i in range(60))
+    base = [(1, text, "en", "s"), (None, text, "en", "s"), (None, "other words " * 9, None, None), (2, None, "en", "s"), (3, "", None, "s"), (4, " \n\t", "en", None), (5, "x " * 9000, "en", "t")]
+    base += [(1, text, "en", "s"), (None, None, None, None), (6, text + " end", "en", "t")]
+    return [(*r, None if r[1] is None else len(r[1]), 0.25, "r", 7, 8, 0.75, "k", 9, "q", 3, "t", "d", 2) for r in base]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    stage = dict(cp.STAGES)[name]
+    rows = stage(spark, docs, DATA).collect()
+    known = {tuple(map(str, r)) for r in docs.collect()}
+    if name == "bpe":
+        assert len(rows) == docs.count() and all(r.decodes for r in rows)
+    elif name == "line_dedup":
+        assert len(rows) == docs.count() and {r.score for r in rows} == {0.25} and {(r.n_lines, r.n_dropped) for r in rows} == {(7, 8)}
+    else:
+        assert {tuple(map(str, r)) for r in rows} <= known  # further columns are as they were
+    if name == "near_dedup":
+        got = sorted((str(r.doc_id), (r.text or "")[:5]) for r in rows)
+        # 1 for its copies and its near copy, 2 for all without words, one row each of the others
+        assert got == sorted([("1", "w0 w1"), ("None", "other"), ("2", ""), ("5", "x x x")])
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_dedup_of_rows_without_ids(spark):
+    rows = [(1, "one text of some words"), (None, "one text of some words"), (None, "quite another text than that"), (None, "quite another text than that")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, cp.near_dedup(spark, docs, DATA).collect())) == sorted([str(docs.collect()[0]), str(docs.collect()[2])])
+
+
+def test_quality_without_labels(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    assert cp.quality(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_lines_by_brute_force(stages):
+    before, after = stages[1]
+    rows = before.collect()
+    pages = {}
+    for r in rows:
+        for x in set((r.text or "").split("\n")):
+            if x.strip(" \t\n\x0b\f\r"):
+                pages[r.source, x] = pages.get((r.source, x), 0) + 1
+    total = {}
+    for r in rows:
+        total[r.source] = total.get(r.source, 0) + 1
+    cut = {k for k, n in pages.items() if n > 1 and n - 1 > line_dedup.RATIO * (total[k[0]] - 1 + line_dedup.PRIOR)}
+    want = sorted((r.doc_id, "\n".join(x for x in r.text.split("\n") if (r.source, x) not in cut)) for r in rows)
+    assert sorted((r.doc_id, r.text) for r in after.collect()) == want and all(r.n_chars == len(r.text) for r in after.collect())

@@ -42,13 +42,14 @@ def targets(sizes: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, m
 
 
 def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
-    """sized (key, size, h), aims (key, rest) -> key, limit: hashes under it hold about rest words."""
+    """sized (key, size, h), aims (key, rest, n) -> key, limit: hashes under it hold about rest words."""
+    hot = hot_values(aims, "key", "n", least=200)
     open_ = aims.select("key", "rest", F.lit(0).cast("long").alias("prefix"))
     width = 1 << STEP
     for level in range(1, LEVELS + 1):
         bits = STEP * level
         b = F.shiftright("h", HASH_BITS - bits)
-        inside = sized.select("key", "size", b.alias("b")).join(open_, "key")
+        inside = salted_join(sized.select("key", "size", "h", b.alias("b")), open_, "key", hot, F.col("h"), how="inner")
         if level > 1:
             inside = inside.where(F.shiftright("b", STEP) == F.col("prefix"))
         sums = inside.groupBy("key", "b").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of = _sized(docs, text_col, source_col, id_col)
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in of.items()]), "mixsizes")
     found = plan(sized, weights, budget, most)
-    joined = salted_join(sized, found, "key", hot_values(found, "key", "n"), F.col("h"), how="inner")
+    joined = salted_join(sized, found, "key", hot_values(found, "key", "n", least=200), F.col("h"), how="inner")
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (copies(most) * F.col("size")).alias("taken"))
 
 
@@ -105,5 +106,5 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, of = docs.columns, _sized(docs, text_col, source_col, id_col)
     keyed = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), *[c.alias(k) for k, c in of.items()])
     found = plan(cut(keyed.select("key", "size", "h"), "mixsizes"), weights, budget, most)
-    joined = salted_join(keyed.drop("size"), found, "key", hot_values(found, "key", "n"), F.col("h"), how="inner")
+    joined = salted_join(keyed.drop("size"), found, "key", hot_values(found, "key", "n", least=200), F.col("h"), how="inner")
     return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies(most).cast("int")))).select("row.*")
