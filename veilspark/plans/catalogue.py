@@ -166,7 +166,7 @@ def dp_true_histogram(spark, d):
     return private_stats.true_histogram(t(spark, d, "orders"), F.col("o_orderpriority"))
 
 
-@query("SELECT n_nationkey::INTEGER AS seq, n_name AS label, round(0.01 * (1 + n_nationkey % 5), 6) AS epsilon, round(2 - sum(0.01 * (1 + n_nationkey % 5)) OVER (ORDER BY n_nationkey), 6) AS epsilon_left FROM nation")
+@query("SELECT n_nationkey::INTEGER AS seq, n_name AS label, round(0.01 * (1 + n_nationkey % 5), 6)::DOUBLE AS epsilon, round(2 - sum(0.01 * (1 + n_nationkey % 5)) OVER (ORDER BY n_nationkey), 6)::DOUBLE AS epsilon_left FROM nation")
 def budget_running(spark, d):
     """A ledger charged once for each nation."""
     budget = private_stats.Budget(2.0)
@@ -177,7 +177,7 @@ def budget_running(spark, d):
 
 def _laplace_sql(n: str, scale: str, u: float) -> str:
     """The inverse distribution at a uniform draw from -0.5 to 0.5."""
-    return f"({n} - {scale} * ({math.copysign(math.log(1 - 2 * abs(u)), u)!r}))"
+    return f"({n} - {scale} * ({math.copysign(math.log(1 - 2 * abs(u)), u)!r})::DOUBLE)"
 
 
 def _draws(seed: int, n: int) -> list[float]:
@@ -206,7 +206,7 @@ _SIGMA = 3.0 * math.sqrt(2 * math.log(1.25 / 1e-5)) / 0.5
 
 
 @query(f"""SELECT 'laplace' AS mechanism, round({_laplace_sql("count(*)", "4.0", _draws(7, 1)[0])}, 6) AS value FROM customer
-UNION ALL SELECT 'gaussian', round(count(*) + {random.Random(8).gauss(0, _SIGMA)!r}, 6) FROM customer""")
+UNION ALL SELECT 'gaussian', round(count(*) + ({random.Random(8).gauss(0, _SIGMA)!r})::DOUBLE, 6) FROM customer""")
 def mechanisms_release(spark, d):
     """A Laplace and a Gaussian release of one true count by generators with fixed seeds."""
     n = t(spark, d, "customer").count()
