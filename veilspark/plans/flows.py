@@ -373,10 +373,10 @@ def pipeline_run(spark, d):
 # Privacy and synthesis
 
 
-@query("SELECT unnest([2, 1000]) AS k, unnest([true, false]) AS holds")
+@query("SELECT k, (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)) >= k AS holds FROM (VALUES (2), (1000), (1000000000)) v(k)")
 def kanon_check(spark, d):
     rows = []
-    for k in (2, 1000):
+    for k in (2, 1000, 1_000_000_000):
         try:
             rows.append((k, kanonymity.check(t(spark, d, "orders"), ["o_orderstatus"], k)))
         except KAnonymityError:
