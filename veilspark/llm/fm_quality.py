@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
+from .bpe_replay import give_back
+
 WORDS, BINS, FACTORS = 1 << 15, 24, 6
 SAMPLE, EPOCHS, BATCH = 4000, 12, 64
 LEAST_STEPS = 1500
@@ -121,11 +123,22 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             yield pd.DataFrame({"i": [g[0] for g in got], "x": [g[1] for g in got]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = rows.select("id", "y", feature("text").alias("f")).orderBy(*order, "f.i").limit(2 * sample).select("y", "f.i", "f.x").toArrow().to_pydict()
-    if len(set(found["y"])) < 2:
-        return float(found["y"][0]) if found["y"] else 0.5
-    xs = [(np.array(i, np.int32), np.array(x, np.float32)) for i, x in zip(found["i"], found["x"], strict=True)]
-    return fit(xs, np.array(found["y"], np.float32))
+    found = rows.select("id", "y", feature("text").alias("f")).orderBy(*order, "f.i").limit(2 * sample).select("y", "f.i", "f.x").toArrow()
+    y = found.column("y").to_numpy()
+    if len(set(y.tolist())) < 2:
+        return float(y[0]) if len(y) else 0.5
+    xs = [(i, x) for a, b in zip(found.column("i").chunks, found.column("x").chunks, strict=True) for i, x in zip(_rows(a), _rows(b), strict=True)]
+    model = fit(xs, y.astype(np.float32))
+    del found, xs
+    give_back()
+    return model
+
+
+def _rows(lists) -> list[np.ndarray]:
+    """The rows of a list array as views of its values: the sample never becomes Python numbers."""
+    ends = np.asarray(lists.offsets)
+    values = np.asarray(lists.values)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def score(docs: DataFrame, model, text_col: str = "text", out_col: str = "score") -> DataFrame:
