@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from .pieces import Known, Pieces, slices
 
 NONE = np.int64(-1)
-KEEP, TOGETHER = 150_000, 40_000
+KEEP, TOGETHER, PART = 100_000, 40_000, 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,18 +210,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, piece = Encoder(shared.value, pattern, keep, at_spaces), np.array(_table(shared.value), object)
         for batch in batches:
-            done = []
-            for texts in slices(batch.cast(pa.string())):
+            if not len(batch):
+                yield pa.array([], pa.struct([pa.field(n, t) for n, t in zip(names, types, strict=True)]))
+            for texts in slices(batch.cast(pa.string()), PART):
                 ids, sizes = encoder.encode(texts)
                 ends = np.r_[0, np.cumsum(sizes)]
                 columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded_col:
                     parts = piece[ids].tolist()
                     columns.append(pa.array([b"".join(parts[a:b]) for a, b in itertools.pairwise(ends.tolist())], pa.binary()))
-                done.append(pa.StructArray.from_arrays(columns, names))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.struct([pa.field(n, t) for n, t in zip(names, types, strict=False)]))
-            del done
-            give_back()
+                    del parts
+                yield pa.StructArray.from_arrays(columns, names)
+                del ids, columns
+                give_back()
 
     names, types = (["ids", "raw"], [pa.list_(pa.int32()), pa.binary()]) if decoded_col else (["ids"], [pa.list_(pa.int32())])
     out = docs.select(*[c for c in docs.columns if c not in (out_col, decoded_col)], coded(F.col(text_col).cast("string")).alias("__coded"))
