@@ -150,5 +150,6 @@ def score(docs: DataFrame, model, text_col: str = "text", out_col: str = "score"
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([predict(shared.value, *features(t)) for t in s], dtype=float)
+            give_back()
 
     return docs.withColumn(out_col, quality(F.col(text_col)))
