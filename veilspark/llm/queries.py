@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, range_coder, sketch
+from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, range_coder, sketch, vector_codes
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -78,8 +78,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_with_label_error(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op6_range_coder, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text)
+    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op6_range_coder, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text, op11_vector_codes)
     return {f.__name__: f for f in named}
 
 
