@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, range_coder, sketch, vector_codes
+from . import benchmark_spans, bpe_replay, filter_audit, fm_quality, html_text, lattice_lm, line_dedup, quality_rules, range_coder, sketch, vector_codes
 from .common import table
 from .mixing import mix
 from .simhash import near_duplicates
@@ -82,8 +82,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes_with_label_error(table(spark, sf_dir, "embeddings"))
 
 
+def op12_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = benchmark_spans.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op6_range_coder, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text, op11_vector_codes)
+    named = (op1_simhash, op2_lattice_lm, op3_fm_quality, op4_mixing, op5_fingerprints, op6_range_coder, op7_quality_rules, op8_bpe, op9_line_dedup, op10_html_text, op11_vector_codes, op12_benchmark_spans, op13_filter_audit)
     return {f.__name__: f for f in named}
 
 
@@ -144,5 +153,34 @@ j AS (SELECT *, array_to_string(kept, chr(10)) AS new FROM k)
 SELECT doc_id, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped, length(new) AS n_chars, sha256(new) AS text_sha256 FROM j"""
 
 
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ITEM_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, w[i:i + n - 1] AS g FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT k, n, i, w[i:i + n - 1] AS g FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM g) ON len(w) >= n)),
+m AS (SELECT k, i, n, item FROM p JOIN g USING (n, g)),
+h AS (SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS x FROM (SELECT DISTINCT k, i, n FROM m)) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM m) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)"""
+
+OP13 = f"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+v AS (SELECT part, (len(w) < 100)::INTEGER + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INTEGER + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INTEGER
+      + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > least, least IS NOT NULL)::INTEGER AS m, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, good, toxic, count(*) AS n FROM v GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT f1.f || f2.f || f3.f || f4.f || f5.f AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bs FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31 AND f1.b | f2.b | f3.b | f4.b | f5.b = 31),
+s AS (SELECT filter_order, step, bs[step] AS b, coalesce(list_sum(bs[1:step - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, b, sum(CASE WHEN m & before = 0 AND m & b = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & before = 0 AND m & b <> 0 THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN m & before <> 0 AND m & b <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = b THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN m & before = 0 AND m & b <> 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN m & before = 0 AND m & b <> 0 AND toxic THEN n ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op7_quality_rules": OP7, "op9_line_dedup": OP9}
+    return {"op4_mixing": OP4, "op7_quality_rules": OP7, "op9_line_dedup": OP9, "op12_benchmark_spans": OP12, "op13_filter_audit": OP13}
