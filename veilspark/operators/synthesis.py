@@ -9,8 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import MapType, StringType
@@ -18,6 +17,7 @@ from pyspark.sql.types import MapType, StringType
 from ..errors import ReidentificationRiskError
 from ..functions.trees import flatten
 from ..schema import RESOURCE_TYPES, records as as_records
+from .closest import closest
 
 
 @pandas_udf(MapType(StringType(), StringType()))
@@ -138,47 +138,6 @@ def scaled(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> tuple[D
     return unit(real), unit(synthetic)
 
 
-def closest(real: DataFrame, synthetic: DataFrame, block: int = 20_000) -> DataFrame:
-    """dcr: the distance from each synthetic row to the closest real one.
-
-    Real rows stay where they are. Synthetic rows are a query set taken in blocks of bounded size; each task keeps one least distance for each query of the block,
-    and the least over tasks is taken by key.
-    """
-    spark: SparkSession = real.sparkSession
-    parts, held = [], []
-
-    def one(queries: np.ndarray, first: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast(queries)
-
-        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            best, norm = np.full(len(q), np.inf), (q * q).sum(1)
-            for b in batches:
-                if b.num_rows:
-                    x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
-                    for at in range(0, len(x), 2000):
-                        y = x[at : at + 2000]
-                        d = norm[:, None] - 2 * q @ y.T + (y * y).sum(1)[None, :]
-                        near = d.argmin(1)
-                        best = np.minimum(best, np.sqrt(((q - y[near]) ** 2).sum(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(q))), pa.array(best)], ["i", "dcr"])
-
-        return real.mapInArrow(least, "i long, dcr double").groupBy("i").agg(F.min("dcr").alias("dcr"))
-
-    at = 0
-    for row in synthetic.toLocalIterator():
-        held.append(row["v"])
-        if len(held) == block:
-            parts.append(one(np.array(held, float), at))
-            at, held = at + len(held), []
-    if held:
-        parts.append(one(np.array(held, float), at))
-    out = parts[0] if parts else spark.createDataFrame([], "i long, dcr double")
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.where(F.col("dcr") < float("inf"))
-
-
 def distance_stats(distances: DataFrame, threshold: float = 0.05) -> DataFrame:
     """One row: n, exact_match_rate, min, mean and median distance, high_risk_count."""
     return distances.agg(
