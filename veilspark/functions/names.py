@@ -8,10 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rewrite
+
 # What comes before a name, and how a name looks.
 TITLES = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Patient|Pt)\b\.?\s+"
 AFTER_TITLE = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
 CUES = r"(?:Patient|Name|Pt|Resident|Client)\s*:?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})"
+ANY_CUE = r"\b(?:mr|mrs|ms|miss|dr|prof|pt)\b|patient|name|pt|resident|client"
 TITLE_CONFIDENCE, CUE_CONFIDENCE = 0.70, 0.75
 
 
@@ -34,6 +37,24 @@ def after_cues(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + CUES), F.lit(1))
 
 
+def spans(text: Column) -> Column:
+    """Names by both rules, apart from each other and in order, as Names.extract gives them, without Python: rule 0 is a title's, rule 1 a cue's, which is the surer one."""
+    both = F.concat(rewrite.spans(text, rewrite.as_java("(?i:" + TITLES + ")(?=" + AFTER_TITLE + ")"), 0, 1, ahead=True), rewrite.spans(text, rewrite.as_java(CUES), 1, 1))
+    turns = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), (-s["rule"]).alias("unsure"), s["stop"].alias("stop"), s["original"].alias("original"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        own = F.struct(s["start"].alias("start"), s["stop"].alias("stop"), (-s["unsure"]).alias("rule"), s["original"].alias("original"))
+        apart, surer = last.isNull() | (s["start"] >= last["stop"]), -s["unsure"] > last["rule"]
+        return F.when(apart, F.concat(acc, F.array(own))).when(surer, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(own))).otherwise(acc)
+
+    return F.when(F.rlike(text, F.lit("(?iU)" + ANY_CUE)), F.aggregate(turns, rewrite.none(), step)).otherwise(rewrite.none())
+
+
+def redacted(text: Column, found: Column) -> Column:
+    return rewrite.replaced(text, found, ["[PATIENT_NAME]"] * 2)
+
+
 class Names:
     def __init__(self) -> None:
         self.title, self.name, self.cue = re.compile(TITLES, re.I), re.compile(AFTER_TITLE), re.compile(CUES)

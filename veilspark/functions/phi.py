@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rewrite
+
 # Category, placeholder and pattern in order of precedence; all ignore case. The patterns are the same in Python and Java.
 # Rule 13 is written without a repeated group, whose recursion ends the JVM on long texts; it matches the same spans.
 RULES = (
@@ -29,8 +31,8 @@ BY_CATEGORY = {c: (placeholder, pattern) for c, placeholder, pattern in RULES}
 
 
 def java(category: str) -> str:
-    """The rule for Spark's expressions; Java needs (?U) for Unicode classes."""
-    return "(?iU)" + BY_CATEGORY[category][1]
+    """The rule for Spark's expressions."""
+    return "(?i)" + rewrite.as_java(BY_CATEGORY[category][1])
 
 
 def count(text: Column, category: str) -> Column:
@@ -51,6 +53,31 @@ def any_phi(text: Column) -> Column:
     return F.rlike(text, F.lit(r"(?iU)[\d@]|https?://|group|member|beneficiary|subscriber|health\s*plan|licen[sc]e|cert|dea|npi|upin|vin|vehicle|udi|device|serial|[A-HJ-NPR-Z0-9]{17}|\b(?:mr|mrs|ms|miss|dr|prof|pt)\b|patient|name|pt|resident|client"))
 
 
+def spans(text: Column) -> Column:
+    """Every match of every rule, overlapping ones too, by start and then by rule; see rewrite.SPANS. Null for null."""
+    return F.when(text.isNotNull(), F.array_sort(F.transform(F.concat(*[rewrite.spans(text, java(c), k) for k, (c, _, _) in enumerate(RULES)]), lambda s: F.struct(s["start"].alias("start"), s["rule"].alias("rule"), s["stop"].alias("stop"), s["original"].alias("original")))))
+
+
+def matches(found: Column) -> Column:
+    """spans as matches: category, original, replacement, start, end and confidence."""
+    of = lambda values: F.array(*map(F.lit, values))
+    category, placeholder = of(c for c, _, _ in RULES), of(to for _, to, _ in RULES)
+    return F.transform(found, lambda s: F.struct(
+        F.get(category, s["rule"]).alias("category"), s["original"].alias("original"), F.get(placeholder, s["rule"]).alias("replacement"), s["start"].alias("start"), s["stop"].alias("end"), F.lit(1.0).alias("confidence"),
+    ))
+
+
+def scan(text: Column) -> Column:
+    """matches of a text, without Python."""
+    return matches(spans(text))
+
+
+def redacted(text: Column, found: Column | None = None) -> Column:
+    """The text without the matches (or those of `found`), as Matcher.redact gives it, without Python."""
+    every = spans(text) if found is None else found
+    return rewrite.replaced(text, rewrite.merged(every), [to for _, to, _ in RULES])
+
+
 @dataclass(frozen=True)
 class Match:
     category: str

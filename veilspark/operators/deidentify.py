@@ -8,12 +8,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ..functions import dates
+from ..functions import dates, names, phi, rewrite
 from ..functions.names import Names
 from ..functions.phi import Matcher, any_phi
 from ..functions.shared import settle
@@ -105,10 +105,52 @@ def _processor(config: Config):
     return run
 
 
+def _native(df: DataFrame, config: Config) -> DataFrame:
+    """df (__text, a record's JSON or null, __who and __days) with __r, (data_json, entries), by expressions alone. Of the text only strings with a match change.
+
+    The layers are projections over arrays of the record's strings, one after another; strings that a cheap test clears are null in them.
+    """
+    array = _RESULT["entries"].dataType
+    c = F.col
+    df = df.withColumn("__s", rewrite.json_strings(c("__text")))
+    df = df.withColumn("__0", F.transform("__s", lambda s: F.when(any_phi(s["value"]), s["value"])))
+    df = df.withColumn("__names", F.transform("__0", names.spans))
+    df = df.withColumn("__1", F.zip_with("__0", "__names", names.redacted))
+    df = df.withColumn("__rules", F.transform("__1", phi.spans))
+    df = df.withColumn("__2", F.zip_with("__1", "__rules", phi.redacted))
+    of = lambda values: F.array(*map(F.lit, values))
+
+    def entries(spans: str, layer: str, replacement, category, confidence) -> Column:
+        def entry(x: Column) -> Column:
+            return F.struct(F.lit("PHI_REMOVED").alias("action"), F.lit(layer).alias("layer"), x["original"].alias("original"), replacement(x).alias("replacement"), category(x).alias("category"), confidence(x).alias("confidence"))
+
+        return F.transform(F.flatten(F.filter(spans, lambda s: s.isNotNull())), entry).cast(array)
+
+    logs = [
+        entries("__names", "NER", lambda x: F.lit("[PATIENT_NAME]"), lambda x: F.lit("PATIENT_NAME"), lambda x: F.get(of((names.TITLE_CONFIDENCE, names.CUE_CONFIDENCE)), x["rule"])),
+        entries("__rules", "PATTERN", lambda x: F.get(of([to for _, to, _ in phi.RULES]), x["rule"]), lambda x: F.get(of([k for k, _, _ in phi.RULES]), x["rule"]), lambda x: F.lit(1.0)),
+    ]
+    if config.date_shift:
+        df = dates.shifted(df, "__2", "__days", "__d", timed=not config.compat_dates)
+        moved = F.aggregate("__d", F.lit(0), lambda n, d: n + F.coalesce(d["n"], F.lit(0)))
+        logs.append(F.array(_date_entry(config, c("__who"), c("__days"), moved)).cast(array))
+        df = df.withColumn("__2", F.transform("__d", lambda d: d["text"]))
+    new = F.zip_with("__s", "__2", lambda s, t: F.when(t != s["value"], t))
+    made = F.struct(rewrite.joined_json(c("__text"), c("__s"), new).alias("data_json"), F.concat(*logs).alias("entries"))
+    empty = F.struct(F.lit(None).cast("string").alias("data_json"), F.array().cast(array).alias("entries"))
+    return df.withColumn("__r", F.when(c("__text").isNull(), empty).otherwise(made)).drop("__s", "__0", "__names", "__1", "__rules", "__2", "__d")
+
+
+def _date_entry(config: Config, who: Column, days: Column, moved: Column) -> Column:
+    said = F.concat(F.concat(F.lit("offset="), days, F.lit(" days; ")) if config.show_offset else F.lit(""), F.lit("shifted_dates="), moved)
+    return F.struct(F.lit("DATE_SHIFTED").alias("action"), F.lit("DATE_SHIFT").alias("layer"), F.concat(F.lit("patient="), who).alias("original"), said.alias("replacement"), F.lit("DATE").alias("category"), F.lit(1.0).alias("confidence"))
+
+
 def deidentify(records: DataFrame, config: Config, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(clean records, audit entries). Both derive from one deterministic expression, so recomputing either cannot part them.
 
     once: write both, with hashed originals, to the shared folder and read them from there, so that records pass the layers a single time where both are used.
+    Everything is an expression (see _native) but where a plug-in has a say: extra patterns, which are Python's, a verifier, or compat_splice; those records go through Python in Arrow batches.
     Records that a cheap native test finds free of digits, cues and rules' words do not pass them at all; they keep their text. The clean record's checksum is that of its new content.
     """
     if config.date_shift:
@@ -117,10 +159,10 @@ def deidentify(records: DataFrame, config: Config, once: bool = False) -> tuple[
     days = dates.offset(F.col("__who"), config.date_shift_salt, config.date_shift_range) if config.date_shift else F.lit(None).cast("int")
     needs = F.lit(True) if config.llm_verification or config.extra_patterns else any_phi(F.col("data_json")) | F.contains("data_json", F.lit("\\"))
     done = records.withColumn("__who", who).withColumn("__days", days).withColumn("__needs", F.coalesce(needs, F.lit(False)))
-    done = done.withColumn("__r", _processor(config)(F.when(F.col("__needs"), F.col("data_json")), "__who", "__days"))
-    said = F.concat(F.concat(F.lit("offset="), F.col("__days"), F.lit(" days; ")) if config.show_offset else F.lit(""), F.lit("shifted_dates=0"))
-    row = F.struct(F.lit("DATE_SHIFTED").alias("action"), F.lit("DATE_SHIFT").alias("layer"), F.concat(F.lit("patient="), F.col("__who")).alias("original"), said.alias("replacement"), F.lit("DATE").alias("category"), F.lit(1.0).alias("confidence"))
-    plain = F.array(row) if config.date_shift else F.array().cast(_RESULT["entries"].dataType)
+    plug_in = config.llm_verification or config.extra_patterns or config.compat_splice
+    done = done.withColumn("__text", F.when(F.col("__needs"), F.col("data_json")))
+    done = (done.withColumn("__r", _processor(config)("__text", "__who", "__days")) if plug_in else _native(done, config)).drop("__text")
+    plain = F.array(_date_entry(config, F.col("__who"), F.col("__days"), F.lit(0))) if config.date_shift else F.array().cast(_RESULT["entries"].dataType)
     plain = F.when(F.col("data_json").isNull(), F.array().cast(_RESULT["entries"].dataType)).otherwise(plain)
     left = F.struct(F.col("data_json").alias("data_json"), plain.cast(_RESULT["entries"].dataType).alias("entries"))
     done = done.withColumn("__r", F.when(F.col("__needs"), F.col("__r")).otherwise(left))

@@ -7,13 +7,11 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, names, phi
 from ..operators import audit, compliance, kanonymity, lineage, private_stats, synthesis
@@ -363,14 +361,8 @@ _DATES = " + ".join(rf"len(list_filter(regexp_extract_all(text, '\b{p}\b'), lamb
 @query(f"SELECT doc_id, ({_DATES})::BIGINT AS n FROM documents WHERE text IS NOT NULL")
 def phi_dates_in_text(spark, d):
     """Dates that the shifter finds and can read in whole documents."""
-
-    @pandas_udf("long")
-    def moved(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shifter = dates.Shifter()
-        for s in batches:
-            yield s.map(lambda x: shifter.text(x, 0)[1])
-
-    return t(spark, d, "documents").where("text is not null").select("doc_id", moved("text").alias("n"))
+    rows = t(spark, d, "documents").where("text is not null").select("doc_id", "text", F.lit(0).alias("days"))
+    return dates.shifted(rows, "text", "days", "d", whole_values=False).select("doc_id", F.col("d.n").cast("long").alias("n"))
 
 
 @query("SELECT c_custkey, 'Jo' || chr((97 + c_custkey % 26)::INTEGER) || ' Smith' AS name FROM customer")
