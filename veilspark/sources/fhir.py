@@ -1,19 +1,16 @@
-"""FHIR bundles from files, and from a server by a Spark data source with a partition for each resource type."""
+"""FHIR bundles from files, and from a server by a Spark data source."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
-from urllib.request import Request, urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import FHIRValidationError, IngestError
 from ..schema import RESOURCE_TYPES, empty, records
+from . import framed
+from .fhir_server import FHIRServer
 
 
 def bundle_records(df: DataFrame, json_col: str, uri_col: str | None = None) -> DataFrame:
@@ -24,38 +21,53 @@ def bundle_records(df: DataFrame, json_col: str, uri_col: str | None = None) ->
     return records(rows, F.get_json_object("j", "$.resourceType"), F.col("j"), "FHIR_R4", F.col("uri"), F.col("n"))
 
 
+def _entry_records(entries: DataFrame) -> DataFrame:
+    """uri, n and text of entries -> records; an entry that is no JSON has none."""
+    rows = entries.select("uri", "n", _as_json(F.col("text")).alias("e")).select("uri", "n", F.coalesce(F.get_json_object("e", "$.resource"), F.col("e")).alias("j"))
+    return records(rows, F.get_json_object("j", "$.resourceType"), F.col("j"), "FHIR_R4", F.col("uri"), F.col("n"))
+
+
+def _as_json(text: Column) -> Column:
+    return F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 0)
+
+
 def read_bundles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Bundle files. strict: one job first looks for files that are no JSON or no bundle, and raises."""
+    """Bundle files of any size, each read by as many tasks as it has byte ranges; see framed.
+
+    strict: jobs first look for files whose brackets or strings are not closed, that hold no JSON object, an entry that is none, or no Bundle, and raise.
+    """
     try:
-        files = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"), F.col("_metadata.file_path").alias("uri"))
+        entries, files = framed.entries(spark, path)
     except Exception as e:
         raise IngestError(f"can't read {path}", detail=str(e)[:300]) from e
     if strict:
-        kind = F.get_json_object("j", "$.resourceType")
-        bad, other = files.agg(F.count_if(F.try_parse_json("j").isNull()), F.count_if(F.try_parse_json("j").isNotNull() & ~kind.eqNullSafe("Bundle"))).first()
+        bad, other = files.agg(F.count_if(~F.col("ok")), F.count_if(F.col("ok") & ~F.col("name").eqNullSafe("Bundle"))).first()
+        bad = bad or entries.where(_as_json(F.col("text")).isNull()).select("uri").distinct().count()
         if bad:
             raise IngestError(f"{bad} file(s) in {path} hold no JSON")
         if other:
             raise FHIRValidationError(f"{other} file(s) in {path} hold no Bundle")
-    return bundle_records(files, "j", "uri")
+    return _entry_records(entries)
 
 
 @dataclass
 class Auth:
     token: str = ""
-    client_id: str = ""
-    client_secret: str = ""
-    token_url: str = ""
 
 
 @dataclass
 class FHIRSource:
-    """A bundle file (a path ending in .json) or a server's address."""
+    """A bundle file or folder (a path ending in .json) or a server's address. options: further ones of the data source, see fhir_server."""
 
     url: str
     auth: Auth = field(default_factory=Auth)
-    resource_types: tuple[str, ...] = ("Patient", "Observation", "Condition", "MedicationRequest")
+    resource_types: tuple[str, ...] = RESOURCE_TYPES
     page_size: int = 100
+    options: dict[str, str] = field(default_factory=dict)
+
+    def _options(self, spark: SparkSession, known: list[str]) -> dict[str, str]:
+        spark.dataSource.register(FHIRServer)
+        return {"url": self.url, "types": ",".join(known), "count": str(self.page_size), "token": self.auth.token, **self.options}
 
     def ingest(self, spark: SparkSession) -> DataFrame:
         if self.url.endswith(".json") and not self.url.startswith(("http://", "https://")):
@@ -63,51 +75,13 @@ class FHIRSource:
         known = [t for t in self.resource_types if t in RESOURCE_TYPES]
         if not known:
             return empty(spark)
-        spark.dataSource.register(FHIRServer)
-        rows = spark.read.format("fhir_server").options(url=self.url, types=",".join(known), count=str(self.page_size), token=self.auth.token).load()
-        return records(rows, F.col("resource_type"), F.col("data_json"), "FHIR_R4", F.col("uri"), F.col("n"))
+        return _of_server(spark.read.format("fhir_server").options(**self._options(spark, known)).load())
 
+    def stream(self, spark: SparkSession) -> DataFrame:
+        """Records of a server as they are updated; each update of a resource is a record."""
+        known = [t for t in self.resource_types if t in RESOURCE_TYPES]
+        return _of_server(spark.readStream.format("fhir_server").options(**self._options(spark, known)).load())
 
-class _Type(InputPartition):
-    pass
-
-
-class FHIRServer(DataSource):
-    """Options: url, types (comma-separated), count, token, timeout. Pages are followed by their next links within a partition."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fhir_server"
-
-    def schema(self) -> str:
-        return "resource_type string, data_json string, uri string, n long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Type(t) for t in self.options["types"].split(",")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        o = self.options
-        base, n = o["url"].rstrip("/"), 0
-        url = f"{base}/{partition.value}?_count={o.get('count', '100')}"
-        while url:
-            head = {"Accept": "application/fhir+json"} | ({"Authorization": f"Bearer {o['token']}"} if o.get("token") else {})
-            try:
-                with urlopen(Request(url, headers=head), timeout=float(o.get("timeout", 30))) as r:  # noqa: S310
-                    page = json.load(r)
-            except (OSError, ValueError) as e:
-                raise IngestError(f"request for {url} failed: {e}") from e
-            for entry in page.get("entry") or []:
-                resource = entry.get("resource", entry)
-                yield resource.get("resourceType"), json.dumps(resource, ensure_ascii=False), base, n
-                n += 1
-            url = next((x.get("url") for x in page.get("link") or [] if x.get("relation") == "next"), None)
-            if url and not urlsplit(url).netloc:
-                url = f"{base}/{url.lstrip('/')}"
+def _of_server(rows: DataFrame) -> DataFrame:
+    return records(rows, F.col("resource_type"), F.col("data_json"), "FHIR_R4", F.col("uri"), F.col("n"))

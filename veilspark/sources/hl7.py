@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import empty, records
+from . import framed
 
 
 def messages(text: Column) -> Column:
@@ -68,7 +69,13 @@ def _condition(d: Column) -> Column:
 
 def message_records(df: DataFrame, text_col: str, uri_col: str | None = None, compat_null_dates: bool = False) -> DataFrame:
     """A patient for each message with PID, then an observation for each OBX and a condition for each DG1. compat_null_dates: leave all dates null."""
-    parsed = df.select((F.col(uri_col) if uri_col else F.lit("")).alias("uri"), F.posexplode(messages(F.col(text_col))).alias("n", "m")).select("uri", "n", segments(F.col("m")).alias("s"))
+    split = df.select((F.col(uri_col) if uri_col else F.lit("")).alias("uri"), F.posexplode(messages(F.col(text_col))).alias("n", "m"))
+    return _records(split, compat_null_dates)
+
+
+def _records(split: DataFrame, compat_null_dates: bool) -> DataFrame:
+    """uri, n and text m of messages -> records."""
+    parsed = split.select("uri", "n", segments(F.col("m")).alias("s"))
     s = F.col("s")
     row = lambda t, f: lambda x: F.struct(F.lit(t).alias("t"), f(x).alias("j"))
     every = F.concat(
@@ -81,11 +88,11 @@ def message_records(df: DataFrame, text_col: str, uri_col: str | None = None, co
 
 
 def read_hl7(spark: SparkSession, path: str, compat_null_dates: bool = False) -> DataFrame:
-    """Files by path or pattern; no match gives no records."""
+    """Files by path or pattern, each read by as many tasks as it has byte ranges (see framed); no match gives no records."""
     try:
-        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("uri"))
+        found = framed.messages(spark, path)
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return empty(spark)
         raise
-    return message_records(files, "value", "uri", compat_null_dates)
+    return _records(found.select("uri", "n", F.trim("text").alias("m")), compat_null_dates)
