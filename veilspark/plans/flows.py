@@ -14,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from .. import cli, schema
 from ..errors import KAnonymityError, ReidentificationRiskError
 from ..functions import phi, trees
-from ..functions.shared import folder
+from ..functions.shared import folder, settle
 from ..operators import audit, compliance, kanonymity, lineage, pipeline, synthesis, verify
 from ..operators.deidentify import Config, deidentify, ensure_salt
 from ..sources import documents as docs_source
@@ -22,6 +22,7 @@ from ..sources.fhir import FHIRSource
 from ..sources.tables import read_csv
 from ..streaming import events as streaming
 from .catalogue import _DCR, _LOG, _RE, SALT, _log, _notes, _offset, _ops, query, t
+from .standin import StandIn
 
 
 def _field(path: str) -> Column:
@@ -80,6 +81,20 @@ def files_bundles(spark, d):
     return FHIRSource(path).ingest(spark).select("resource_type", _field("$.id").alias("rid"))
 
 
+@query("SELECT 'Patient' AS resource_type, s_suppkey::VARCHAR AS rid, 's' || s_suppkey AS name FROM supplier UNION ALL SELECT 'Encounter', 'n' || n_nationkey, NULL FROM nation")
+def fhir_server(spark, d):
+    """A server's resources of all types, in parts by time of last update. A server holds its resources itself; the stand-in holds the rows of two small tables."""
+    at = lambda k: f"2024-01-{1 + k // 1440 % 28:02}T{k // 60 % 24:02}:{k % 60:02}:00.000Z"
+    patients = [{"resourceType": "Patient", "id": str(r[0]), "name": f"s{r[0]}", "meta": {"lastUpdated": at(r[0])}} for r in t(spark, d, "supplier").select("s_suppkey").toLocalIterator()]
+    visits = [{"resourceType": "Encounter", "id": f"n{r[0]}", "meta": {"lastUpdated": at(r[0])}} for r in t(spark, d, "nation").select("n_nationkey").toLocalIterator()]
+    server = StandIn({"Patient": patients, "Encounter": visits}, spark.conf.get("spark.driver.host", "127.0.0.1"))
+    try:
+        source = FHIRSource(server.url, page_size=50, options={"part_rows": str(max(10, len(patients) // 4))})
+        return settle(source.ingest(spark).select("resource_type", _field("$.id").alias("rid"), _field("$.name").alias("name")))
+    finally:
+        server.close()
+
+
 @query("SELECT c_custkey::VARCHAR AS pid, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'unknown' END AS sex FROM customer")
 def files_hl7(spark, d):
     """Several messages a file; the suffix tells the format."""
@@ -213,12 +228,9 @@ def span_order(spark, d):
     k = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("62704 a, u"), k, F.lit("@mail.example.com or 555-123-4567!"))
 
-    @pandas_udf("categories string, redacted string")
-    def scanned(s: pd.Series) -> pd.DataFrame:
-        rules = phi.Matcher()
-        return pd.DataFrame({"categories": [" ".join(m.category for m in rules.scan(x)) for x in s], "redacted": [rules.redact(x)[0] for x in s]})
-
-    return t(spark, d, "customer").select("c_custkey", scanned(text).alias("r")).select("c_custkey", "r.*")
+    found = t(spark, d, "customer").select("c_custkey", text.alias("text")).withColumn("found", phi.spans(F.col("text")))
+    categories = F.transform(phi.matches(F.col("found")), lambda m: m["category"])
+    return found.select("c_custkey", F.array_join(categories, " ").alias("categories"), phi.redacted(F.col("text"), F.col("found")).alias("redacted"))
 
 
 @query("SELECT c_custkey::VARCHAR AS pid, 'badge [BADGE] of a guest' AS note FROM customer")
