@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,23 +63,69 @@ def trace(nodes: DataFrame, node_id: str) -> list[str]:
     return [n for _, n in sorted(order, key=lambda x: -x[0])]
 
 
-def trace_all(nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """node_id, ancestor_id, distance (the least) of every node, itself included.
+@dataclass(frozen=True)
+class Labels:
+    """Reachability of a graph, by chains.
 
-    Paths double in length each round, so a chain of a thousand steps takes ten rounds.
+    places: node_id, chain, pos; a node reaches all of its chain before it. jumps: chain, pos, to_chain, to_pos, distance; a node at or after pos in chain reaches all of to_chain up to to_pos, directly or through further
+    chains. A graph of chains alone has no jumps, so labels grow with its nodes; merges add a jump for each chain that they lead to.
     """
-    one = nodes.select("node_id", F.explode("parent_ids").alias("ancestor_id"), F.lit(1).alias("distance"))
-    known = settle(one.groupBy("node_id", "ancestor_id").agg(F.min("distance").alias("distance")))
-    size = known.count()
+
+    places: DataFrame
+    jumps: DataFrame
+
+
+def labels(nodes: DataFrame, most_rounds: int = 30) -> Labels:
+    """A record's nodes follow each other in a chain; one that does not derive from the node before it begins another. Parents that are no nodes are chains of their own.
+
+    Jumps are closed by doubling: after k rounds they lead through up to 2 ** k chains. Of several ways between the same two places the shortest is kept.
+    """
+    w = Window.partitionBy("record_id").orderBy("seq", "node_id")
+    before = F.lag("node_id").over(w)
+    steps = nodes.select("node_id", "record_id", "seq", F.array_distinct(F.coalesce("parent_ids", F.array().cast("array<string>"))).alias("parent_ids"), before.alias("before"))
+    steps = steps.withColumn("begins", (~F.coalesce(F.array_contains("parent_ids", F.col("before")), F.lit(False))).cast("int")).withColumn("nth", F.sum("begins").over(w))
+    chain = F.concat_ws("\x1f", F.lit("r"), "record_id", "nth")
+    steps = settle(steps.select("node_id", "parent_ids", "begins", "before", chain.alias("chain"), F.row_number().over(Window.partitionBy("record_id", "nth").orderBy("seq", "node_id")).alias("pos")))
+    edges = steps.select("chain", "pos", F.explode(F.filter("parent_ids", lambda p: (F.col("begins") == 1) | (p != F.col("before")))).alias("parent"))
+    known = steps.select("node_id", "chain", "pos")
+    lost = edges.select(F.col("parent").alias("node_id")).distinct().join(known, "node_id", "left_anti")
+    places = settle(known.union(lost.select("node_id", F.concat_ws("\x1f", F.lit("p"), "node_id"), F.lit(1))))
+    ends = places.select(F.col("node_id").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+    key = ["chain", "pos", "to_chain", "to_pos"]
+    jumps = settle(edges.join(ends, "parent").select(*key, F.lit(1).alias("distance")).distinct())
+    size = None
     for _ in range(most_rounds):
-        on = known.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("__far"), F.col("distance").alias("__more"))
-        further = known.join(on, "ancestor_id").select("node_id", F.col("__far").alias("ancestor_id"), (F.col("distance") + F.col("__more")).alias("distance"))
-        known = settle(known.unionByName(further).groupBy("node_id", "ancestor_id").agg(F.min("distance").alias("distance")))
-        was, size = size, known.count()
-        if was == size:
+        now = tuple(jumps.agg(F.count("*"), F.sum("distance")).first())
+        if now == size or not now[0]:
             break
-    itself = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    return itself.unionByName(known.where("node_id <> ancestor_id"))
+        size = now
+        more = jumps.select(F.col("chain").alias("to_chain"), F.col("pos").alias("from"), F.col("to_chain").alias("far"), F.col("to_pos").alias("far_pos"), F.col("distance").alias("more"))
+        through = jumps.join(more, "to_chain").where("from <= to_pos")
+        through = through.select("chain", "pos", F.col("far").alias("to_chain"), F.col("far_pos").alias("to_pos"), (F.col("distance") + F.col("to_pos") - F.col("from") + F.col("more")).alias("distance"))
+        jumps = settle(jumps.unionByName(through).groupBy(*key).agg(F.min("distance").alias("distance")))
+    return Labels(places, jumps)
+
+
+def _reached(starts: DataFrame, of: Labels) -> DataFrame:
+    """node_id, ancestor_id and the least distance, for starts (node_id, chain, pos), themselves included."""
+    own = starts.select("node_id", F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"), F.lit(0).alias("distance"))
+    jumps = of.jumps.withColumnRenamed("pos", "from")
+    far = starts.join(jumps, "chain").where("from <= pos").select("node_id", "to_chain", "to_pos", (F.col("distance") + F.col("pos") - F.col("from")).alias("distance"))
+    ends = of.places.select(F.col("node_id").alias("ancestor_id"), F.col("chain").alias("to_chain"), F.col("pos").alias("at"))
+    all_ = own.union(far).join(ends, "to_chain").where("at <= to_pos").select("node_id", "ancestor_id", (F.col("distance") + F.col("to_pos") - F.col("at")).alias("distance"))
+    return all_.groupBy("node_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+
+
+def ancestors(of: Labels, node_id: str) -> DataFrame:
+    """ancestor_id and distance of one node's ancestors, itself included, from the labels alone: no walk, and no more of them than its own chain's and those that this jumps to."""
+    return _reached(of.places.where(F.col("node_id") == node_id), of).drop("node_id")
+
+
+def trace_all(nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """node_id, ancestor_id, distance (the least) of every node, itself included, read off the labels."""
+    of = labels(nodes, most_rounds)
+    starts = of.places.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    return _reached(starts, of)
 
 
 def record_index(nodes: DataFrame) -> DataFrame:
