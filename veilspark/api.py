@@ -7,7 +7,7 @@ from .operators.deidentify import Config as SafeHarborConfig, deidentify, ensure
 from .operators.kanonymity import Rule, check as check_k_anonymity, check_diversity, classes, enforce as enforce_k_anonymity, generalise, violations
 from .operators.lineage import history, linked, node, parents, to_dict as lineage_dict, trace, trace_all
 from .operators.pipeline import PipelineConfig, PipelineResult, ingest, run as run_pipeline
-from .operators.private_stats import Budget as PrivacyBudget, Count, Gaussian, Histogram, Laplace, Mean, Result as DPResult, private_stats
+from .operators.private_stats import Budget as PrivacyBudget, Count, Gaussian, Histogram, Laplace, Mean, Result as DPResult, private_stats, release
 from .operators.synthesis import Risk, Utility, evaluate as evaluate_utility, sample, synthesize, validate as validate_risk
 from .operators.verify import findings, verifier
 from .schema import RESOURCE_TYPES, conditions, encounters, merge, observations, of_type, patients, read_json, to_dicts, write_json

@@ -1,6 +1,7 @@
-"""Differentially private statistics: one aggregation for each query on the executors, noise once on the driver.
+"""Differentially private statistics: one aggregation for each query on the executors.
 
-Noise never enters a plan: a retried task or a second action would draw it anew, and an observer could average it away.
+private_stats draws noise once, on the driver. release gives answers as a table, for more groups than a driver holds: there noise is a keyed function of query and group, so that a retried task or a second action gives the
+same noise, which an observer could otherwise average away.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import logging
 import math
 import random
+import secrets
 import threading
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -174,6 +176,19 @@ def true_histogram(df: DataFrame, value: Column) -> DataFrame:
     return df.where(value.isNotNull() & (value != "")).groupBy(value.alias("key")).agg(F.count("*").alias("n"))
 
 
+def keyed_uniform(key: Column, *parts: Column) -> Column:
+    """A number in (0, 1) with 52 random bits, a function of the key and the parts alone; parts can't run into each other."""
+    text = F.concat_ws("|", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in (c.cast("string") for c in parts)])
+    bits = F.substring(F.sha2(F.concat(key, F.sha2(F.concat(key, text), 256)), 256), 1, 13)
+    return (F.conv(bits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
+
+def keyed_laplace(value: Column, scale: Column, key: Column, *parts: Column) -> Column:
+    """value with Laplace noise of that scale, by the inverse of its distribution."""
+    u = keyed_uniform(key, *parts) - 0.5
+    return value - scale * F.signum(u) * F.log1p(-2 * F.abs(u))
+
+
 def _text_only(data_json: Column, name: str) -> Column:
     """The field's value where it is a JSON string."""
     v = F.try_variant_get(F.try_parse_json(data_json), "$." + name, "variant") if name else F.lit(None)
@@ -215,3 +230,50 @@ def private_stats(records: DataFrame, epsilon: float, queries: Sequence[Count |
             release = lambda r: round(Laplace(each, (q.high - q.low) / max(1, r["n"] if per_group_sensitivity else n_records), rng).release(r["mean"]), 4)  # noqa: B023, E731
             out[name] = {r["key"]: release(r) for r in rows} if group else release(rows[0])
     return Result(out, epsilon, budget.epsilon_remaining if budget else None)
+
+
+def query_name(q: Count | Mean | Histogram) -> str:
+    group = getattr(q, "group_by", None)
+    return f"{type(q).__name__.lower()}:{q.field}" + (f"|group_by:{group}" if group else "")
+
+
+def _true_answers(records: DataFrame, q: Count | Mean | Histogram) -> DataFrame:
+    """key (null where there are no groups), the true value and its sensitivity. Hot groups are aggregated before they are shuffled."""
+    data, group = F.col("data_json"), getattr(q, "group_by", None)
+    by = group_key(path(data, group)) if group else None
+    alone = F.lit(None).cast("string")
+    if isinstance(q, Histogram):
+        return true_histogram(records, _text_only(data, q.field)).select("key", F.col("n").cast("double").alias("value"), F.lit(1.0).alias("sensitivity"))
+    if isinstance(q, Count):
+        rows = true_count(records, counts_record(F.col("resource_type"), data, q.field), by)
+        return rows.select((F.col("key") if group else alone).alias("key"), F.col("n").cast("double").alias("value"), F.lit(1.0).alias("sensitivity"))
+    view = records.select(number(path(data, q.field)).alias("v"), (by if group else alone).alias("key"))
+    mean = [F.coalesce(F.avg(clamped(F.col("v"), q.low, q.high)), F.lit(0.0)).alias("value"), (F.lit(float(q.high - q.low)) / F.greatest(F.count("v"), F.lit(1))).alias("sensitivity")]
+    return view.where(F.col("v").isNotNull()).groupBy("key").agg(*mean) if group else view.agg(*mean).select(alone.alias("key"), "value", "sensitivity")
+
+
+def release(records: DataFrame, epsilon: float, queries: Sequence[Count | Mean | Histogram], budget: Budget | None = None, secret: str | None = None) -> DataFrame:
+    """private_stats as a table: query, key (null for an answer without groups) and value, a row a group; nothing of it reaches the driver. Counts are whole and not negative, means have four decimals.
+
+    The noise of an answer is a function of the secret, the query and the group: equal on recomputation, and drawn anew only for another secret. Without one a secret of this release alone is made; it is joined as a row of a
+    local table, so that no plan shows it. A secret must not serve for two states of the data: the difference of two answers would be without noise. The same query named twice is one answer, charged twice.
+    """
+    if epsilon <= 0:
+        raise ValueError("epsilon must be positive")
+    if not queries:
+        raise ValueError("no queries")
+    if secret is not None and len(secret) < 16:
+        raise ValueError("a secret has 16 characters or more")
+    each = epsilon / len(queries)
+    if budget is not None:
+        for q in queries:
+            budget.spend(each, label=query_name(q))
+    keys = records.sparkSession.createDataFrame([(query_name(q), secret or k) for k in (secrets.token_hex(32),) for q in dict.fromkeys(queries)], "query string, secret string")
+    out = None
+    for q in dict.fromkeys(queries):
+        rows = _true_answers(records, q).withColumn("query", F.lit(query_name(q))).withColumn("whole", F.lit(not isinstance(q, Mean)))
+        out = rows if out is None else out.unionByName(rows)
+    # One short row a query.
+    noisy = keyed_laplace(F.col("value"), F.col("sensitivity") / each, F.col("secret"), F.col("query"), F.coalesce(F.concat(F.lit("="), "key"), F.lit("")))
+    value = out.join(F.broadcast(keys), "query").withColumn("noisy", noisy)
+    return value.select("query", "key", F.when(F.col("whole"), F.greatest(F.round("noisy"), F.lit(0.0))).otherwise(F.round("noisy", 4)).alias("value"))

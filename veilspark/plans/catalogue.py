@@ -200,6 +200,20 @@ def dp_noised(spark, d):
     return spark.createDataFrame([(k, float(v["x"] if isinstance(v, dict) else v)) for k, v in got.values.items()], "query string, answer double")
 
 
+_SECRET = "a fixed secret, for a test alone"
+
+
+@query(f"""WITH a AS (SELECT 'count:kind|group_by:user' AS query, user_id::VARCHAR AS key, count(*)::DOUBLE AS n FROM events GROUP BY user_id UNION ALL SELECT 'histogram:kind', event_type, count(*)::DOUBLE FROM events GROUP BY event_type),
+t AS (SELECT *, length(query) || ':' || query || '|' || (length(key) + 1) || ':=' || key AS text FROM a),
+u AS (SELECT *, (('0x' || left(sha256('{_SECRET}' || sha256('{_SECRET}' || text)), 13))::BIGINT + 0.5) / 4503599627370496.0 - 0.5 AS u FROM t)
+SELECT query, key, greatest(round(n - 2.0 * sign(u) * ln(1 - 2 * abs(u))), 0)::DOUBLE AS value FROM u""")
+def dp_release(spark, d):
+    """Noisy counts of all groups as a table; noise is a keyed function of query and group."""
+    j = F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("user")))
+    r = t(spark, d, "events").select(F.lit("Observation").alias("resource_type"), j.alias("data_json"))
+    return private_stats.release(r, 1.0, [private_stats.Count("kind", group_by="user"), private_stats.Histogram("kind")], private_stats.Budget(1.0), _SECRET)
+
+
 _SIGMA = 3.0 * math.sqrt(2 * math.log(1.25 / 1e-5)) / 0.5
 
 
