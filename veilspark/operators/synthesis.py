@@ -6,9 +6,11 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -67,8 +69,68 @@ def nearest_psd(matrix: np.ndarray) -> np.ndarray:
     return (vectors * np.maximum(values, 1e-8)) @ vectors.T
 
 
+@dataclass(frozen=True)
+class Marginals:
+    """Numeric columns' quantiles on a grid of probabilities, and the normal scores of the grid: each column's rank transform and its inverse."""
+
+    points: np.ndarray
+    scores: np.ndarray
+
+    def to_scores(self, x: np.ndarray) -> np.ndarray:
+        """Normal scores of values (rows by column); equal values have that of their middle rank. NaN stays."""
+        out = np.empty_like(x)
+        for j, points in enumerate(self.points):
+            value, first = np.unique(points, return_index=True)
+            last = len(points) - 1 - np.unique(points[::-1], return_index=True)[1]
+            out[:, j] = np.interp(x[:, j], value, (self.scores[first] + self.scores[last]) / 2)
+        out[np.isnan(x)] = np.nan
+        return out
+
+
+def _double(c: str):
+    """The column as a double; null for what is no finite number."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def marginals(df: DataFrame, numeric: list[str], grid: int = 400, accuracy: int = 20_000) -> Marginals:
+    """By mergeable quantile sketches, all columns in one pass: ranks are off by at most 1 / accuracy of the rows, values between two quantiles of the grid are taken for evenly spread. A column without a value is 0."""
+    steps = [k / grid for k in range(grid + 1)]
+    row = df.agg(F.count("*").alias("n"), *[F.percentile_approx(_double(c), steps, accuracy).alias(f"q{i}") for i, c in enumerate(numeric)]).first()
+    inner = [NormalDist().inv_cdf(p) for p in steps[1:-1]]
+    end = NormalDist().inv_cdf(min(0.5 / grid, 1 / (row["n"] + 1)))
+    points = [[0.0] * (grid + 1) if row[f"q{i}"] is None else row[f"q{i}"] for i in range(len(numeric))]
+    return Marginals(np.array(points, float), np.array([end, *inner, -end]))
+
+
+def score_correlations(df: DataFrame, numeric: list[str], of: Marginals) -> np.ndarray:
+    """Pearson's of normal scores, each pair over the rows that have both: a task hands over one short row of sums."""
+    n = len(numeric)
+    shared = df.sparkSession.sparkContext.broadcast(of)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, n, n))
+        for b in batches:
+            z = shared.value.to_scores(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]))
+            some = (~np.isnan(z)).astype(float)
+            z = np.nan_to_num(z)
+            total += np.stack([some.T @ some, z.T @ some, (z * z).T @ some, z.T @ z])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+    values = df.select(*[_double(c).alias(f"x{i}") for i, c in enumerate(numeric)])
+    summed = values.mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    if not summed:
+        return np.eye(n)
+    count, z, square, cross = np.array([r["v"] for r in summed]).reshape(4, n, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = square / count - (z / count) ** 2
+        out = np.nan_to_num((cross / count - (z / count) * (z.T / count)) / np.sqrt(var * var.T), nan=0.0, posinf=0.0, neginf=0.0)
+    np.fill_diagonal(out, 1.0)
+    return np.clip(out, -1, 1)
+
+
 def sample(df: DataFrame, n: int, seed: int = 0, preserve_correlations: bool = True, most_values: int = 10_000) -> DataFrame:
-    """n rows like df's: a multivariate normal over its numeric columns, independent draws of its other columns from their marginals.
+    """n rows like df's by a Gaussian copula over its numeric columns, whatever their distributions: correlated normal scores, each carried back by its column's quantiles. Other columns are drawn from their marginals.
 
     Draws are functions of the row's number and the seed, so a recomputed partition draws the same. Marginals with more than
     `most_values` values raise: they are identifiers, not categories.
@@ -83,11 +145,24 @@ def sample(df: DataFrame, n: int, seed: int = 0, preserve_correlations: bool = T
 
     cols = []
     if numeric:
-        mean, cov = moments(df, numeric)
-        factor = np.linalg.cholesky(nearest_psd(cov)) if preserve_correlations and len(numeric) > 1 else np.diag(np.sqrt(np.maximum(np.diag(cov), 0)))
+        of = marginals(df, numeric)
+        factor = np.eye(len(numeric))
+        if preserve_correlations and len(numeric) > 1:
+            near = nearest_psd(score_correlations(df, numeric, of))
+            scale = np.sqrt(np.diag(near))
+            factor = np.linalg.cholesky(near / np.outer(scale, scale))
+        shared = spark.sparkContext.broadcast(of)
+
+        def back(i: int):
+            @pandas_udf("double")
+            def value(z: pd.Series) -> pd.Series:
+                return pd.Series(np.interp(z, shared.value.scores, shared.value.points[i]))
+
+            return value
+
         normal = [F.sqrt(-2 * F.log(uniform(2 * i))) * F.cos(2 * math.pi * uniform(2 * i + 1)) for i in range(len(numeric))]
         out = out.withColumns({f"__z{i}": z for i, z in enumerate(normal)})
-        cols += [(F.lit(float(mean[i])) + sum((F.lit(float(factor[i, j])) * F.col(f"__z{j}") for j in range(i + 1)), F.lit(0.0))).alias(c) for i, c in enumerate(numeric)]
+        cols += [back(i)(sum((F.lit(float(factor[i, j])) * F.col(f"__z{j}") for j in range(i + 1)), F.lit(0.0))).alias(c) for i, c in enumerate(numeric)]
     for k, c in enumerate(other):
         shares = marginal(df, c).orderBy(F.desc("p"), "value").limit(most_values + 1).collect()
         if len(shares) > most_values:

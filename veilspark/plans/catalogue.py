@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, phi
+from ..functions.shared import settle
 from ..operators import audit, compliance, kanonymity, lineage, private_stats, synthesis
 from ..operators.deidentify import Config, deidentify
 from .. import schema
@@ -547,6 +548,17 @@ def synthetic_sample(spark, d):
     return synthesis.sample(t(spark, d, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment"), 1000, seed=7)
 
 
+@query("SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p, true AS near, true AS related")
+def copula_quantiles(spark, d):
+    """A skewed column keeps its quantiles: the share of real rows below each quantile of 4000 drawn ones is near p. Ranks stay as related as they are."""
+    real = t(spark, d, "lineitem").select(F.exp(F.col("l_extendedprice") / 15_000).alias("x"), F.log("l_quantity").alias("y"))
+    drawn = settle(synthesis.sample(real, 4000, seed=11))
+    ps = [0.05, 0.25, 0.5, 0.75, 0.95]
+    at = drawn.agg(F.percentile("x", F.array(*map(F.lit, ps))).alias("q"), F.corr(F.log("x"), F.exp("y")).alias("r")).first()
+    is_ = real.agg(*[F.avg((F.col("x") <= q).cast("int")).alias(f"s{i}") for i, q in enumerate(at["q"])], F.corr(F.log("x"), F.exp("y")).alias("r")).first()
+    return spark.createDataFrame([(p, abs(is_[f"s{i}"] - p) < 0.025, abs(is_["r"] - at["r"]) < 0.05) for i, p in enumerate(ps)], "p double, near boolean, related boolean")
+
+
 @query()
 def utility_report(spark, d):
     real = t(spark, d, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
