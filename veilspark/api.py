@@ -5,7 +5,8 @@ from .operators.audit import append as append_audit, entries as audit_entries, f
 from .operators.compliance import Report as ComplianceReport, identifiers, report as compliance_report, save_json, to_markdown
 from .operators.deidentify import Config as SafeHarborConfig, deidentify, ensure_salt
 from .operators.kanonymity import Rule, check as check_k_anonymity, check_diversity, classes, enforce as enforce_k_anonymity, generalise, violations
-from .operators.lineage import history, linked, node, parents, to_dict as lineage_dict, trace, trace_all
+from .operators.ledger import Ledger
+from .operators.lineage import ancestors, history, labels as lineage_labels, linked, node, parents, to_dict as lineage_dict, trace, trace_all
 from .operators.pipeline import PipelineConfig, PipelineResult, ingest, run as run_pipeline
 from .operators.private_stats import Budget as PrivacyBudget, Count, Gaussian, Histogram, Laplace, Mean, Result as DPResult, private_stats, release
 from .operators.synthesis import Risk, Utility, evaluate as evaluate_utility, sample, synthesize, validate as validate_risk

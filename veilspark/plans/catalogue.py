@@ -13,9 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import BudgetExhaustedError
 from ..functions import dates, names, phi
-from ..functions.shared import settle
-from ..operators import audit, compliance, kanonymity, lineage, private_stats, synthesis
+from ..functions.shared import folder, settle
+from ..operators import audit, compliance, kanonymity, ledger, lineage, private_stats, synthesis
 from ..operators.deidentify import Config, deidentify
 from .. import schema
 from ..schema import checksum, path
@@ -174,6 +175,20 @@ def budget_running(spark, d):
     return budget.to_df(spark).select("seq", "label", F.round("epsilon", 6).alias("epsilon"), F.round("epsilon_left", 6).alias("epsilon_left"))
 
 
+@query("""WITH a AS (SELECT n_nationkey AS k, 0.05 * (1 + n_nationkey % 5) AS e FROM nation), b AS (SELECT k, e, sum(e) OVER (ORDER BY k) AS upto FROM a)
+SELECT k::INTEGER AS seq, 'q' || k AS label, round(2 - upto, 6)::DOUBLE AS epsilon_left FROM b WHERE upto <= 2 + 1e-9""")
+def budget_ledger(spark, d):
+    """Two drivers take turns at a budget in the shared folder, until it refuses both."""
+    path = folder(spark)
+    both = [ledger.Ledger(spark, path, 2.0), ledger.Ledger(spark, path)]
+    for k, r in enumerate(t(spark, d, "nation").orderBy("n_nationkey").toLocalIterator()):
+        try:
+            both[k % 2].spend(0.05 * (1 + r["n_nationkey"] % 5), label=f"q{r['n_nationkey']}")
+        except BudgetExhaustedError:
+            break
+    return both[0].to_df(spark).select("seq", "label", F.round("epsilon_left", 6).alias("epsilon_left"))
+
+
 def _laplace_sql(n: str, scale: str, u: float) -> str:
     """The inverse distribution at a uniform draw from -0.5 to 0.5."""
     return f"({n} - {scale} * ({math.copysign(math.log(1 - 2 * abs(u)), u)!r})::DOUBLE)"
