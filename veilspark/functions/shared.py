@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,32 @@ def settle(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def text_file(path: str) -> Iterator[Callable[[str], None]]:
+    """A function that appends to a new file in whatever store Spark can write; it replaces an old one."""
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    held: list[str] = []
+
+    def flush() -> None:
+        out.write(bytearray("".join(held).encode()))
+        held.clear()
+
+    def write(text: str) -> None:
+        held.append(text)
+        if len(held) >= 1000:
+            flush()
+
+    try:
+        yield write
+        flush()
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    """A file of any store, whole."""
+    return SparkSession.active().read.text(path, wholetext=True).first()[0]

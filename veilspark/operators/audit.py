@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import UTC, datetime
-from pathlib import Path
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import text_file
+
 ENTRIES = "record_id string, seq int, action string, layer string, original_hash string, replacement string, category string, confidence double, at timestamp"
 
 
@@ -64,20 +66,28 @@ def summary_dict(audit: DataFrame) -> dict:
     return out
 
 
+# How an entry of each action reads, and any other; names in braces are the entry's columns.
+LINES = {
+    "PHI_REMOVED": '[PHI Removed] {category} "{original_hash}" -> "{replacement}" ({layer}, confidence: {confidence})',
+    "DATE_SHIFTED": "[Date Shifted] {replacement} ({layer})",
+    "PHI_VERIFIED_CLEAN": "[PHI Verified] LLM found no additional PII in free-text fields",
+    "PHI_DETECTED_LLM": "[PHI Detected] LLM found: {original_hash} ({category}, confidence: {confidence})",
+    "PHI_VERIFICATION_SKIPPED": "[PHI Verification Skipped] LLM verification was not run ({replacement})",
+    "PHI_VERIFICATION_ERROR": "[PHI Verification Error] LLM verification failed ({replacement})",
+}
+OTHER = "[{action}] {category}: {replacement} ({layer})"
+
+
 def render(audit: DataFrame) -> DataFrame:
     """record_id, seq, line: how an entry reads."""
-    c, two = F.col, F.format_string("%.2f", F.col("confidence"))
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    line = (
-        F.when(c("action") == "PHI_REMOVED", say("[PHI Removed] ", c("category"), ' "', c("original_hash"), '" -> "', c("replacement"), '" (', c("layer"), ", confidence: ", two, ")"))
-        .when(c("action") == "DATE_SHIFTED", say("[Date Shifted] ", c("replacement"), " (", c("layer"), ")"))
-        .when(c("action") == "PHI_VERIFIED_CLEAN", F.lit("[PHI Verified] LLM found no additional PII in free-text fields"))
-        .when(c("action") == "PHI_DETECTED_LLM", say("[PHI Detected] LLM found: ", c("original_hash"), " (", c("category"), ", confidence: ", two, ")"))
-        .when(c("action") == "PHI_VERIFICATION_SKIPPED", say("[PHI Verification Skipped] LLM verification was not run (", c("replacement"), ")"))
-        .when(c("action") == "PHI_VERIFICATION_ERROR", say("[PHI Verification Error] LLM verification failed (", c("replacement"), ")"))
-        .otherwise(say("[", c("action"), "] ", c("category"), ": ", c("replacement"), " (", c("layer"), ")"))
-    )
-    return audit.select("record_id", "seq", line.alias("line"))
+
+    def filled(line: str) -> Column:
+        parts = [(F.lit(text), name) for text, name, _, _ in Formatter().parse(line)]
+        value = lambda name: F.format_string("%.2f", F.col(name)) if name == "confidence" else F.col(name)
+        return F.concat(*[c for text, name in parts for c in ([text, value(name)] if name else [text])])
+
+    known = F.coalesce(*[F.when(F.col("action") == action, filled(line)) for action, line in LINES.items()])
+    return audit.select("record_id", "seq", F.when(F.col("action").isin(*LINES), known).otherwise(filled(OTHER)).alias("line"))
 
 
 def append(audit: DataFrame, path: str) -> None:
@@ -99,8 +109,8 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_json(audit: DataFrame, path: str, run_id: str | None = None) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(to_json(audit, run_id), encoding="utf-8")
+    with text_file(path) as write:
+        write(to_json(audit, run_id))
 
 
 def to_json(audit: DataFrame, run_id: str | None = None) -> str:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import text_file
 from .audit import summary_dict
 
 # The identifiers of 45 CFR 164.514(b)(2), the categories that cover them, and those that need a person.
@@ -82,8 +82,8 @@ def report(audit: DataFrame, record_count: int = 0, method: str = "safe_harbor",
 
 
 def save_json(r: Report, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(asdict(r), indent=2, ensure_ascii=False), encoding="utf-8")
+    with text_file(path) as write:
+        write(json.dumps(asdict(r), indent=2, ensure_ascii=False))
 
 
 def to_markdown(r: Report) -> str:
@@ -97,8 +97,3 @@ def to_markdown(r: Report) -> str:
     if r.notes:
         parts.append("## Notes\n\n" + "\n".join(f"- {n}" for n in r.notes) + "\n")
     return "\n".join(parts)
-
-
-def spark_identifiers(spark: SparkSession) -> DataFrame:
-    """The fixed dimension: category, idx, name."""
-    return spark.createDataFrame([(c, i, IDENTIFIERS[i - 1]) for c, i in CATEGORIES.items()], "category string, idx int, name string")

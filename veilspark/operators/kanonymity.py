@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import KAnonymityError
+from ..functions.shared import settle
 
 #: The share of rows from which a class is dealt out, and over how many partitions.
 HOT, SALTS = 0.002, 32
@@ -67,7 +68,7 @@ def check(df: DataFrame, quasi: list[str], k: int) -> bool:
 def enforce(df: DataFrame, quasi: list[str], k: int, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Generalise, then keep the rows of classes of k or more.
 
-    Class sizes are counted with map-side sums and joined back, with the rows of large classes dealt over SALTS partitions, so a huge class is not one task's.
+    Class sizes are counted once, with map-side sums, kept as a table and joined back, with the rows of large classes dealt over SALTS partitions, so a huge class is not one task's.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -76,13 +77,15 @@ def enforce(df: DataFrame, quasi: list[str], k: int, rules: dict[str, Rule] | No
     if not quasi:
         return df
     hashed = F.xxhash64(*[F.col(f"`{q}`") for q in quasi])
-    big = classes(df, quasi).where(F.col("class_size") >= k).withColumn("__h", hashed)
+    big = settle(classes(df, quasi).where(F.col("class_size") >= k).withColumn("__h", hashed))
     total = big.agg(F.sum("class_size")).first()[0] or 0
     hot = [r[0] for r in big.where(F.col("class_size") > max(1000, total * HOT)).select("__h").collect()]  # 1 / HOT of them at most
     is_hot = F.col("__h").isin(hot) if hot else F.lit(False)
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     big = big.select("__h", F.explode(F.when(is_hot, salts).otherwise(F.array(F.lit(0)))).alias("__s"), *[F.col(f"`{q}`").alias(f"__q{i}") for i, q in enumerate(quasi)])
-    rows = df.withColumn("__h", hashed).withColumn("__s", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    # Of the row and the partition it was read in, so that equal rows are dealt out too.
+    deal = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))], F.spark_partition_id())
+    rows = df.withColumn("__h", hashed).withColumn("__s", F.when(is_hot, F.pmod(deal, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     same = [rows[q].eqNullSafe(big[f"__q{i}"]) for i, q in enumerate(quasi)]
     return rows.join(big, [rows["__h"] == big["__h"], rows["__s"] == big["__s"], *same], "left_semi").drop("__h", "__s")
 

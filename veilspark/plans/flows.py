@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from .. import cli, schema
 from ..errors import KAnonymityError, ReidentificationRiskError
 from ..functions import phi, trees
-from ..functions.shared import folder, settle
+from ..functions.shared import folder, read_text, settle
 from ..operators import audit, compliance, kanonymity, lineage, pipeline, synthesis, verify
 from ..operators.deidentify import Config, deidentify, ensure_salt
 from ..sources import documents as docs_source
@@ -37,11 +36,6 @@ def _by_nation(df: DataFrame, suffix: str, text: Column) -> str:
     return path
 
 
-def _path(name: str) -> str:
-    """For files that the driver writes."""
-    return name.removeprefix("file://").removeprefix("file:")
-
-
 # Sources and sinks
 
 
@@ -145,7 +139,7 @@ def dataset_json_file(spark, d):
     """One JSON file of records, written and read again: the checksum of what is read is that of what was written."""
     r = pipeline.ingest(spark, _sources(d)).withColumn("ingested_at", F.lit("2024-01-02").cast("timestamp"))
     path = folder(spark, ".json")
-    cli.save(r, _path(path))
+    cli.save(r, path)
     back = cli.load(spark, path)
     now = schema.checksum(F.col("resource_type"), F.col("data_json"), F.col("source_format"), F.col("source_uri"))
     return back.groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if(F.col("checksum") == now).alias("same"))
@@ -162,7 +156,7 @@ def dataset_parquet_folder(spark, d):
 def audit_json_file(spark, d):
     """An exported audit log, read back."""
     path = folder(spark, ".json")
-    audit.save_json(_log(spark, d), _path(path))
+    audit.save_json(_log(spark, d), path)
     return audit.from_json(spark, path).select(F.col("seq").cast("bigint").alias("seq"), "original_hash", "category")
 
 
@@ -322,9 +316,9 @@ def audit_lines(spark, d):
 def compliance_report(spark, d):
     """A report: five categories cover five identifiers; three of the others need a person."""
     r = compliance.report(_log(spark, d), 7)
-    path = _path(folder(spark, ".json"))
+    path = folder(spark, ".json")
     compliance.save_json(r, path)
-    saved, text = json.loads(Path(path).read_text(encoding="utf-8")), compliance.to_markdown(r)
+    saved, text = json.loads(read_text(path)), compliance.to_markdown(r)
     row = (r.safe_harbor_compliant, r.audit_summary["total_entries"], r.phi_removed_count, sum(r.identifiers_addressed.values()), r.record_count, sum("MANUAL REVIEW" in n for n in r.notes) == 3, any("was not enabled" in n for n in r.notes))
     same = saved["phi_removed_count"] == r.phi_removed_count and f"**PHI items removed:** {r.phi_removed_count}" in text
     return spark.createDataFrame([(*row, same)], "compliant boolean, entries long, phi_removed long, addressed int, records long, asks_for_review boolean, says_not_enabled boolean, same_in_file boolean")

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.shared import text_file
+
 # FHIR R4 resource types that the model knows.
 RESOURCE_TYPES = ("Patient", "Observation", "Condition", "MedicationRequest", "Encounter", "DiagnosticReport", "Procedure", "AllergyIntolerance", "Immunization", "DocumentReference")
 
@@ -67,16 +69,14 @@ def encounters(df: DataFrame) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON file {"records": [...]} with each record's data as an object. Rows come to the driver a partition at a time; larger sets go to Parquet."""
     import json
-    from pathlib import Path
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"records": [')
+    with text_file(path) as write:
+        write('{"records": [')
         for i, r in enumerate(df.select(*COLUMNS).toLocalIterator()):
             row = r.asDict() | {"ingested_at": r["ingested_at"].isoformat() if r["ingested_at"] else None}
             data = row.pop("data_json") or "null"
-            f.write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False)[:-1] + f', "data": {data}}}')
-        f.write("\n]}\n")
+            write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False)[:-1] + f', "data": {data}}}')
+        write("\n]}\n")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -95,12 +95,6 @@ def to_dicts(df: DataFrame):
     return (json.loads(r.data_json) for r in df.select("data_json").toLocalIterator())
 
 
-def full_name(name: Column) -> Column:
-    """prefix, given and family of a struct, without the empty ones."""
-    parts = F.flatten(F.array(F.coalesce(name["prefix"], F.array().cast("array<string>")), F.coalesce(name["given"], F.array().cast("array<string>")), F.array(name["family"])))
-    return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), " ")
-
-
 def path(data_json: Column, dotted: str) -> Column:
     """The value at a dotted path of objects as text; null beyond a list, a missing key or an empty path."""
     return F.get_json_object(data_json, "$." + dotted) if dotted else F.lit(None).cast("string")
