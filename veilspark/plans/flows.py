@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import contextlib
+import io
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -255,6 +259,17 @@ def salt_of_a_run(spark, d):
     return spark.createDataFrame([(len(made.date_shift_salt) >= 32 and made != ensure_salt(Config()), given.date_shift_salt == "s", none.date_shift_salt == "")], "made boolean, kept boolean, none boolean")
 
 
+@query("SELECT 'p' || c_custkey AS pid, true AS within, true AS same_shift FROM customer")
+def salted_by_default(spark, d):
+    """Without a salt of its own a run gets one: all dates of a record move by one offset of at most a year, and the next run's offsets are others."""
+    runs = [deidentify(_dated(spark, d), ensure_salt(Config()))[0].select(F.col("id").alias("pid"), *[F.datediff(F.try_to_date(v, f), F.lit(was).cast("date")).alias(f"{c}{k}") for c, v, f, was in
+            (("a", _field("$.birthDate"), "MM/dd/yyyy", "1960-03-04"), ("b", F.substring(_field("$.text"), 3, 8), "yyyyMMdd", "2001-02-03"))]) for k in range(2)]
+    both = settle(runs[0].join(runs[1], "pid"))
+    if not both.where("a0 <> a1").limit(1).count() and both.limit(1).count():
+        raise AssertionError("two runs have one salt")
+    return both.select("pid", (F.greatest(F.abs("a0"), F.abs("a1")) <= 365).alias("within"), ((F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1"))).alias("same_shift"))
+
+
 @query("SELECT 'r' || c_custkey AS record_id, 'plain words' AS note, 'shifted_dates=0' AS said FROM customer")
 def clean_records_pass(spark, d):
     """Records without digits, cues or rules' words keep their text; the audit says that no date was moved."""
@@ -436,6 +451,49 @@ def synthesized_records(spark, d):
     return out.agg(F.count("*").alias("n"), F.count_distinct("source_format").alias("formats"), F.count_distinct("id").alias("ids"), near.alias("near_mean"), F.count_distinct(_field("$.segment")).alias("kinds"))
 
 
+def _accounts(spark, d) -> DataFrame:
+    j = F.to_json(F.struct(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_mktsegment").alias("segment")))
+    return schema.records(t(spark, d, "customer"), F.lit("Patient"), j, "CSV", F.lit("u"), F.col("c_custkey"))
+
+
+@query("SELECT 0 AS code, 200::BIGINT AS n, true AS inside, count(DISTINCT c_mktsegment) AS segments FROM customer")
+def cli_synthesize(spark, d):
+    """The command line's synthesize: as many records as asked for, numbers inside the real ones' range, all segments."""
+    real, out = folder(spark), folder(spark)
+    cli.save(_accounts(spark, d), real)
+    code = cli.main(["synthesize", real, "--out", out, "-n", "200", "--seed", "4", "--no-check"])
+    ends = t(spark, d, "customer").agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    inside = F.min(_field("$.balance").cast("double").between(*ends))
+    return cli.load(spark, out).agg(F.lit(code).alias("code"), F.count("*").alias("n"), inside.alias("inside"), F.count_distinct(_field("$.segment")).alias("segments"))
+
+
+@query(f"SELECT 0 AS code, count(*) AS total, count(*) FILTER (action = 'PHI_REMOVED') AS removed, count(DISTINCT category) AS categories FROM {_LOG}")
+def cli_audit(spark, d):
+    """The command line's audit of a saved log, in all three formats."""
+    path, said, codes = folder(spark), {}, []
+    audit.append(_log(spark, d), path)
+    for form in ("summary", "markdown"):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            codes.append(cli.main(["audit", path, "--format", form]))
+        said[form] = out.getvalue()
+    total, removed = (int(re.search(rf"{what}: (\d+)", said["summary"])[1]) for what in ("Total entries", "PHI removed"))
+    if f"**PHI items removed:** {removed}" not in said["markdown"]:
+        raise AssertionError("the formats do not agree")
+    categories = len(ast.literal_eval(re.search(r"By category: (.*)", said["summary"])[1]))
+    return spark.createDataFrame([(max(codes), total, removed, categories)], "code int, total long, removed long, categories long")
+
+
+@query("SELECT true AS refused, true AS tells_how_many, count(DISTINCT c_custkey) AS real_rows FROM customer")
+def synthesis_checked(spark, d):
+    """Synthesis with its check refuses rows that lie too close to real ones, as most do among two columns of numbers."""
+    real, said = _accounts(spark, d), ""
+    try:
+        synthesis.synthesize(real, 50, seed=3)
+    except ReidentificationRiskError as e:
+        said = str(e)
+    return real.agg(F.lit(bool(said)).alias("refused"), F.lit(bool(re.match(r"\d", said))).alias("tells_how_many"), F.count("*").alias("real_rows"))
+
+
 # Streams: the same stateless and windowed operators over tables
 
 
