@@ -7,6 +7,7 @@ import pytest
 from veilspark import cli, schema
 from veilspark.errors import FHIRValidationError, IngestError, UnsupportedFormatError, VeilError
 from veilspark.sources.documents import read_documents
+from veilspark.sources import tables
 from veilspark.sources.fhir import FHIRSource, read_bundles
 from veilspark.sources.hl7 import read_hl7
 from veilspark.sources.tables import read_csv
@@ -112,3 +113,18 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_errors():
     assert issubclass(UnsupportedFormatError, IngestError) and issubclass(IngestError, VeilError) and VeilError("x", detail="y").detail == "y"
+
+
+def test_equal_rows_of_a_table(spark, tmp_path):
+    """Equal rows are records each, with ids of their own that do not depend on how the file is split, also where one row fills most of the table."""
+    p = write(tmp_path / "c.csv", "patient_id,sex\n" + "1,f\n" * 500 + "".join(f"{k},m\n" for k in range(50)) + ",\n" * 300)
+    found = [sorted(r.id for r in read_csv(spark, p).collect())]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 400)
+    try:
+        found.append(sorted(r.id for r in read_csv(spark, p).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0])) == 550
+    df = spark.createDataFrame([("a", 1)] * 7 + [("b", 2)], "x string, __h long")
+    rows = tables._copies(df, df.groupBy("__h").count().where("count > 1").withColumnRenamed("count", "__c"), part=3).collect()
+    assert sorted(r["__n"] for r in rows) == list(range(7)) and {r.x for r in rows} == {"a"}

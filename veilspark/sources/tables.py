@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
+from ..functions.shared import settle
 from ..schema import records
 
 # Normalised headers and what they mean.
@@ -104,8 +105,15 @@ def read_csv(spark: SparkSession, path: str, mapping: str | dict[str, str] = "au
         if "PATH_NOT_FOUND" in str(e):
             raise IngestError(f"no table at {path}") from e
         raise
-    df = df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(0)))
-    equal = df.groupBy("__h").count().where("count > 1").select("__h")  # only equal rows are told apart, and each is as good as the other
-    again = F.row_number().over(Window.partitionBy("__h").orderBy("__h")) - 1
-    once = df.join(equal, "__h", "left_anti").withColumn("__n", F.lit(0))
-    return table_records(once.unionByName(df.join(equal, "__h", "left_semi").withColumn("__n", again)), mapping, F.lit(path), F.col("__n"))
+    # Parsed once; what follows reads the hash alone, or the rows as a table.
+    df = settle(df.withColumn("__h", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(0))))
+    equal = settle(df.groupBy("__h").agg(F.count("*").alias("__c")).where("__c > 1"))
+    once = df.join(equal, "__h", "left_anti").withColumn("__n", F.lit(0).cast("long"))
+    return table_records(once.unionByName(_copies(df, equal)), mapping, F.lit(path), F.col("__n"))
+
+
+def _copies(df: DataFrame, equal: DataFrame, part: int = 10_000) -> DataFrame:
+    """Rows that occur several times, each with its number __n among its equals: one of them is repeated as often, so that copies meet nowhere. Those of a row that fills much of the table are made by many tasks."""
+    one = df.join(equal, "__h", "left_semi").dropDuplicates(["__h"]).join(equal, "__h")
+    parts = one.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1, F.lit(part).cast("long")))).repartition("__h", "__from")
+    return parts.withColumn("__n", F.explode(F.sequence("__from", F.least(F.col("__from") + part, F.col("__c")) - 1))).drop("__c", "__from")
