@@ -102,10 +102,12 @@ def json_strings(json: Column) -> Column:
 
 
 def joined_json(json: Column, strings: Column, new: Column) -> Column:
-    """The JSON text with another value for each string for which the array `new` has one."""
+    """The JSON text with another value for each string for which the array `new` has one, and then without blanks between its parts; the same text if there is none."""
+    tight = lambda gap: F.regexp_replace(gap, r"\s+", "")
 
     def literal(s: Column, v: Column) -> Column:
         made = F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-        return F.concat(F.coalesce(F.nullif(made, F.lit("")), s["literal"]), s["gap"])
+        return F.concat(F.coalesce(F.nullif(made, F.lit("")), s["literal"]), tight(s["gap"]))
 
-    return F.concat(F.get(F.split(json, JSON_STRING, 2), 0), F.array_join(F.zip_with(strings, new, literal), ""))
+    changed = F.concat(tight(F.get(F.split(json, JSON_STRING, 2), 0)), F.array_join(F.zip_with(strings, new, literal), ""))
+    return F.when(F.exists(new, lambda v: v.isNotNull()), changed).otherwise(json)
