@@ -2,11 +2,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from veilspark.llm import near_copies
+from veilspark.llm import near_copies, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -106,3 +107,54 @@ def test_nulls_repeats_and_empty(spark, docs, empty):
     group = dict.fromkeys(r.component_id for r in got if r.doc_id in {x.doc_id for x in docs.where(F.trim(F.coalesce("text", F.lit(""))) == "").collect()})
     assert len(group) == 1
     assert near_copies.near_duplicates(empty).count() == 0
+
+
+def test_fingerprint_is_what_most_of_all_shingles_have():
+    for n in (1, 2, 7, 255, 256, 700):
+        found = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        votes = [0] * 320
+        for h in found.tolist():
+            for j in range(5):
+                x = h * int(simhash.FACTORS[j]) % (1 << 64)
+                x ^= x >> 32
+                for i in range(64):
+                    votes[64 * j + i] += x >> i & 1
+        want = sum((2 * v > n) << i for i, v in enumerate(votes)).to_bytes(40, "little")
+        assert near_copies.print_of(found, 5)[:40] == want
+        assert simhash.long_fingerprint(found, 2).tobytes() == want[:16]
+
+
+def test_distance_of_fingerprints_follows_similarity():
+    """Sets at 0.8 differ in 0.151 of the bits, and share blocks as often as the layout has it; others are beyond the radius."""
+    width, blocks = near_copies.layout(100_000, 0.8)
+    words = -(-(near_copies.CHECK + blocks * width) // 64)
+    rng, check, shared, far = np.random.default_rng(5), [], [], []
+    for _ in range(200):
+        h = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+        a, b, c = (np.unpackbits(simhash.long_fingerprint(x, words).view(np.uint8), bitorder="little") for x in (h[:450], h[50:], h[450:]))
+        check.append((a != b)[: near_copies.CHECK].sum())
+        far.append((a != c)[: near_copies.CHECK].sum())
+        shared.append((~(a != b)[near_copies.CHECK :][: blocks * width].reshape(blocks, width).any(axis=1)).sum())
+    assert max(check) <= near_copies.RADIUS < min(far) and abs(np.mean(check) / near_copies.CHECK - 0.151) < 0.01
+    assert abs(np.mean(shared) + np.log(near_copies.LOSS)) < 0.8
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_blocks_give_the_pairs_within_the_radius(rows):
+    rng = random.Random(rows)
+    members = sorted((rng.choice([1, 2, 3, 3, 3, 9]), i, rng.getrandbits(63), 0) for i in range(200))
+    members = [(k, i, c & 7 if i % 3 else c, d) for k, i, c, d in members]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*members[at : at + rows], strict=True)], list("kfcd")) for at in range(0, len(members), rows)]
+    got = [r for b in near_copies._members(iter(batches)) for r in b.to_pylist()]
+    size = Counter(k for k, *_ in members)
+    assert max(size.values()) > near_copies.SMALL > min(size.values())
+    want = {(i, j) for k, i, c, _ in members for m, j, d, _ in members if k == m and i < j and size[k] <= near_copies.SMALL and (c ^ d).bit_count() <= near_copies.RADIUS}
+    pairs = [(r["a"], r["b"]) for r in got if r["b"] is not None]
+    assert want and sorted(pairs) == sorted(want)
+    assert sorted((r["k"], r["a"], r["n"]) for r in got if r["b"] is None) == sorted((k, i, size[k]) for k, i, *_ in members if size[k] > near_copies.SMALL)
+
+
+def test_texts_of_eight_and_nine_words_are_linked(spark):
+    texts = {2 * i + j: " ".join(f"w{i}x{n}" for n in range(8 + j)) for i in range(400) for j in (0, 1)}
+    got = near_copies.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in texts}

@@ -1,12 +1,13 @@
-"""SimHash near-dedup at a similarity of word shingles: long fingerprints in blocks name candidates, the exact Jaccard similarity decides, components join.
+"""SimHash near-dedup at a similarity of word shingles: a fingerprint of all shingles, blocks of its bits, Hamming check, exact Jaccard similarity, components.
 
-Copies at a Jaccard similarity of 0.8 differ in some ten bits of a 64-bit SimHash of all shingles, so no blocks of such a fingerprint are both shared by close pairs and selective. The fingerprint
-here has BLOCKS blocks of 64 bits; each is the SimHash of SAMPLE of the text's shingles, those that come first in as many orders of the block's own. Close texts draw the
-same sample with probability s**SAMPLE, so a pair of similarity s shares a block with probability 1 - (1 - s**SAMPLE)**BLOCKS: 0.99993 at 0.8; dissimilar texts share none.
-A text's set holds the hashes of its shingles of `shingle` words (ASCII letters in lower case; the whole text where it has fewer words).
-Only pairs that reach `similarity` link; work is on distinct texts, so copies cost one row.
+Every bit of a fingerprint is what most of the text's distinct shingles have there (`simhash.long_fingerprint`); a shingle is `shingle` words (ASCII letters in lower case; the whole text where it has fewer words).
+Two sets of Jaccard similarity s have a cosine of 2 s / (1 + s) at least, so a bit differs with probability acos(2 s / (1 + s)) / pi at most: 0.151 at 0.8. That is some ten of 64 bits, too many for
+blocks that are sure to agree by the pigeonhole principle and still selective. So fingerprints are long: besides CHECK bits they have as many blocks of `width` bits as leave a pair at the similarity
+with probability LOSS without a common one. Blocks are narrow (about 2**ROOM texts to a block's value), since in a block the CHECK bits of all members are compared: only pairs
+within RADIUS of them go on, and link if the sets themselves reach `similarity`. Sets of four or five shingles are too small for these shares; they have their subsets of four as blocks too.
+Work is on distinct texts, so copies cost one row.
 
-Large groups are not paired off. A block's head is its most central member, the one whose blocks have most members in all. First each text is compared with one head, that with which it
+Large groups are not paired off. A block of over SMALL members has a head, its most central member, the one whose blocks have most members in all. First each text is compared with one head, that with which it
 shares most blocks; then with the heads of its other blocks, where these links have left the two in different components. Last, members of a block that are still in different components are
 compared, but for pairs that cannot be close. Two sets as close as s differ in at most (1 - s) / (1 + s) of their sizes' sum. So of two texts of which each has a larger share than that of its shingles to
 itself among the texts left, none is as close to the other; and where the parities of the numbers of shingles in PARITY classes of hashes differ more often than that, the sets do. Pairs
@@ -18,29 +19,33 @@ the component has none); extra columns are ignored by near_duplicates and pass k
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from .bpe_replay import give_back
 from .common import cut, discard, hot_values, salted_join
 from .components import components, named_components
+from .simhash import long_fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, SAMPLE, PARITY = 24, 5, 1024
+CHECK, RADIUS, LOSS = 128, 38, 5e-5
+ROOM, SMALL, PARITY = 3, 64, 1024
 
 
-def _numbers(name: str, n: int) -> np.ndarray:
-    return np.frombuffer(hashlib.shake_128(name.encode()).digest(8 * n), "<u8").copy()
-
-
-FLIPS, FACTORS = _numbers("flips", BLOCKS * SAMPLE), _numbers("factors", BLOCKS * SAMPLE) | np.uint64(1)
+def layout(texts: int, similarity: float) -> tuple[int, int]:
+    """Width and number of the blocks for so many texts."""
+    width = min(max(12, math.ceil(math.log2(max(texts, 2))) - ROOM), 40)
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return width, math.ceil(math.log(LOSS) / math.log1p(-(same**width)))
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -55,21 +60,16 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(r), 5) for r in rows), np.uint64))
 
 
-def block_keys(found: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """The blocks of a fingerprint: bit by bit what most of the block's sampled shingles have, after the order's own mixing."""
-    least = np.full(BLOCKS * SAMPLE, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), chunk):
-        x = FLIPS[:, None] ^ found[None, at : at + chunk]
-        x *= FACTORS[:, None]
-        np.minimum(least, x.min(axis=1), out=least)
-    least ^= least >> np.uint64(29)  # a least number has few high bits
-    least *= FACTORS[::-1]
-    bits = np.unpackbits(least.view(np.uint8).reshape(BLOCKS, SAMPLE, 8), axis=2)
-    return np.packbits(2 * bits.sum(axis=1, dtype=np.uint8) > SAMPLE, axis=1).view(np.int64).reshape(BLOCKS)
+def print_of(found: np.ndarray, words: int) -> bytes:
+    """The fingerprint; after it, for a set of four or five shingles, a number for each subset of four."""
+    import xxhash
+
+    more = [xxhash.xxh64_intdigest(np.array(c).tobytes(), 7) for c in itertools.combinations(found, 4)] if len(found) in (4, 5) else []
+    return np.r_[long_fingerprint(found, words), np.array(more, np.uint64)].tobytes()
 
 
-def _longs(of):
-    @pandas_udf(ArrayType(LongType()))
+def _column(of, kind):
+    @pandas_udf(kind)
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([of(t) for t in s], dtype=object)
@@ -78,6 +78,55 @@ def _longs(of):
     return column
 
 
+def _blocks(width: int, blocks: int, words: int):
+    """Arrow function over (fp, print): a row (k, fp, check bits) for each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power, number = 1 << np.arange(width), np.arange(blocks) << 40
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                fps, prints = np.asarray(batch.column(0)[at : at + 500]), batch.column(1)[at : at + 500].to_pylist()
+                x = np.frombuffer(b"".join(p[: 8 * words] for p in prints), np.uint8).reshape(len(prints), 8 * words)
+                bits = np.unpackbits(x[:, CHECK // 8 :], axis=1, count=blocks * width, bitorder="little")
+                keys = bits.reshape(len(prints), blocks, width) @ power + number
+                more = [np.frombuffer(p, np.int64, offset=8 * words) | np.iinfo(np.int64).min for p in prints]
+                of = np.r_[np.repeat(np.arange(len(prints)), blocks), np.repeat(np.arange(len(prints)), [len(m) for m in more])]
+                check = x[:, : CHECK // 8].copy().view(np.int64)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.r_[keys.reshape(-1), *more], fps[of], check[:, 0].copy(), check[:, 1].copy())], ["k", "fp", "c0", "c1"])
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, fp, check bits) sorted by k: pairs (a, b) within RADIUS of blocks of at most SMALL members; of larger ones (k, a, null, size) for each member."""
+
+    def closed(k: np.ndarray, fp: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.repeat(sizes := np.diff(np.r_[start, len(k)]), sizes)
+        large = size > SMALL
+        at = np.flatnonzero((size > 1) & ~large)
+        k1, fp1, c1 = k[at], fp[at], c[:, at]
+        pairs, step = [], 1
+        while len(i := np.flatnonzero(k1[step:] == k1[:-step])):
+            i = i[np.bitwise_count(c1[:, i] ^ c1[:, i + step]).sum(axis=0) <= RADIUS]
+            pairs.append(np.sort(np.array([fp1[i], fp1[i + step]]), axis=0))
+            step += 1
+        a, b = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+        none = pa.nulls(n := int(large.sum()), pa.int64())
+        rows = [[pa.nulls(len(a), pa.int64()), pa.array(k[large])], [pa.array(a), pa.array(fp[large])], [pa.array(b), none], [pa.nulls(len(a), pa.int64()), pa.array(size[large])]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in rows], ["k", "a", "b", "n"])
+
+    held = [np.empty(0, np.int64)] * 4
+    for batch in batches:
+        held = [np.r_[h, np.asarray(x)] for h, x in zip(held, batch.columns, strict=True)]
+        upto = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if upto:
+            yield closed(held[0][:upto], held[1][:upto], np.array([h[:upto] for h in held[2:]]).view(np.uint64))
+            held = [h[upto:] for h in held]
+    if len(held[0]):
+        yield closed(held[0], held[1], np.array(held[2:]).view(np.uint64))
+
+
 def parities(found: np.ndarray) -> np.ndarray:
     """Of each class of hashes whether an odd number is there. Where two sets' parities differ, so do the sets."""
     odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
@@ -85,10 +134,11 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least this Jaccard similarity."""
+    """The pairs (a, b) whose fingerprints are within RADIUS and whose sets have at least this Jaccard similarity."""
     hot = {c: hot_values(pairs.groupBy(c).count(), c, "count", least=200) for c in "ab"}
-    both = salted_join(pairs, sets.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b", hot["b"], F.col("a"), how="inner")
-    both = salted_join(both, sets.select(F.col("fp").alias("a"), "s"), "a", hot["a"], F.col("b"), how="inner")
+    both = salted_join(pairs, sets.select(F.col("fp").alias("b"), F.col("c").alias("d"), F.col("s").alias("t")), "b", hot["b"], F.col("a"), how="inner")
+    both = salted_join(both, sets.select(F.col("fp").alias("a"), "c", "s"), "a", hot["a"], F.col("b"), how="inner")
+    both = both.where(sum((F.bit_count(F.col("c")[j].bitwiseXOR(F.col("d")[j])) for j in range(CHECK // 64)), F.lit(0)) <= RADIUS)
     both = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("same"), (F.size("s") + F.size("t")).alias("sizes"))
     return both.where((F.col("sizes") == 0) | (F.try_divide(F.col("same"), F.col("sizes") - F.col("same")) >= similarity)).select("a", "b")
 
@@ -108,46 +158,54 @@ def _apart(pairs: DataFrame, placed: DataFrame, hot: list) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: id, fp), (distinct texts: fp, least id, n), (links' roots: a, root)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(k) for k, c in _row_keys(F.col(id_col), F.col(text_col)).items()])
-    prints = cut(rows.select("id", "fp", _longs(lambda t: block_keys(shingles(t, shingle)))("text").alias("keys")), "blocks")
-    reps = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys")), "blockreps")
-    keyed = reps.select(F.explode("keys").alias("k"), "fp")
-    sizes = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "blocksizes")
-    crowded = hot_values(sizes, "k", "n", least=200)
-    held = cut(salted_join(keyed, sizes, "k", crowded, F.col("fp"), how="inner"), "blockheld")
+    width, blocks = layout(docs.count(), similarity)
+    words = -(-(CHECK + blocks * width) // 64)
+    prints = rows.select("fp", "id", _column(lambda t: print_of(shingles(t, shingle), words), BinaryType())("text").alias("print"))
+    reps = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("print").alias("print")), "prints")
+    keyed = reps.select("fp", "print").mapInArrow(_blocks(width, blocks, words), "k long, fp long, c0 long, c1 long")
+    found = cut(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_members, "k long, a long, b long, n long"), "blocks")
+    close = found.where("b is not null").select("a", "b").distinct()
+    held = found.where("b is null").select("k", F.col("a").alias("fp"), "n")
+    crowded = hot_values(held.groupBy("k").agg(F.count("*").alias("n")), "k", "n", least=200)
     held = held.select("k", "fp").join(held.groupBy("fp").agg(F.sum("n").alias("c")), "fp")
     heads = held.groupBy("k").agg(F.max(F.struct("c", "fp")).getField("fp").alias("head"))
     shared = cut(salted_join(held.select("k", "fp"), heads, "k", crowded, F.col("fp"), how="inner"), "blockshared")
-    # One row of each text that shares a block; its set is made from the text itself.
+    # One row of each text that has a pair or a large block; its set is made from the text itself.
     chosen = reps.select("fp", F.coalesce(F.col("least").cast("string"), F.lit("")).alias("__kid"), F.col("least").isNull().alias("__nul"))
-    chosen = chosen.join(shared.select("fp").distinct(), "fp", "left_semi")
+    chosen = chosen.join(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
     texts = rows.select("text", "__kid", "__nul", "fp").join(chosen, ["__kid", "__nul", "fp"], "left_semi")
-    made = texts.select("fp", _longs(lambda t: np.r_[parities(x := shingles(t, shingle)), x.view(np.int64)])("text").alias("x")).dropDuplicates(["fp"])
-    sets = cut(made.select("fp", F.slice("x", 1, PARITY // 64).alias("p"), F.expr(f"slice(x, {PARITY // 64 + 1}, size(x))").alias("s")), "shingles")
+    check, at = CHECK // 64, (CHECK + PARITY) // 64
+    made = texts.select("fp", _column(lambda t: np.r_[long_fingerprint(x := shingles(t, shingle), check).view(np.int64), parities(x), x.view(np.int64)], ArrayType(LongType()))("text").alias("x")).dropDuplicates(["fp"])
+    sets = cut(made.select("fp", F.slice("x", 1, check).alias("c"), F.slice("x", check + 1, PARITY // 64).alias("p"), F.expr(f"slice(x, {at + 1}, size(x))").alias("s")), "shingles")
 
     pairs = cut(shared.where("fp <> head").groupBy(F.col("fp").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n")), "blockpairs")
     hot = hot_values(pairs.groupBy("b").count(), "b", "count", least=200)
     best = pairs.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
-    root = components(_near(best, sets, similarity))
+    root = components(_near(best.union(close), sets, similarity))
     placed = lambda: sets.select("fp").join(root.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     left = cut(_apart(pairs.join(best, ["a", "b"], "left_anti"), placed(), hot), "blockleft")
     root = components(root.select("a", F.col("root").alias("b")).union(_near(left, sets, similarity)))
     of_key = shared.join(placed(), "fp").select("k", "fp", "root")
-    mixed = of_key.groupBy("k").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("k")
+    mixed = of_key.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("k", "main")
     open_ = cut(salted_join(of_key, mixed, "k", crowded, F.col("fp"), how="inner"), "blockopen")
     own = sets.join(open_.select("fp").distinct(), "fp", "left_semi")
     alone = own.select("fp", F.explode("s").alias("h")).groupBy("h").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).where("n = 1").groupBy("fp").agg(F.count("*").alias("u"))
     open_ = open_.join(own.select("fp", "p", F.size("s").alias("n")).join(alone, "fp", "left").select("fp", "p", "n", F.coalesce("u", F.lit(0)).alias("u")), "fp")
     open_ = cut(open_, "blockopen")  # n shingles, u of them in no other text left, parities p
     share = (1 - similarity) / (1 + similarity)
-    x, y = (open_.select("k", *[F.col(c).alias(f"{c}_{i}") for c in ("fp", "root", "n", "u")], *[F.col("p")[j].alias(f"p{j}_{i}") for j in range(PARITY // 64)]) for i in "ab")
+    # A pair across has an end outside the block's commonest component, and one that shares enough.
+    x, y = (open_.select("k", "main", *[F.col(c).alias(f"{c}_{i}") for c in ("fp", "root", "n", "u")], *[F.col("p")[j].alias(f"p{j}_{i}") for j in range(PARITY // 64)]) for i in "ab")
     apart = sum((F.bit_count(F.col(f"p{j}_a").bitwiseXOR(F.col(f"p{j}_b"))) for j in range(PARITY // 64)), F.lit(0))
     most = share * (F.col("n_a") + F.col("n_b")) + 1e-6
-    across = x.where(F.col("u_a") <= share * F.col("n_a") + 1e-6).join(y, "k").where((F.col("root_a") != F.col("root_b")) & (F.col("u_a") + F.col("u_b") <= most) & (apart <= most))
+    x, y = x.where("root_a <> main").drop("main"), y.drop("main")
+    shares_a, shares_b = (F.col(f"u_{i}") <= share * F.col(f"n_{i}") + 1e-6 for i in "ab")
+    across = x.where(shares_a).join(y, "k").union(x.where(~shares_a).join(y.where(shares_b), "k"))
+    across = across.where((F.col("root_a") != F.col("root_b")) & (F.col("u_a") + F.col("u_b") <= most) & (apart <= most))
     across = across.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     root = components(root.select("a", F.col("root").alias("b")).union(_near(across, sets, similarity)))
-    for done in (sizes, shared, sets, pairs, left, open_):
+    for done in (found, shared, sets, pairs, left, open_):
         discard(done)
-    return prints.select("id", "fp"), reps.select("fp", "least", "n"), root
+    return rows.select("id", "fp"), reps.select("fp", "least", "n"), root
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

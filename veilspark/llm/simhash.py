@@ -12,6 +12,7 @@ a null id gets a fingerprint and its component's least id (null if the component
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -47,6 +48,27 @@ def fingerprint(text: str | None, shingle: int = 3, chunk: int = 1 << 16) -> int
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def _factors(n: int) -> np.ndarray:
+    return np.frombuffer(hashlib.shake_128(b"factors").digest(8 * n), "<u8") | np.uint64(1)
+
+
+FACTORS = _factors(1024)
+BYTES, SHIFTS = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)[:, None]
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 * words bits over the hashes (unsigned): of each hash every word is a mix of its own, and a bit is set if it is in over half. The first words are the same whatever their number."""
+    factors = FACTORS[:words] if words <= len(FACTORS) else _factors(words)
+    ones = np.zeros((words, 8, 8), np.int64)
+    for at in range(0, len(hashes), 255):  # a byte counts so far
+        x = hashes[at : at + 255, None] * factors
+        x ^= x >> np.uint64(32)
+        votes = x[:, None, :] >> SHIFTS
+        votes &= BYTES
+        ones += np.add.reduce(votes, axis=0).view(np.uint8).reshape(8, words, 8).transpose(1, 2, 0)
+    return np.packbits(2 * ones.reshape(-1) > len(hashes), bitorder="little").view(np.uint64)
+
+
 @pandas_udf(LongType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
