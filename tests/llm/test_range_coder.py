@@ -93,3 +93,23 @@ def test_other_definitions_are_encoded_whole():
     texts = ["Two  words", "", "a\nb", None]
     ids, sizes = other.encode(pa.array(texts))
     assert not other.apart and [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_workers_keep_the_library_from_task_to_task(docs, spark, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        definition = f.read()
+    one = range_coder.kept_library(definition)
+    texts = pa.array(["some words", "other words", "an <|endoftext|> end", None])
+    first = [x.tolist() for x in one.encode(texts)]
+    monkeypatch.setattr(one.pieces, "of_pieces", None)  # nothing is new the second time
+    again = range_coder.kept_library("".join(definition))
+    assert again is one and [x.tolist() for x in again.encode(texts)] == first
+
+    def uses(batches):
+        for b in batches:
+            info = range_coder.kept_library.cache_info()
+            yield pa.RecordBatch.from_arrays([pa.array([info.misses] * len(b), pa.int64()), pa.array([info.hits] * len(b), pa.int64())], ["made", "again"])
+
+    range_coder.write_ids(docs, PATH, part_chars=100)
+    got = spark.range(0, 64, 1, 64).mapInArrow(uses, "made long, again long").collect()
+    assert max(r.made for r in got) == 1 and max(r.again for r in got) > 0

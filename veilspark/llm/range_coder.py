@@ -24,6 +24,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -380,6 +381,12 @@ class Library:
         return np.concatenate([np.empty(0, np.int32), *got]), np.fromiter(map(len, got), np.int64, len(got))
 
 
+@lru_cache(maxsize=1)
+def kept_library(definition: str) -> Library:
+    """The library of a Python worker, with the pieces that it knows, from task to task."""
+    return Library(definition)
+
+
 GROUPS = "part int, first long, doc_ids array<long>, lengths array<long>, blocks array<binary>"
 
 
@@ -394,7 +401,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library, part, first = Library(shared.value), TaskContext.get().partitionId(), 0
+        library, part, first = kept_library(shared.value), TaskContext.get().partitionId(), 0
         ids: list = []
         held: list[np.ndarray] = []
         have = 0
