@@ -113,3 +113,36 @@ def test_workers_keep_the_library_from_task_to_task(docs, spark, monkeypatch):
     range_coder.write_ids(docs, PATH, part_chars=100)
     got = spark.range(0, 64, 1, 64).mapInArrow(uses, "made long, again long").collect()
     assert max(r.made for r in got) == 1 and max(r.again for r in got) > 0
+
+
+def test_signs_at_words_make_no_new_pieces(library):
+    t = Tokenizer.from_file(PATH)
+    asked = []
+    one = range_coder.Library(open(PATH, encoding="utf-8").read())
+    inner = one.pieces.of_pieces
+    one.pieces.of_pieces = lambda new: asked.extend(new) or inner(new)
+    words = ["plain", "Über", "weiß", "naïve", "x×y", "don't", "l'été", "a_b", "3.5", "x1"]
+    texts = [f" {w}{s} {s}{w}\n{w}{s}{w}" for w in words for s in ("", *"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'", "...", "…", "’s", "'s,", "''")]
+    ids, sizes = one.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert {" plain", "plain", "\n"} <= {*asked} and not {" plain,", " weiß.", "\nplain"} & {*asked}  # whole pieces before
+    rng = random.Random(5)
+    bits = ["a", "Ab", "é", "ÿ", "×", "÷", "ł", "漢", "1", "½", "'", "'s", "'ll", "’", ",", ".", "!?", "_", "…", "­", " ", " ", "  ", "\n", "\t", " ", "​", "🙂"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    ids, sizes = one.encode(pa.array(texts)[7:])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in texts[7:]]
+    assert [x.tolist() for x in one.encode(pa.array(["", None, ""]))] == [[], [0, 0, 0]]
+    assert [len(x) for x in one.encode(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_blocks_hold_their_distribution():
+    rng = np.random.default_rng(8)
+    ids = np.sort(rng.integers(0, 50257, 700))[np.minimum(rng.zipf(1.4, 4 * 2048) - 1, 699)]
+    blocks = range_coder.encode_blocks(ids)
+    for i, b in enumerate(blocks):
+        mine = ids[i * 2048 : (i + 1) * 2048]
+        p = b[range_coder.HEAD_SIZE :]
+        planes = np.frombuffer(zlib.decompress(p[4 : 4 + int.from_bytes(p[:4], "little")]), np.uint8).reshape(4, -1).astype(int)
+        names, counts = np.unique(mine, return_counts=True)
+        assert (np.cumsum(planes[0] + (planes[1] << 8)) == names).all() and (planes[2] + (planes[3] << 8) + 1 == counts).all()
+    assert (range_coder.decode_blocks(blocks[::-1]) == ids.reshape(-1, 2048)[::-1].reshape(-1)).all()

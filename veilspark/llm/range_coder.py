@@ -1,17 +1,17 @@
 """Token ids as files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-Within a block an id is known by its number: the how-manieth distinct id of the block it is. Three orders predict it. Orders 2 and 1 each expect
-one number, the last one seen after the same two ids or the same id, and count how often in a row they were right; order 0 is an adaptive distribution over all numbers
-of the block. The mix of the three drives a carry-less range coder with a 64-bit low end and 32-bit output words. It is coded in two steps: the first
-symbol tells whose prediction holds (order 2's, order 1's, none since the id is new, or order 0's, by its bucket), under shares that are adapted for each state of trust in the orders;
-the second is the place in order 0's bucket, adapted for each bucket, or a new id's 16 bits. Each block of BLOCK ids starts from a fresh model
-and carries a CRC-32, so any block is read, or found damaged, by itself.
+Within a block an id is known by its number: its place among the block's distinct ids. Three orders predict it. Orders 2 and 1 each expect one number, the last one
+seen after the same two ids or the same id, and count how often in a row they were right; order 0 is the distribution of all ids of the block. The mix of the three drives a
+carry-less range coder with a 64-bit low end and 32-bit output words. An id is coded in two steps: the first tells whose prediction holds (order 2's, order 1's or
+neither's), under shares that are adapted for each state of trust in the orders; the second is the number in order 0's distribution, if neither holds.
+Each block of BLOCK ids starts from a fresh model, has order 0's distribution (its distinct ids and their counts) before its words, and carries a CRC-32, so any block is
+read, or found damaged, by itself.
 
 One numpy step codes one id of every block of a group at once, so blocks are lanes and Python's cost is shared.
 
 File format: Parquet rows of (part, first, doc_ids, lengths, blocks); a row is a group of whole documents in id order, `first` its first id's position in
-the part, parts are in order of ids. A block is b"CMR2", its number of ids, its payload's CRC-32 (little-endian unsigned 32 bits each) and the payload,
-32-bit words.
+the part, parts are in order of ids. A block is b"CMR3", its number of ids, its payload's CRC-32 (little-endian unsigned 32 bits each) and the payload: the size of the
+distribution in bytes (32 bits), the distribution (deflated: low bytes of the distinct ids' differences, their high bytes, low and high bytes of the counts less one) and the 32-bit words.
 
 Defined results: null and empty texts are the end id alone; null ids come first; rows with equal ids follow each other by text;
 an empty table writes no row; extra columns are ignored; a damaged block raises ValueError when read; ids of 65536 or more raise ValueError when written.
@@ -33,131 +33,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .pieces import ODD, Pieces, slices
+from .pieces import ODD, Finer, slices
 
-BLOCK, GROUP, LANES = 2048, 4 << 20, 2048
-KEEP, TOGETHER = 400_000, 20_000
+BLOCK, GROUP, LANES = 2048, 6 << 20, 3072
+KEEP, TOGETHER = 1_000_000, 20_000
 HEAD, HEAD_SIZE = "<4sII", 12
-TOTAL, LEAST = 4096, 4
-FIRST, SECOND = 32, 16
-FIRST_RATE, SECOND_RATE = 5, 4
-NUMBERS, PAIRS = 2048, 1024
+NUMBERS, NUMBER_BITS, PAIRS = 2048, 11, 1024
+#: The mix: shares out of TOTAL, of LEAST at least for what is seen next to never; they move by a RATE-th power of two of the way.
+TOTAL, LEAST, RATE = 4096, 16, 5
+ORDER2, ORDER1, NEITHER = 0, 1, 2
 U = np.uint64
-BITS, LAST, WORD, LOWER = U(12), U(TOTAL - 1), U(32), U(0xFFFFFFFF)
-ONES, TOP = U(0x0101010101010101), U(56)
-#: First symbols: order 2 is right, order 1 is, the id is new; from SEEN on the buckets of order 0.
-ORDER2, ORDER1, NEW, SEEN = 0, 1, 2, 3
-#: Buckets of numbers: how many, and the power of two of their size.
-BUCKETS = ((16, 4), (7, 6), (4, 7), (2, 9))
-V64, V32 = np.dtype("V64"), np.dtype("V32")
+BITS, LAST, WORD, LOWER, NAME_BITS, NAME_LAST = U(12), U(TOTAL - 1), U(32), U(0xFFFFFFFF), U(NUMBER_BITS), U(NUMBERS - 1)
 
 
-def _buckets() -> tuple[np.ndarray, ...]:
-    """First number and spare bits (beyond 4) of each bucket; bucket, place and spare part of each number."""
-    size = np.repeat([p for _, p in BUCKETS], [n for n, _ in BUCKETS])
-    start = np.r_[0, np.cumsum(1 << size)]
-    number = np.arange(NUMBERS)
-    k = np.searchsorted(start, number, "right") - 1
-    inside, spare = number - start[k], size[k] - 4
-    return start[:-1], np.r_[0, 0, 4, size - 4], k, inside >> spare, inside & ((1 << spare) - 1)
+def _mix() -> np.ndarray:
+    """Shares that the mix begins with, by trust in order 2 (0 to 3) and order 1 (0, 1): where each symbol's begins, and their total."""
+    rows = [[0, two, two + (1 - two) * one, 1] for two in (0.01, 0.15, 0.4, 0.7) for one in (0.08, 0.3)]
+    return (np.array(rows) * TOTAL).astype(np.int16).view(np.int64).reshape(-1)
 
 
-START, SPARE, BUCKET, PLACE, REST = _buckets()
-#: The row of the second symbol's distributions by first symbol; the last row is for those that have none.
-ROW = np.r_[[FIRST - SEEN] * SEEN, np.arange(FIRST - SEEN)]
-
-
-def _aims(side: int) -> np.ndarray:
-    """Where a distribution's lower bounds move when a symbol was seen."""
-    j, s = np.arange(side), np.arange(side)[:, None]
-    return np.where(j <= s, j * LEAST, TOTAL - (side - j) * LEAST).astype(np.int16)
-
-
-AIM1, AIM2 = _aims(FIRST).view(V64).reshape(-1), _aims(SECOND).view(V32).reshape(-1)
-
-
-def _first_rows() -> np.ndarray:
-    """Shares that the mix begins with, by trust in order 2 (0 to 3) and order 1 (0, 1)."""
-    out = []
-    for two in (0.01, 0.15, 0.4, 0.7):
-        for one in (0.08, 0.3):
-            p = np.r_[two, (1 - two) * one, (1 - two) * (1 - one) * 0.2, 1 / np.arange(2.0, FIRST - 1)]
-            p[SEEN:] *= (1 - p[:SEEN].sum()) / p[SEEN:].sum()
-            out.append(np.r_[0, np.cumsum((p * (TOTAL - FIRST * 8)).astype(int) + 8)[:-1]])
-    return np.array(out).astype(np.int16)
+#: Where they move when a symbol was seen. A row of four is one item of 64 bits, which numpy moves faster.
+AIMS = np.array([[0, TOTAL - 2 * LEAST, TOTAL - LEAST, TOTAL], [0, LEAST, TOTAL - LEAST, TOTAL], [0, LEAST, 2 * LEAST, TOTAL]], np.int16).view(np.int64).reshape(-1)
 
 
 class Model:
-    """The models of n blocks, in step with each other. Rows of a distribution are moved as single items, which numpy does much faster."""
+    """The orders and mixes of n blocks, in step with each other."""
 
     def __init__(self, n: int) -> None:
         lane = np.arange(n)
         self.n = n
-        self.first = np.tile(_first_rows().view(V64).reshape(-1), n)
-        even = (np.arange(SECOND) * (TOTAL // SECOND)).astype(np.int16)
-        self.second = np.tile(even, (n * (FIRST - SEEN + 1), 1)).view(V32).reshape(-1)
+        self.mix = np.tile(_mix(), n)
         self.guesses = np.zeros(n * (NUMBERS + PAIRS), np.int16)  # a number, and from bit 12 on how often it was right
-        self.of_one, self.of_two, self.of_first, self.of_second = lane * NUMBERS, lane * PAIRS + n * NUMBERS, lane * 8, lane * (FIRST - SEEN + 1)
-        self.at, self.fresh = np.empty(2 * n, np.int64), np.empty((2, n), np.int16)
-        self.lane1, self.lane2 = lane * FIRST, lane * SECOND
+        self.of_one, self.of_two, self.of_mix, self.of_bound = lane * NUMBERS, lane * PAIRS + n * NUMBERS, lane * 8, lane * 4
+        self.at, self.x, self.was = np.empty(2 * n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
 
-    def guess(self, a: np.ndarray, b: np.ndarray) -> None:
-        """What is expected after the numbers b, a (a is the later)."""
-        n, at = self.n, self.at
+    def guess(self, a: np.ndarray) -> None:
+        """What is expected after the number a, and after it and the one before."""
+        n, at, x = self.n, self.at, self.x
         np.add(self.of_one, a, out=at[:n])
-        x = a * 0x9E3779B1
-        x += b * 0x85EBCA77
+        np.multiply(a, 0x9E3779B1, out=x)
+        x += self.was
         x >>= 15
         x &= PAIRS - 1
         np.add(self.of_two, x, out=at[n:])
-        self.e = e = self.guesses.take(at)
-        self.expected = (e & 4095).reshape(2, n)  # by order 1, by order 2
-        trust = e[n:] >> 12
+        np.multiply(a, 0x85EBCA77, out=self.was)
+        self.e = e = self.guesses.take(at).reshape(2, n)
+        self.expected = e & 4095  # by order 1, by order 2
+        trust = e[1] >> 12
         trust += trust
-        trust += e[:n] >> 13
-        self.at1 = self.of_first + trust
-        self.row1 = self.first.take(self.at1).view(np.int16).reshape(-1, FIRST)
-
-    def place(self, symbol: np.ndarray) -> None:
-        self.at2 = self.of_second + ROW.take(symbol)
-        self.row2 = self.second.take(self.at2).view(np.int16).reshape(-1, SECOND)
-
-    def learn(self, number: np.ndarray, symbol: np.ndarray, place: np.ndarray) -> None:
-        d = AIM1.take(symbol).view(np.int16).reshape(-1, FIRST)
-        d -= self.row1
-        d >>= FIRST_RATE
-        d += self.row1
-        self.first[self.at1] = d.view(V64).reshape(-1)
-        d = AIM2.take(place).view(np.int16).reshape(-1, SECOND)
-        d -= self.row2
-        d >>= SECOND_RATE
-        d += self.row2
-        self.second[self.at2] = d.view(V32).reshape(-1)
-        right = (self.expected == number).reshape(-1)
+        trust += e[0] >> 13
+        self.at_mix = self.of_mix + trust
+        self.row = self.mix.take(self.at_mix).view(np.int16).reshape(-1, 4)
+
+    def bounds(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bound and width of a symbol in the mix."""
+        flat, at = self.row.reshape(-1), self.of_bound + symbol
+        start = flat.take(at)
+        at += 1
+        return start.astype(U), (flat.take(at) - start).astype(U)
+
+    def learn(self, number: np.ndarray, symbol: np.ndarray) -> None:
+        d = AIMS.take(symbol).view(np.int16).reshape(-1, 4)
+        d -= self.row
+        d >>= RATE
+        d += self.row
+        self.mix[self.at_mix] = d.view(np.int64).reshape(-1)
         more = np.minimum(self.e + np.int16(4096), self.e | np.int16(12288))
-        self.fresh[:] = number | np.int16(4096)
-        self.guesses[self.at] = np.where(right, more, self.fresh.reshape(-1))
-
-
-def _bounds(rows: np.ndarray, lane: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bound and width of a value. Each row begins with 0, so the entry after a row's last one is its total, less TOTAL."""
-    flat, at = rows.reshape(-1), lane + value
-    start = flat.take(at).astype(U)
-    at += 1
-    width = flat.take(at, mode="wrap").astype(U)
-    width -= start
-    width &= LAST
-    return start, width
-
-
-def _symbol(flags: np.ndarray) -> np.ndarray:
-    """The number of true flags in each row, less one; eight flags are the bytes of a word."""
-    f = flags.view(U)
-    while f.shape[1] > 1:
-        f = f[:, : f.shape[1] // 2] + f[:, f.shape[1] // 2 :]
-    f = f[:, 0] * ONES
-    f >>= TOP
-    return f.view(np.int64) - 1
+        self.guesses[self.at] = np.where(self.expected == number, more, number | np.int16(4096)).reshape(-1)
 
 
 def _settle(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,21 +111,32 @@ def _settle(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return due, a
 
 
-def _numbers(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each id in its block, and whether it is new there."""
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each id in its block; all blocks' distinct ids, one block after another, their counts, and how many a block has."""
     n, length = ids.shape
-    order = ids.astype(np.uint16).argsort(axis=1, kind="stable")
-    ordered = np.take_along_axis(ids, order, 1)
+    keys = ids.astype(np.uint32) << np.uint32(NUMBER_BITS)
+    keys |= np.arange(length, dtype=np.uint32)
+    keys.sort(axis=1)
+    ordered = keys >> np.uint32(NUMBER_BITS)
     head = np.ones(ids.shape, bool)
-    head[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    at = (order + np.arange(0, n * length, length)[:, None]).reshape(-1)
+    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=head[:, 1:])
+    rank = np.cumsum(head, axis=1, dtype=np.int16)
+    rank -= np.int16(1)
+    keys &= np.uint32(NUMBERS - 1)
+    numbers = np.empty(n * length, np.int16)
+    numbers[(keys + np.arange(0, n * length, length, dtype=np.int64)[:, None]).reshape(-1)] = rank.reshape(-1)
     heads = head.reshape(-1).nonzero()[0]
-    new = np.zeros(n * length, bool)
-    new[at[heads]] = True
-    rank = np.cumsum(new.reshape(n, length), axis=1, dtype=np.int16).reshape(-1) - np.int16(1)
-    out = np.empty(n * length, np.int16)
-    out[at] = np.repeat(rank[at[heads]], np.diff(np.r_[heads, n * length]))
-    return out.reshape(n, length), new.reshape(n, length)
+    return numbers.reshape(n, length), ordered.reshape(-1).take(heads).astype(np.int64), np.diff(np.r_[heads, n * length]), rank[:, -1].astype(np.int64) + 1
+
+
+def _shares(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0 of blocks: by number its lower bound (from bit 12 on) and width, out of NUMBERS; where each block's begin."""
+    first = np.cumsum(sizes) - sizes
+    length = np.add.reduceat(counts, first)
+    width = counts * np.repeat(NUMBERS // length, sizes)
+    width[first + sizes - 1] += NUMBERS % length
+    start = (np.cumsum(width) - width) % NUMBERS  # every block has NUMBERS in all
+    return (start << 12 | width).astype(np.uint32), first
 
 
 def encode_lanes(ids: np.ndarray) -> list[bytes]:
@@ -193,111 +146,108 @@ def encode_lanes(ids: np.ndarray) -> list[bytes]:
     low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
     out = np.zeros((n, length + 8), np.uint32)  # one word an id at most
     flat, spot = out.reshape(-1), lane * out.shape[1]
-    a = b = np.zeros(n, np.int64)
-    numbers, new = (np.ascontiguousarray(x.T) for x in _numbers(ids))
-    symbols = np.where(new, NEW, BUCKET.take(numbers) + SEEN).astype(np.int8)
-    for x16, fresh, known, raw in zip(numbers, new, symbols, np.ascontiguousarray(ids.T), strict=True):
-        model.guess(a, b)
-        symbol, x = known.astype(np.int64), x16.astype(np.int64)
-        right1, right2 = (model.expected == x16) & ~fresh
-        symbol[right1] = ORDER1
-        symbol[right2] = ORDER2
-        start, width = _bounds(model.row1, model.lane1, symbol)
+    numbers, names, counts, sizes = _distinct(ids)
+    shares, first = _shares(counts, sizes)
+    shares = shares.take(numbers + first[:, None])
+    x = np.zeros(n, np.int64)
+    for number, share in zip(np.ascontiguousarray(numbers.T), np.ascontiguousarray(shares.T), strict=True):
+        model.guess(x)
+        x = number.astype(np.int64)
+        right = (model.expected == number).view(np.int8)
+        symbol = ((NEITHER - right[0]) * (1 - right[1])).astype(np.int64)
+        start, width = model.bounds(symbol)
         span >>= BITS
         start *= span
         low += start
         span *= width
-        place, rest, spare = PLACE.take(x), REST.take(x), SPARE.take(symbol)
-        model.place(symbol)
-        start, width = _bounds(model.row2, model.lane2, place)
-        odd = (symbol < SEEN).nonzero()[0]  # a new id is 16 even bits; where order 1 or 2 is right nothing more is said
-        is_new = symbol.take(odd) == NEW
-        r = raw.take(odd)
-        start[odd] = np.where(is_new, r >> 4, 0)
-        width[odd] = np.where(is_new, 1, TOTAL)
-        rest[odd] = np.where(is_new, r & 15, 0)
-        span >>= (spare + 12).view(U)
-        start <<= spare.view(U)
-        start += rest.view(U) * width
+        share = np.where(symbol == NEITHER, share, np.uint32(NUMBERS)).astype(U)
+        span >>= NAME_BITS
+        start = share >> BITS
         start *= span
         low += start
-        span *= width
-        model.learn(x16, symbol, place)
+        share &= LAST
+        span *= share
+        model.learn(number, symbol)
         due, was = _settle(low, span)
         s = spot.take(due)
         flat[s] = was >> WORD
         spot[due] = s + 1
-        a, b = x, a
     flat[spot] = low >> WORD
     flat[spot + 1] = low & LOWER
     used = spot - lane * out.shape[1] + 2
-    return [out[i, : used[i]].tobytes() for i in range(n)]
+    step = np.diff(names, prepend=0)
+    step[first] = names[first]
+    counts -= 1
+    planes = np.stack([step & 255, step >> 8, counts & 255, counts >> 8]).astype(np.uint8)
+    heads = [zlib.compress(planes[:, a : a + k].tobytes(), 1) for a, k in zip(first.tolist(), sizes.tolist(), strict=True)]
+    return [struct.pack("<I", len(h)) + h + out[i, : used[i]].tobytes() for i, h in enumerate(heads)]
 
 
 def decode_lanes(payloads: list[bytes], length: int) -> np.ndarray:
     n = len(payloads)
     model = Model(n)
-    most = max(map(len, payloads)) // 4 + 1
+    heads = [4 + struct.unpack_from("<I", p)[0] for p in payloads]
+    tables = [np.frombuffer(zlib.decompress(p[4:h]), np.uint8).reshape(4, -1) for p, h in zip(payloads, heads, strict=True)]
+    sizes = np.array([t.shape[1] for t in tables])
+    step, above, counts, more = np.concatenate(tables, axis=1).astype(np.int64)
+    step += above << 8
+    counts += (more << 8) + 1
+    shares, first = _shares(counts, sizes)
+    names = np.cumsum(step)
+    names = (names - np.repeat(names[first] - step[first], sizes)).astype(np.uint16)
+    slots = np.repeat((np.arange(len(step)) - np.repeat(first, sizes)).astype(np.int16), shares & 4095)
+    most = max(len(p) - h for p, h in zip(payloads, heads, strict=True)) // 4 + 1
     words = np.zeros((n, most), np.uint32)
-    for i, p in enumerate(payloads):
-        words[i, : len(p) // 4] = np.frombuffer(p, np.uint32)
+    for i, (p, h) in enumerate(zip(payloads, heads, strict=True)):
+        words[i, : (len(p) - h) // 4] = np.frombuffer(p, np.uint32, offset=h)
     flat, spot = words.reshape(-1), np.arange(n) * most
     low, span = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
     above = flat.take(spot).astype(U) << WORD | flat.take(spot + 1)  # the code less the low end
     spot += 2
-    out, names, seen = np.empty((length, n), np.uint16), np.zeros(n * NUMBERS, np.uint16), np.zeros(n, np.int64)
-    a = b = np.zeros(n, np.int64)
+    of_slot = np.arange(n) * NUMBERS
+    out = np.empty((length, n), np.int16)
+    x = np.zeros(n, np.int64)
     for t in range(length):
-        model.guess(a, b)
+        model.guess(x)
         span >>= BITS
         v = np.minimum(above // span, LAST).astype(np.int16)
-        symbol = _symbol(model.row1 <= v[:, None])
-        start, width = _bounds(model.row1, model.lane1, symbol)
+        symbol = (v >= model.row[:, 1]).astype(np.int64)
+        symbol += v >= model.row[:, 2]
+        start, width = model.bounds(symbol)
         start *= span
         low += start
         above -= start
         span *= width
-        spare = SPARE.take(symbol)
-        model.place(symbol)
-        span >>= (spare + 12).view(U)
-        v = np.minimum(above // span, (U(1) << (spare + 12).view(U)) - U(1))
-        place = _symbol(model.row2 <= (v >> spare.view(U)).astype(np.int16)[:, None])
-        start, width = _bounds(model.row2, model.lane2, place)
-        start <<= spare.view(U)
-        rest = (v - start) // width
-        x = START.take(symbol - SEEN, mode="clip")
-        x += place << spare
-        x += rest.view(np.int64)
-        odd = (symbol < SEEN).nonzero()[0]
-        kind, r, k = symbol.take(odd), v.take(odd), np.minimum(seen.take(odd), NUMBERS - 1)
-        is_new = kind == NEW
-        start[odd] = np.where(is_new, r, U(0))
-        width[odd] = np.where(is_new, 1, TOTAL)
-        rest[odd] = 0
-        x[odd] = np.where(is_new, k, model.expected[1 - np.minimum(kind, 1), odd])
-        np.minimum(x, NUMBERS - 1, out=x)
-        place[odd] = PLACE.take(x.take(odd))
-        fresh = odd[is_new]
-        names[model.of_one.take(fresh) + k[is_new]] = r[is_new]
-        seen[fresh] += 1
-        rest *= width
-        start += rest
+        span >>= NAME_BITS
+        v = np.minimum(above // span, NAME_LAST).view(np.int64)
+        v += of_slot
+        found = slots.take(v)
+        neither = symbol == NEITHER
+        number = np.where(neither, found, np.where(symbol == ORDER1, model.expected[0], model.expected[1]))
+        share = np.where(neither, shares.take(first + found), np.uint32(NUMBERS)).astype(U)
+        start = share >> BITS
         start *= span
         low += start
         above -= start
-        span *= width
-        model.learn(x.astype(np.int16), symbol, place)
+        share &= LAST
+        span *= share
+        model.learn(number, symbol)
         due, _ = _settle(low, span)
         s = spot.take(due)
         above[due] = above.take(due) << WORD | flat.take(s, mode="clip")
         spot[due] = s + 1
-        names.take(model.of_one + x, out=out[t])
-        a, b = x, a
-    return out.T
+        out[t] = number
+        x = number.astype(np.int64)
+    return names.take(out.T + first[:, None])
+
+
+def _lanes(n: int) -> int:
+    """So many of n blocks go together: LANES at most, and about as many each time."""
+    return max(1, -(-n // -(-n // LANES)))
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length. A new id is coded in 16 bits."""
+    """All ids of a group -> its blocks. The last one is filled up with zeros for coding; its head tells its length."""
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 16):
         raise ValueError("an id outside 0..65535")
     if not 0 < block <= NUMBERS:
@@ -309,9 +259,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     grid = np.zeros(n * length, np.int64)
     grid[: len(ids)] = ids
     grid, out = grid.reshape(n, length), []
-    for at in range(0, n, LANES):
-        for i, p in enumerate(encode_lanes(grid[at : at + LANES]), at):
-            out.append(struct.pack(HEAD, b"CMR2", min(length, len(ids) - i * length), zlib.crc32(p)) + p)
+    lanes = _lanes(n)
+    for at in range(0, n, lanes):
+        for i, p in enumerate(encode_lanes(grid[at : at + lanes]), at):
+            out.append(struct.pack(HEAD, b"CMR3", min(length, len(ids) - i * length), zlib.crc32(p)) + p)
     return out
 
 
@@ -320,58 +271,95 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     for b in blocks:
         mark, n, crc = struct.unpack_from(HEAD, b)
         p = b[HEAD_SIZE:]
-        if mark != b"CMR2" or zlib.crc32(p) != crc:
+        if mark != b"CMR3" or zlib.crc32(p) != crc:
             raise ValueError("damaged block")
         sizes.append(n)
         payloads.append(p)
     if not blocks:
         return np.empty(0, np.int64)
-    length = max(sizes)
+    length, lanes = max(sizes), _lanes(len(blocks))
     out = []
-    for at in range(0, len(blocks), LANES):
-        grid = decode_lanes(payloads[at : at + LANES], length)
-        out += [row[:n] for row, n in zip(grid, sizes[at : at + LANES], strict=True)]
+    for at in range(0, len(blocks), lanes):
+        grid = decode_lanes(payloads[at : at + lanes], length)
+        out += [row[:n] for row, n in zip(grid, sizes[at : at + lanes], strict=True)]
     return np.concatenate(out).astype(np.int64)
 
 
+#: Words of these are one match of the library's pattern, with the space before them.
+PLAIN = r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level definition."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 class Library:
-    """Ids by the tokenizers library in its default state. Of a byte-level BPE definition each distinct piece of the texts is encoded once; other definitions, and texts that hold added tokens, are encoded whole."""
+    """Ids by the tokenizers library in its default state. Of a byte-level BPE definition each distinct piece of the texts is encoded once, plain words by the library with the definition's
+    model and a cut at spaces in place of its pattern; other definitions, and texts that hold added tokens, are encoded whole."""
 
     def __init__(self, definition: str, keep: int = KEEP) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         of = json.loads(definition)
-        split = of.get("pre_tokenizer") or {}
+        split, letters = of.get("pre_tokenizer") or {}, _byte_letters()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
         feed = self.text("\n")
         self.apart = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not of.get("normalizer") and len(feed) == 1
+        self.apart = self.apart and of["model"]["type"] == "BPE" and vocabulary.keys() >= {*letters}
         self.feed = feed[0] if feed else -1
         added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
-        self.pieces = Pieces(self.of_pieces, self.text, added, keep)
+        if self.apart:
+            plain = of | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(plain))
+            self.letters = str.maketrans({chr(b): x for b, x in enumerate(letters)} | {"\n": " "})
+            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.pieces = Finer(self.of_pieces, self.text, added, keep)
 
     def text(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def of_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces are encoded in one text, parted by line feeds, which are a token of their own there."""
-        lead = [p[:1] == "\n" for p in new]
-        core = [p[1:] if x else " " + p for p, x in zip(new, lead, strict=True)]
-        odd = np.asarray(pc.match_substring_regex(pa.array([p[1:] if x else p or " " for p, x in zip(new, lead, strict=True)], pa.string()), ODD), bool)
-        plain = (~odd & np.fromiter(map(bool, core), bool, len(core))).nonzero()[0].tolist()
-        ids: list[np.ndarray] = [np.empty(0, np.int32)] * len(new)
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            all_ids = np.array(self.text("\n".join([core[i] for i in some])), np.int32)
-            feeds = (all_ids == self.feed).nonzero()[0]
-            if len(feeds) != len(some) - 1:
-                raise ValueError("the tokenizer does not part pieces at line feeds")
-            for i, a, b in zip(some, [0, *(feeds + 1).tolist()], [*feeds.tolist(), len(all_ids)], strict=True):
-                ids[i] = all_ids[a:b]
-        for i in odd.nonzero()[0].tolist():
-            ids[i] = np.array(self.text(core[i]), np.int32)
-        one = np.array([self.feed], np.int32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + np.array(lead, np.int64)
-        return np.concatenate([x for i, y in zip(lead, ids, strict=True) for x in ((one, y) if i else (y,))] or [np.empty(0, np.int32)]), sizes
+        every, sizes = pa.array(new, pa.string()), np.zeros(len(new), np.int64)
+        is_plain = np.asarray(pc.match_substring_regex(every, PLAIN), bool)
+        groups = []
+        for at, of in ((is_plain.nonzero()[0], self.of_plain), ((~is_plain).nonzero()[0], self.of_others)):
+            for a in range(0, len(at), TOGETHER):
+                ids, sizes[at[a : a + TOGETHER]] = of(every.take(pa.array(at[a : a + TOGETHER])))
+                groups.append((at[a : a + TOGETHER], ids))
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(sizes.sum(), np.int32)
+        for at, ids in groups:
+            size = sizes[at]
+            out[np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def of_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words go in one text of byte letters; which ids are whose is told by their bytes."""
+        text = "\n".join(words.to_numpy(zero_copy_only=False)).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        upto, ends = np.cumsum(self.width.take(ids)), np.cumsum(np.asarray(pc.binary_length(words), np.int64))
+        last = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+        if (upto[last] != ends).any() or upto[-1] != ends[-1]:
+            raise ValueError("the tokenizer's ids and the words' bytes disagree")
+        return ids, np.diff(np.r_[-1, last])
+
+    def of_others(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Line feeds are one id; pieces with other white space than their first character are encoded one by one, others in one text, parted by line feeds, which are a token of their own there."""
+        new = pieces.to_pylist()
+        odd = np.asarray(pc.match_substring_regex(pa.array([p[1:] if p[:1] == " " and len(p) > 1 else p for p in new], pa.string()), ODD), bool).tolist()
+        some = [p for p, x in zip(new, odd, strict=True) if not x]
+        together = np.array(self.text("\n".join(some)), np.int32)
+        feeds = (together == self.feed).nonzero()[0]
+        if len(feeds) != max(len(some) - 1, 0):
+            raise ValueError("the tokenizer does not part pieces at line feeds")
+        parts = iter(zip([0, *(feeds + 1).tolist()], [*feeds.tolist(), len(together)], strict=True))
+        ids = [np.array(self.text(p), np.int32) if x else together[slice(*next(parts))] for p, x in zip(new, odd, strict=True)]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of each."""
