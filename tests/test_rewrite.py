@@ -78,3 +78,32 @@ def test_json_text_stays_but_for_its_values(spark):
     new = F.transform(rewrite.json_strings(F.col("j")), lambda s: F.when(F.contains(s["value"], F.lit("12345")), F.replace(s["value"], F.lit("12345"), F.lit("[Z\n]"))))
     got = [r[0] for r in df.orderBy("k").select(rewrite.joined_json(F.col("j"), rewrite.json_strings(F.col("j")), new)).collect()]
     assert got == ['{"12345":"[Z\\n]","n":1.50,"e":"\\u00e9\\n","e":"a\\"b [Z\\n]"}', plain]
+
+
+def test_audit_alone_needs_no_filter_over_the_layers(spark):
+    """Entries are exploded without a filter that holds all layers in one expression; and who reads the entries alone does not make the JSON."""
+    df = records(spark)
+    clean, log = engine.deidentify(df, engine.Config(date_shift_salt="a salt"))
+    plan = log.groupBy("layer", "category", "action").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x.split("(")[0] and "RLIKE" in x]
+    assert "to_json" not in plan and "StructsToJson" not in plan
+    assert {r.record_id for r in log.collect()} == {r.id for r in df.where("data_json is not null").collect()}
+    assert log.where("seq is null or action is null").count() == 0
+
+
+def test_small_sources_are_dealt_out(spark, tmp_path):
+    """A file of few bytes is no single task, however many rows it has; of a larger source nothing is moved. Records and entries are the same."""
+    path = str(tmp_path / "t")
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.lit("Patient").alias("resource_type"), F.lit('{"id":"p","note":"mail a@b.org"}').alias("data_json"), F.lit("CSV").alias("source_format"), F.lit("u").alias("source_uri"), F.lit("").alias("checksum"))
+    rows.coalesce(1).write.parquet(path)
+    before, seen = spark.conf.get("spark.sql.files.openCostInBytes"), []
+    try:
+        for cost in (before, "1"):
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            clean, log = engine.deidentify(spark.read.parquet(path), engine.Config(date_shift_salt="a salt"))
+            moved = "RoundRobinPartitioning" in clean._jdf.queryExecution().executedPlan().toString()
+            assert moved is (cost == before) and (clean.select(F.spark_partition_id()).distinct().count() > 1) is moved
+            seen.append((sorted(map(str, clean.collect())), sorted(str(r.asDict() | {"at": 0}) for r in log.collect())))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 3000 and len(seen[0][1]) == 6000

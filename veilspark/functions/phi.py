@@ -74,8 +74,8 @@ def scan(text: Column) -> Column:
 
 def redacted(text: Column, found: Column | None = None) -> Column:
     """The text without the matches (or those of `found`), as Matcher.redact gives it, without Python."""
-    every = spans(text) if found is None else found
-    return rewrite.replaced(text, rewrite.merged(every), [to for _, to, _ in RULES])
+    change = lambda every: rewrite.replaced(text, rewrite.merged(every), [to for _, to, _ in RULES])
+    return rewrite.let(spans(text), change) if found is None else F.when(F.size(found) == 0, text).otherwise(change(found))
 
 
 @dataclass(frozen=True)

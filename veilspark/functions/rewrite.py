@@ -38,7 +38,11 @@ def none() -> Column:
 def spans(text: Column, pattern: str, rule: int, group: int = 0, ahead: bool = False) -> Column:
     """Every match of the pattern, or of a group that ends where the match ends (ahead: that begins there, in a lookahead). A text without any costs one test."""
     p = F.lit(pattern)
-    found = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    whole = F.regexp_extract_all(text, p, F.lit(0))
+    if group:
+        found = F.zip_with(whole, F.regexp_extract_all(text, p, F.lit(group)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    else:
+        found = F.transform(whole, lambda m: F.struct(m.alias("m"), m.alias("g")))
     # One gap more than there are matches: after the last nothing is added.
     turns = F.zip_with(F.split(text, pattern, -1), found, lambda gap, f: F.struct(gap.alias("gap"), f.alias("f")))
 
@@ -75,7 +79,7 @@ def replaced(text: Column, stretches: Column, by: list[str]) -> Column:
         parts = F.transform(c, lambda x, i: F.concat(F.substr(text, upto(i) + 1, x["start"] - upto(i)), F.get(words, x["rule"])))
         return F.concat(F.array_join(parts, ""), F.substr(text, upto(F.size(c)) + 1, F.length(text)))
 
-    return F.when(F.size(stretches) == 0, text).otherwise(let(stretches, built))
+    return let(stretches, lambda c: F.when(F.size(c) == 0, text).otherwise(built(c)))
 
 
 def each_match(text: Column, n: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
@@ -98,7 +102,8 @@ def json_strings(json: Column) -> Column:
         value = F.when(F.contains(literal, F.lit("\\")), escaped).otherwise(F.substr(literal, F.lit(2), F.length(literal) - 2))
         return F.struct(literal.alias("literal"), gap.alias("gap"), F.when(~F.rlike(gap, F.lit(r"^\s*:")), value).alias("value"))
 
-    return F.zip_with(F.slice(gaps, 2, F.size(gaps)), F.regexp_extract_all(json, F.lit(JSON_STRING), F.lit(0)), one)
+    # All but the first; a text has no more strings than that.
+    return F.zip_with(F.slice(gaps, 2, 1 << 30), F.regexp_extract_all(json, F.lit(JSON_STRING), F.lit(0)), one)
 
 
 def joined_json(json: Column, strings: Column, new: Column) -> Column:

@@ -29,6 +29,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores if its sources have so few bytes that Spark reads them in fewer tasks than there are cores; a few bytes of a compressed file can be a million rows. Larger tables stay where they lie."""
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    leaves, cores = df._jdf.queryExecution().optimizedPlan().collectLeaves(), spark.sparkContext.defaultParallelism
+    size = sum(leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size()))
+    return df.repartition(2 * cores) if size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else df
+
+
 @contextmanager
 def text_file(path: str) -> Iterator[Callable[[str], None]]:
     """A function that appends to a new file in whatever store Spark can write; it replaces an old one."""

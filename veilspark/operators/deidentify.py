@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from ..functions import dates, names, phi, rewrite
 from ..functions.names import Names
 from ..functions.phi import Matcher, any_phi
-from ..functions.shared import settle
+from ..functions.shared import dealt, settle
 from ..functions.trees import map_strings, strings
 from ..schema import checksum, patient_id
 from . import audit
@@ -106,7 +106,7 @@ def _processor(config: Config):
 
 
 def _native(df: DataFrame, config: Config) -> DataFrame:
-    """df (__text, a record's JSON or null, __who and __days) with __r, (data_json, entries), by expressions alone. Of the text only strings with a match change.
+    """df (__text, a record's JSON or null, __who and __days) with __json and __entries by expressions alone. Of the text only strings with a match change.
 
     The layers are projections over arrays of the record's strings, one after another; strings that a cheap test clears are null in them.
     """
@@ -136,9 +136,8 @@ def _native(df: DataFrame, config: Config) -> DataFrame:
         logs.append(F.array(_date_entry(config, c("__who"), c("__days"), moved)).cast(array))
         df = df.withColumn("__2", F.transform("__d", lambda d: d["text"]))
     new = F.zip_with("__s", "__2", lambda s, t: F.when(t != s["value"], t))
-    made = F.struct(rewrite.joined_json(c("__text"), c("__s"), new).alias("data_json"), F.concat(*logs).alias("entries"))
-    empty = F.struct(F.lit(None).cast("string").alias("data_json"), F.array().cast(array).alias("entries"))
-    return df.withColumn("__r", F.when(c("__text").isNull(), empty).otherwise(made)).drop("__s", "__0", "__names", "__1", "__rules", "__2", "__d")
+    df = df.withColumn("__json", rewrite.joined_json(c("__text"), c("__s"), new)).withColumn("__entries", F.when(c("__text").isNull(), F.array().cast(array)).otherwise(F.concat(*logs)))
+    return df.drop("__s", "__0", "__names", "__1", "__rules", "__2", "__d")
 
 
 def _date_entry(config: Config, who: Column, days: Column, moved: Column) -> Column:
@@ -152,24 +151,30 @@ def deidentify(records: DataFrame, config: Config, once: bool = False) -> tuple[
     once: write both, with hashed originals, to the shared folder and read them from there, so that records pass the layers a single time where both are used.
     Everything is an expression (see _native) but where a plug-in has a say: extra patterns, which are Python's, a verifier, or compat_splice; those records go through Python in Arrow batches.
     Records that a cheap native test finds free of digits, cues and rules' words do not pass them at all; they keep their text. The clean record's checksum is that of its new content.
+    The layers cost far more than reading does, so a source of a few bytes is dealt out to all cores before them (see dealt).
     """
     if config.date_shift:
         dates.check(config.date_shift_salt, config.date_shift_range)
     who = patient_id(F.col("data_json"), config.prefer_subject)
     days = dates.offset(F.col("__who"), config.date_shift_salt, config.date_shift_range) if config.date_shift else F.lit(None).cast("int")
     needs = F.lit(True) if config.llm_verification or config.extra_patterns else any_phi(F.col("data_json")) | F.contains("data_json", F.lit("\\"))
-    done = records.withColumn("__who", who).withColumn("__days", days).withColumn("__needs", F.coalesce(needs, F.lit(False)))
+    done = dealt(records).withColumn("__who", who).withColumn("__days", days).withColumn("__needs", F.coalesce(needs, F.lit(False)))
     plug_in = config.llm_verification or config.extra_patterns or config.compat_splice
     done = done.withColumn("__text", F.when(F.col("__needs"), F.col("data_json")))
-    done = (done.withColumn("__r", _processor(config)("__text", "__who", "__days")) if plug_in else _native(done, config)).drop("__text")
-    plain = F.array(_date_entry(config, F.col("__who"), F.col("__days"), F.lit(0))) if config.date_shift else F.array().cast(_RESULT["entries"].dataType)
-    plain = F.when(F.col("data_json").isNull(), F.array().cast(_RESULT["entries"].dataType)).otherwise(plain)
-    left = F.struct(F.col("data_json").alias("data_json"), plain.cast(_RESULT["entries"].dataType).alias("entries"))
-    done = done.withColumn("__r", F.when(F.col("__needs"), F.col("__r")).otherwise(left))
+    if plug_in:
+        done = done.withColumn("__r", _processor(config)("__text", "__who", "__days")).withColumn("__json", F.col("__r.data_json")).withColumn("__entries", F.col("__r.entries")).drop("__r")
+    else:
+        done = _native(done, config)
+    # Text and entries are columns apart, so that who reads one of them does not pay for the other.
+    none = F.array().cast(_RESULT["entries"].dataType)
+    plain = F.array(_date_entry(config, F.col("__who"), F.col("__days"), F.lit(0))).cast(_RESULT["entries"].dataType) if config.date_shift else none
+    done = done.withColumn("__json", F.when(F.col("__needs"), F.col("__json")).otherwise(F.col("data_json")))
+    done = done.withColumn("__entries", F.when(F.col("__needs"), F.col("__entries")).when(F.col("data_json").isNull(), none).otherwise(plain)).drop("__text")
     if once:
-        e = F.transform("__r.entries", lambda x: x.withField("original", audit.digest(x["original"], config.audit_key)))
-        done = settle(done.withColumn("__r", F.struct(F.col("__r.data_json").alias("data_json"), e.alias("entries"))).drop("__days", "__needs", "data_json"))
-    clean = done.withColumn("data_json", F.col("__r.data_json")).select(*records.columns)
+        e = F.transform("__entries", lambda x: x.withField("original", audit.digest(x["original"], config.audit_key)))
+        done = settle(done.withColumn("__entries", e).drop("__days", "__needs", "data_json"))
+    clean = done.withColumn("data_json", F.col("__json")).select(*records.columns)
     clean = clean.withColumn("checksum", checksum(F.col("resource_type"), F.col("data_json"), F.col("source_format"), F.col("source_uri")))
-    rows = done.select(F.col("id").alias("record_id"), F.posexplode("__r.entries").alias("seq", "e")).select("record_id", "seq", "e.*")
+    # Outer: else the optimizer infers a filter on the entries' number and pushes it below the layers, where it holds all of them in one expression, with each use of a layer worked out anew.
+    rows = done.select(F.col("id").alias("record_id"), F.posexplode_outer("__entries").alias("seq", "e")).where("seq is not null").select("record_id", "seq", "e.*")
     return clean, audit.entries(rows.withColumnRenamed("original", "original_hash") if once else rows, config.audit_key)
