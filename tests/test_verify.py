@@ -107,3 +107,30 @@ def test_low_budget_warns(caplog):
         assert not caplog.records
         budget.spend(0.4)
     assert "low" in caplog.text
+
+
+def test_audit_json_of_any_size(spark, tmp_path, monkeypatch):
+    """A log is written and read without its rows on the driver, by several tasks, and with nothing left beside it."""
+    from pyspark.sql import DataFrame
+
+    n, path = 5000, str(tmp_path / "a.json")
+    text = F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit('"} ], {ä\n\\ '), F.col("id").cast("string")))
+    log = audit.entries(spark.range(n).repartition(3).select(F.col("id").cast("string").alias("record_id"), F.lit("PHI_REMOVED").alias("action"), F.lit("NER").alias("layer"), F.lit("x").alias("original"), text.alias("replacement"), F.lit("NAME").alias("category"), (F.col("id") / 4).alias("confidence"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 500_000).alias("at")))
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows on the driver"))
+    for _ in range(2):
+        audit.save_json(log, path, "r1")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.json"]
+    whole = json.loads((tmp_path / "a.json").read_text())
+    assert (whole["pipeline_run_id"], whole["summary"]["total_entries"], len(whole["entries"])) == ("r1", n, n)
+    assert {e["seq"]: e["at"] for e in whole["entries"] if e["seq"] < 2} == {0: "1970-01-01T00:00:00", 1: "1970-01-01T00:00:00.500000"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        back = audit.from_json(spark, path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 3 and '"multiLine"' not in back._jdf.queryExecution().toString()
+        assert sorted(map(str, back.collect())) == sorted(str(r) for r in log.withColumn("replacement", F.coalesce("replacement", F.lit(""))).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    audit.save_json(log.where("seq < 0"), path)
+    assert json.loads((tmp_path / "a.json").read_text())["entries"] == [] and audit.from_json(spark, path).count() == 0

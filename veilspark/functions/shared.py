@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str = "") -> str:
@@ -63,6 +64,39 @@ def text_file(path: str) -> Iterator[Callable[[str], None]]:
         out.close()
 
 
+def json_file(rows: DataFrame, line: Column, path: str, head: str, tail: str) -> None:
+    """A new file: head, a line of JSON for each row in the rows' order, with commas between, and tail; it replaces an old one. Tasks write the lines beside it, and the driver's JVM appends their bytes, a buffer at a time; no row comes to the driver."""
+    spark = rows.sparkSession
+    hadoop, parts = spark._jvm.org.apache.hadoop, f"{path}-parts-{uuid.uuid4().hex}"
+    at, where = hadoop.fs.Path(path), hadoop.fs.Path(parts)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        rows.select(F.concat(F.lit(","), line).alias("value")).write.option("compression", "none").text(parts)
+        out, first = fs.create(at, True), True
+        try:
+            out.write(bytearray(head.encode()))
+            for part in sorted((s.getPath() for s in fs.listStatus(where) if s.getLen() and s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+                source = fs.open(part)
+                try:
+                    # Each line begins with a comma; the first has none before it.
+                    source.seek(int(first))
+                    hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+                fs.delete(part, False)
+                first = False
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+    finally:
+        fs.delete(where, True)
+
+
+def iso(at: Column) -> Column:
+    """A time as ISO text in the session's zone, without a fraction that is zero."""
+    return F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def read_text(path: str) -> str:
     """A file of any store, whole."""
     return SparkSession.active().read.text(path, wholetext=True).first()[0]

@@ -10,7 +10,8 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import text_file
+from ..functions.shared import iso, json_file
+from ..sources import framed
 
 ENTRIES = "record_id string, seq int, action string, layer string, original_hash string, replacement string, category string, confidence double, at timestamp"
 
@@ -99,21 +100,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an exported log: a JSON object whose `entries` are objects. Missing fields are "" (confidence 1); an `original` that is still there is hashed; `at` may be called timestamp."""
+    """Entries of an exported log: a JSON object whose `entries` are objects. Missing fields are "" (confidence 1); an `original` that is still there is hashed; `at` may be called timestamp.
+    The file is read by byte ranges, whatever its size (see framed)."""
     fields = "record_id string, seq int, action string, layer string, original string, original_hash string, replacement string, category string, confidence double, at string, timestamp string"
-    rows = spark.read.schema(f"entries array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
-    e = rows.select(F.posexplode("entries").alias("n", "e")).select("n", "e.*")
+    e = framed.objects(spark, path, "entries").select("n", F.from_json("text", fields).alias("e")).select("n", "e.*")
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("record_id", "action", "layer", "original", "original_hash", "replacement", "category")]
     at = F.coalesce(F.col("at"), F.col("timestamp")).try_cast("timestamp").alias("at")
     return entries(e.select(*blank, F.coalesce("seq", "n").alias("seq"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), at))
 
 
 def save_json(audit: DataFrame, path: str, run_id: str | None = None) -> None:
-    with text_file(path) as write:
-        write(to_json(audit, run_id))
+    """Export of a log of any size, as to_json gives it, an entry a line. Entries are written by tasks; the summary is another pass over the log."""
+    columns = [iso(F.col(c)).alias(c) if c == "at" else F.col(c) for c in audit.columns]
+    json_file(audit, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), path, json.dumps(_about(audit, run_id), indent=2, ensure_ascii=False)[:-2] + ',\n  "entries": [\n', "]\n}\n")
 
 
 def to_json(audit: DataFrame, run_id: str | None = None) -> str:
-    """Export of a log that fits the driver, with run id and summary; append() is for logs of any size."""
+    """Export of a log that fits the driver as text, with run id and summary; save_json() and append() are for logs of any size."""
     rows = [r.asDict() | {"at": r["at"].isoformat() if r["at"] else None} for r in audit.toLocalIterator()]
-    return json.dumps({"pipeline_run_id": run_id or str(uuid.uuid4()), "exported_at": datetime.now(UTC).isoformat(), "summary": summary_dict(audit), "entries": rows}, indent=2, ensure_ascii=False)
+    return json.dumps(_about(audit, run_id) | {"entries": rows}, indent=2, ensure_ascii=False)
+
+
+def _about(audit: DataFrame, run_id: str | None) -> dict:
+    return {"pipeline_run_id": run_id or str(uuid.uuid4()), "exported_at": datetime.now(UTC).isoformat(), "summary": summary_dict(audit)}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import IngestError
 from ..functions.shared import settle
 
 MOST_RANGES, SLICE = 1_000_000, 1 << 20
@@ -115,7 +116,7 @@ class _Messages:
 
 
 class _Entries:
-    """Frames are the objects of the top-level array "entry". The state is whether a string is open, how deep in brackets we are, and, by a second running sum, whether the second level is that array."""
+    """Frames are the objects of the top-level array "entry" (subclasses: of another name). The state is whether a string is open, how deep in brackets we are, and, by a second running sum, whether the second level is that array."""
 
     separator = "}"
     _escape = re.compile(rb"\\.", re.S)
@@ -190,6 +191,17 @@ class _Entries:
         yield k, -1, mine, named, before
 
 
+class _LogEntries(_Entries):
+    _key = re.compile(rb'"entries"\s*:\s*$')
+
+
+class _Records(_Entries):
+    _key = re.compile(rb'"records"\s*:\s*$')
+
+
+_ARRAYS = {"entry": _Entries, "entries": _LogEntries, "records": _Records}
+
+
 def _summaries(pieces: DataFrame, kind: type) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, uri, start, size), lists in _by_range(batches):
@@ -252,9 +264,17 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return frames(spark, path, _Messages)[0]
 
 
-def entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(uri, n and text of every object in the files' top-level array "entry"; uri, ok and name of every file: whether brackets and strings are closed at its end, and its top-level resourceType)."""
-    out, ranges, named = frames(spark, path, _Entries)
+def objects(spark: SparkSession, path: str, array: str) -> DataFrame:
+    """n and text of every object in the top-level array of JSON files; it raises if a file's brackets or strings are not closed."""
+    rows, files = entries(spark, path, array)
+    if bad := files.where(~F.col("ok")).count():
+        raise IngestError(f"{bad} file(s) in {path} hold no JSON")
+    return rows.select("n", "text")
+
+
+def entries(spark: SparkSession, path: str, array: str = "entry") -> tuple[DataFrame, DataFrame]:
+    """(uri, n and text of every object in the files' top-level array; uri, ok and name of every file: whether brackets and strings are closed at its end, and its top-level resourceType)."""
+    out, ranges, named = frames(spark, path, _ARRAYS[array])
     up: Column = F.when(F.col("s") == 0, F.col("up0")).otherwise(F.col("up1"))
     # Where a file does not end with a separator, its last piece has none, and one bracket was counted that is not there.
     files = ranges.groupBy("file", "uri").agg(F.sum(up).alias("up"), (F.sum(F.col("size") + F.col("n")) - F.max("bytes")).alias("more"), (F.sum(F.col("odd").cast("int")) % 2).alias("open"), F.sum("n").alias("n"))
