@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark import cli, schema
+from veilspark.errors import VeilError
 from veilspark.operators import audit, compliance, lineage, private_stats, verify
 from veilspark.operators.deidentify import Config, deidentify
 
@@ -111,12 +112,10 @@ def test_low_budget_warns(caplog):
 
 def test_audit_json_of_any_size(spark, tmp_path, monkeypatch):
     """A log is written and read without its rows on the driver, by several tasks, and with nothing left beside it."""
-    from pyspark.sql import DataFrame
-
     n, path = 5000, str(tmp_path / "a.json")
     text = F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit('"} ], {ä\n\\ '), F.col("id").cast("string")))
     log = audit.entries(spark.range(n).repartition(3).select(F.col("id").cast("string").alias("record_id"), F.lit("PHI_REMOVED").alias("action"), F.lit("NER").alias("layer"), F.lit("x").alias("original"), text.alias("replacement"), F.lit("NAME").alias("category"), (F.col("id") / 4).alias("confidence"), F.col("id").alias("seq"), F.timestamp_micros(F.col("id") * 500_000).alias("at")))
-    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows on the driver"))
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *a, **k: pytest.fail("rows on the driver"))
     for _ in range(2):
         audit.save_json(log, path, "r1")
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.json"]
@@ -134,3 +133,27 @@ def test_audit_json_of_any_size(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     audit.save_json(log.where("seq < 0"), path)
     assert json.loads((tmp_path / "a.json").read_text())["entries"] == [] and audit.from_json(spark, path).count() == 0
+
+
+def test_json_file_of_many_records(spark, tmp_path, monkeypatch):
+    """Records are written and read without rows on the driver, and are the same, whatever their data looks like."""
+    n, path = 4000, str(tmp_path / "d.json")
+    k = F.col("id").cast("string")
+    j = F.when(F.col("id") == 1, None).when(F.col("id") == 2, "[1.50]").when(F.col("id") == 3, '"x"').otherwise(F.concat(F.lit('{"records":[{"id":"no"}],"n":1.50,"t":"\\"}],ä\\n '), k, F.lit('"}')))
+    df = spark.range(n).repartition(3).select(k.alias("id"), F.lit("Patient").alias("resource_type"), j.alias("data_json"), F.lit("CSV").alias("source_format"), F.lit("u").alias("source_uri"), F.lit("2024-01-02 03:04:05.5").cast("timestamp").alias("ingested_at"), F.concat(F.lit("c"), k).alias("checksum"))
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *a, **k: pytest.fail("rows on the driver"))
+    cli.save(df, path)
+    whole = json.loads((tmp_path / "d.json").read_text())["records"]
+    assert len(whole) == n and {r["id"]: r["data"] for r in whole if len(r["id"]) == 1 and r["id"] in "123"} == {"1": None, "2": [1.5], "3": "x"} and whole[0]["ingested_at"] == "2024-01-02T03:04:05.500000"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = sorted((str(r.asDict() | {"data_json": 0}), r.data_json) for r in cli.load(spark, path).where("id not in ('1', '2', '3')").collect())
+        assert got == sorted((str(r.asDict() | {"data_json": 0}), r.data_json) for r in df.where("id not in ('1', '2', '3')").collect())
+        assert cli.load(spark, path).count() == n
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "cut.json").write_text((tmp_path / "d.json").read_text()[:-20])
+    with pytest.raises(VeilError):
+        cli.load(spark, str(tmp_path / "cut.json"))

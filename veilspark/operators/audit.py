@@ -103,7 +103,7 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
     """Entries of an exported log: a JSON object whose `entries` are objects. Missing fields are "" (confidence 1); an `original` that is still there is hashed; `at` may be called timestamp.
     The file is read by byte ranges, whatever its size (see framed)."""
     fields = "record_id string, seq int, action string, layer string, original string, original_hash string, replacement string, category string, confidence double, at string, timestamp string"
-    e = framed.objects(spark, path, "entries").select("n", F.from_json("text", fields).alias("e")).select("n", "e.*")
+    e = framed.objects(spark, path, "entries", fields)
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("record_id", "action", "layer", "original", "original_hash", "replacement", "category")]
     at = F.coalesce(F.col("at"), F.col("timestamp")).try_cast("timestamp").alias("at")
     return entries(e.select(*blank, F.coalesce("seq", "n").alias("seq"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), at))

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.shared import text_file
+from .functions.shared import iso, json_file
+from .sources import framed
 
 # FHIR R4 resource types that the model knows.
 RESOURCE_TYPES = ("Patient", "Observation", "Condition", "MedicationRequest", "Encounter", "DiagnosticReport", "Procedure", "AllergyIntolerance", "Immunization", "DocumentReference")
@@ -67,22 +68,17 @@ def encounters(df: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON file {"records": [...]} with each record's data as an object. Rows come to the driver a partition at a time; larger sets go to Parquet."""
-    import json
-
-    with text_file(path) as write:
-        write('{"records": [')
-        for i, r in enumerate(df.select(*COLUMNS).toLocalIterator()):
-            row = r.asDict() | {"ingested_at": r["ingested_at"].isoformat() if r["ingested_at"] else None}
-            data = row.pop("data_json") or "null"
-            write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False)[:-1] + f', "data": {data}}}')
-        write("\n]}\n")
+    """One JSON file {"records": [...]} with each record's data as an object. Records are written by tasks (see json_file)."""
+    own = [iso(F.col(c)).alias(c) if c == "ingested_at" else F.col(c) for c in COLUMNS if c != "data_json"]
+    row = F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
+    data = F.coalesce(F.nullif(F.col("data_json"), F.lit("")), F.lit("null"))
+    json_file(df, F.concat(F.substr(row, F.lit(1), F.length(row) - 1), F.lit(',"data":'), data, F.lit("}")), path, '{"records": [\n', "]}\n")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of such files; a record without a checksum gets that of its content, one without an id that checksum's beginning."""
-    kind = "array<struct<id:string,resource_type:string,data:string,source_format:string,source_uri:string,ingested_at:string,checksum:string>>"
-    rows = spark.read.schema(f"records {kind}").option("multiLine", True).json(path).select(F.inline("records"))
+    """Records of such files; a record without a checksum gets that of its content, one without an id that checksum's beginning. Files are read by byte ranges, whatever their size (see framed)."""
+    kind = "id string, resource_type string, data string, source_format string, source_uri string, ingested_at string, checksum string"
+    rows = framed.objects(spark, path, "records", kind).drop("n")
     total = checksum(F.col("resource_type"), F.col("data"), F.col("source_format"), F.col("source_uri"))
     rows = rows.withColumn("checksum", F.coalesce(F.when(F.col("checksum") != "", F.col("checksum")), total))
     return rows.select(F.coalesce("id", F.substring("checksum", 1, 32)).alias("id"), "resource_type", F.col("data").alias("data_json"), "source_format", "source_uri", F.col("ingested_at").try_cast("timestamp").alias("ingested_at"), "checksum")
